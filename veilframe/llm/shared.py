@@ -76,11 +76,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         at = to
 
 
-def stage_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def stage_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rest: bool = False) -> DataFrame:
     """Documents as rows of about `block_bytes` of text, in the shared folder.
 
     Columns: block_id, ids (int64), known (1 where the id isn't null), lens
-    (int64), payload (zstd of the texts, one after the other).  A block is one
+    (int64), payload (zstd of the texts, one after the other), and with `rest`
+    an Arrow stream of all columns but the text.  A block is one
     row, so each later pass sees the same documents in the same order however
     the files are split.  Text is compressed once and shuffled as it is.
     """
@@ -98,28 +99,36 @@ def stage_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: s
             tab = pa.concat_arrays([r[1] for r in rows])
             ids = pa.concat_arrays([r[0] for r in rows])
             data, offs = tv.text_buffers(tab)
-            out = pa.record_batch([
+            fields = [
                 pa.array([(part << 32) + nth], pa.int64()),
                 pa.array([ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
                 pa.array([ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                 pa.array([np.diff(offs).astype("<i8").tobytes()], pa.binary()),
                 pa.array([z.compress(data.tobytes())], pa.binary()),
-            ], ["block_id", "ids", "known", "lens", "payload"])
+            ]
+            if rest:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows[0][2].schema) as out:
+                    for r in rows:
+                        out.write_batch(r[2])
+                fields.append(pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary()))
             nth, rows, size = nth + 1, [], 0
-            return out
+            return pa.record_batch(fields, names)
 
         for batch in batches:
             for s in slices(batch, "text", block_bytes):
                 column = s.column(1).cast(pa.large_string())
-                rows.append((s.column(0).cast(pa.int64()), column))
+                rows.append((s.column(0).cast(pa.int64()), column, s.select(range(2, s.num_columns)) if rest else None))
                 size += int(tv.text_buffers(column)[1][-1])
                 if size >= block_bytes // 2 or sum(len(r[0]) for r in rows) >= 20_000:
                     yield flush()
         if rows:
             yield flush()
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return staged(plain.mapInArrow(pack, "block_id long, ids binary, known binary, lens binary, payload binary"), name)
+    names = ["block_id", "ids", "known", "lens", "payload"] + ["rest"] * rest
+    others = [F.col(c) for c in docs.columns if c != text_col] if rest else []
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+    return staged(plain.mapInArrow(pack, "block_id long, ids binary, known binary, lens binary, payload binary" + ", rest binary" * rest), name)
 
 
 def open_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

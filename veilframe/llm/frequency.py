@@ -1,7 +1,7 @@
 """How often hashes occur over a whole corpus, told back to the blocks that hold them.
 
-A block sends its sorted 64-bit hashes, cut into ranges, 32 bits of each (the
-range stands for the upper ones), and gets a frequency class for each in the
+A block sends its sorted 64-bit hashes, cut into ranges, 32 bits of each (those
+below the ones that name the range) as compressed differences, and gets a frequency class for each in the
 same order: 0 for one occurrence, else 1 + floor(log2(occurrences)).  Two
 hashes that fall together in those bits only look more frequent than they are,
 which costs work and loses nothing.
@@ -28,20 +28,32 @@ def bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(n)], np.uint64)
 
 
+def squeezed(x: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
+    """Ascending 32-bit numbers as differences, byte planes apart."""
+    return z.compress(np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def opened(b: bytes, d: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(d.decompress(b), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def replies(rows: DataFrame, n: int, values: Callable[[dict], np.ndarray], name: str) -> DataFrame:
     """(block_id, <name>: array of (bucket, q)), written to the shared folder."""
     edges = bounds(n)
 
     def send(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for r in shared.block_rows(batches):
             u = np.sort(values(r))
             cut = np.append(np.searchsorted(u, edges), len(u))
-            low = (u & tv.U(0xFFFFFFFF)).astype("<u4")
-            out = [(b, low[cut[b] : cut[b + 1]].tobytes()) for b in range(n) if cut[b + 1] > cut[b]]
+            low = ((u * tv.U(n)) >> tv.U(32)).astype(np.uint32)
+            out = [(b, squeezed(low[cut[b] : cut[b + 1]], z)) for b in range(n) if cut[b + 1] > cut[b]]
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([r["block_id"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block_id", "low"])
 
     def count(batches):
-        held = [(r["bucket"], r["block_id"], np.frombuffer(r["low"], "<u4")) for r in shared.block_rows(batches)]
+        d = zstandard.ZstdDecompressor()
+        held = [(r["bucket"], r["block_id"], opened(r["low"], d)) for r in shared.block_rows(batches)]
         if not held:
             return
         key = np.concatenate([x for _, _, x in held]).astype(np.uint64) << tv.U(32)

@@ -50,45 +50,64 @@ def sets_of_block(row: dict):
     return ids, known, u, at
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """Every document with its class and set size; those that may link also with their set and prefix."""
-    spark = docs.sparkSession
-    n = shared.parts(spark)
+def prefixes(row: dict, n: int):
+    """For each text of a block: its id, class, shingles, and the rest of its prefix with frequency classes (None if it can't link)."""
+    ids, known, u, at = sets_of_block(row)
+    q = frequency.read(u, row["replies"], n)
+    m1, m2 = tv.mix(u), tv.mix(u * tv.U(0xD6E8FEB86659FD93) + tv.U(1))
+    for i in range(len(ids)):
+        a, b = at[i], at[i + 1]
+        s = int(b - a)
+        doc = int(ids[i]) if known[i] else None
+        if not s:
+            yield doc, None, u[a:b], None
+            continue
+        cls = np.array([m1[a:b].sum(), m2[a:b].sum() + tv.U(s)], "<u8").tobytes()
+        p = s - (3 * s + 3) // 4 + 1
+        single = int(np.count_nonzero(q[a:b] == 0))
+        if s < 2 or single > p:
+            yield doc, cls, u[a:b], None
+            continue
+        x, y = u[a:b], q[a:b]
+        rest = np.flatnonzero(y)
+        rest = rest[np.lexsort((x[rest], y[rest]))][: p + 1 - single]
+        norm = max(0, min(p - single, len(rest)))
+        yield doc, cls, x, (x[rest], norm, float(np.exp2(y[rest[:norm]].astype(float)).sum()))
+
+
+def bitmap(x: np.ndarray) -> bytes:
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(x >> tv.U(53)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document with its class and set size; and, of each class that may link, one set with its prefix."""
+    n = shared.parts(docs.sparkSession)
     blocks = shared.stage_blocks(docs, "jaccard-blocks")
     answers = frequency.replies(blocks, n, lambda r: sets_of_block(r)[2], "replies")
-    names = ["doc_id", "cls", "n", "cand", "toks", "n_norm", "cost", "set", "bitmap"]
+    told = frequency.told(blocks, answers, frequency.reply_size("replies"))
 
-    def each(batches):
+    def label(batches):
         for r in shared.block_rows(batches):
-            ids, known, u, at = sets_of_block(r)
-            q = frequency.read(u, r["replies"], n)
-            m1, m2 = tv.mix(u), tv.mix(u * tv.U(0xD6E8FEB86659FD93) + tv.U(1))
-            rows = []
-            for i in range(len(ids)):
-                a, b = at[i], at[i + 1]
-                s = int(b - a)
-                doc = int(ids[i]) if known[i] else None
-                if not s:
-                    rows.append((doc, None, 0, False, None, None, None, None, None))
-                    continue
-                sig = np.array([m1[a:b].sum(), m2[a:b].sum() + tv.U(s)], "<u8").tobytes()
-                p = s - (3 * s + 3) // 4 + 1
-                single = int(np.count_nonzero(q[a:b] == 0))
-                if s < 2 or single > p:
-                    rows.append((doc, sig, s, False, None, None, None, None, None))
-                    continue
-                x, y = u[a:b], q[a:b]
-                rest = np.flatnonzero(y)
-                rest = rest[np.lexsort((x[rest], y[rest]))][: p + 1 - single]
-                norm = max(0, min(p - single, len(rest)))
-                bits = np.zeros(BITMAP // 8, np.uint8)
-                spot = np.unique(x >> tv.U(53)).astype(np.int64)
-                np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-                rows.append((doc, sig, s, True, x[rest].astype("<u8").tobytes(), norm, float(np.exp2(y[rest[:norm]].astype(float)).sum()), x.astype("<u8").tobytes(), bits.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary()], strict=True)], names)
-
-    joined = frequency.told(blocks, answers, frequency.reply_size("replies"))
-    return shared.staged(joined.mapInArrow(each, "doc_id long, " + CAND.replace("n long,", "n long, cand boolean,")), "jaccard-marked")
+            rows = [(doc, cls, len(x), r["block_id"] if rest else None, i if rest else None) for i, (doc, cls, x, rest) in enumerate(prefixes(r, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True)], ["doc_id", "cls", "n", "block_id", "nth"])
+
+    marked = shared.staged(told.mapInArrow(label, "doc_id long, cls binary, n long, block_id long, nth int"), "jaccard-marked")
+    one = marked.filter("nth is not null").groupBy("cls").agg(F.min(F.struct("block_id", "nth")).alias("at"))
+    chosen = shared.staged(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("chosen")), "jaccard-chosen")
+    names = ["cls", "n", "toks", "n_norm", "cost", "set", "bitmap"]
+
+    def gather(batches):
+        for r in shared.block_rows(batches):
+            wanted = set(r["chosen"] or ())
+            if not wanted:
+                continue
+            rows = [(cls, len(x), rest[0].astype("<u8").tobytes(), rest[1], rest[2], x.astype("<u8").tobytes(), bitmap(x)) for i, (_, cls, x, rest) in enumerate(prefixes(r, n)) if i in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary()], strict=True)], names)
+
+    own = frequency.told(told, chosen, F.size("chosen") * 4 + 24).filter("chosen is not null")
+    return marked.select("doc_id", "cls", "n"), shared.staged(own.mapInArrow(gather, CAND), "jaccard-cands")
 
 
 def boundary(cands: DataFrame) -> int:
@@ -152,9 +171,10 @@ _NEAR = "100 * least({0}, {1}) >= 75 * greatest({0}, {1})"
 
 def links(cands: DataFrame) -> DataFrame:
     """Enough links to connect whatever is connected, each decided exactly."""
-    keys = shared.staged(keys_of(cands, boundary(cands)), "jaccard-keys")
+    keys = keys_of(cands, boundary(cands))
     lists = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("role").alias("top"), F.count("*").alias("members"))
     lists = shared.staged(lists.filter("members > 1 and top != 1"), "jaccard-lists")
+    keys = shared.staged(keys.join(lists.select("key"), "key", "left_semi"), "jaccard-keys")
     sizes = cands.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
     star = keys.join(lists.select("key", "hub"), "key").filter("cls != hub").select("cls", "n", "hub").distinct()
     star = star.join(sizes, "hub").filter(_NEAR.format("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
@@ -162,7 +182,7 @@ def links(cands: DataFrame) -> DataFrame:
 
     labels = components(first)
     label = shared.staged(labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "size"), "jaccard-parts")
-    own = keys.join(lists.select("key"), "key", "left_semi").join(label, "cls", "left")
+    own = keys.join(label, "cls", "left")
     own = own.select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     own = shared.staged(own.join(shared.staged(mixed, "jaccard-mixed"), "key", "left_semi"), "jaccard-open")
@@ -219,9 +239,7 @@ def _compare(batches):
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    marked = mark(docs)
-    once = marked.filter("cand").groupBy("cls").agg(F.first(F.struct("n", "toks", "n_norm", "cost", "set", "bitmap")).alias("s")).select("cls", "s.*")
-    cands = shared.staged(once, "jaccard-cands")
+    marked, cands = mark(docs)
     label = components(links(cands))
     classes = marked.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = shared.staged(classes.join(label.withColumnRenamed("node", "cls"), "cls", "left"), "jaccard-classes")

@@ -2,5 +2,295 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules, settings, validators
+from ..operators import history, regions, report
+from ..operators.scan import CustomRule, ScanConfig, scan, scan_array
+from . import keyed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def registered(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def only(*categories: str) -> ScanConfig:
+    return ScanConfig(enabled={c: c in categories for c in rules.CATEGORIES})
+
+
+# planted spans, one query a detector
+
+def _keyed(name: str, case: keyed.Case):
+    def query(spark, sf_dir):
+        texts = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(case.text).alias("text"))
+        return scan(texts, config=only(case.category))
+
+    QUERIES[f"scan_{name}"] = query
+    ORACLE_SQL[f"scan_{name}"] = keyed.oracle(case)
+
+
+for _name, _case in keyed.CASES.items():
+    _keyed(_name, _case)
+
+# scans of the documents
+
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,10}[A-Za-z]{2,24}"
+CARD = r"(?:^|[^0-9A-Za-z<])([0-9](?:[ -]?[0-9]){13,18})(?:$|[^0-9A-Za-z<])"
+LUHN = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN (len({0}) - i) % 2 = 1 THEN CASE WHEN 2 * CAST({0}[i] AS INT) > 9 THEN 2 * CAST({0}[i] AS INT) - 9 ELSE 2 * CAST({0}[i] AS INT) END ELSE CAST({0}[i] AS INT) END)) % 10 = 0"
+
+
+@registered()
+def category_counts(spark, sf_dir):
+    """The flagship: all rules over all documents."""
+    return scan(table(spark, sf_dir, "documents"), id_cols=["doc_id"]).groupBy("category", "severity").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"))
+
+
+@registered()
+def scan_documents(spark, sf_dir):
+    return report.findings(scan(table(spark, sf_dir, "documents"), id_cols=["doc_id"]))
+
+
+@registered()
+def scan_pages(spark, sf_dir):
+    return report.findings(scan(table(spark, sf_dir, "pages"), "html", ["page_id"]))
+
+
+@registered(f"SELECT doc_id, hit AS text FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS hit FROM documents)")
+def email_hits(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"), id_cols=["doc_id"], config=only("email")).select("doc_id", "text")
+
+
+@registered(f"SELECT page_id, hit AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '{EMAIL}')) AS hit FROM pages)")
+def email_hits_in_pages(spark, sf_dir):
+    return scan(table(spark, sf_dir, "pages"), "html", ["page_id"], only("email")).select("page_id", "text")
+
+
+_CARDS = f"SELECT doc_id, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{CARD}', 1)) AS hit FROM documents)"
+_BRAND = "CASE WHEN regexp_full_match(d, '4[0-9]{12,18}') THEN 'Visa' WHEN regexp_full_match(d, '5[1-5][0-9]{14}|(222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}') THEN 'Mastercard' WHEN regexp_full_match(d, '3[47][0-9]{13}') THEN 'American Express' WHEN regexp_full_match(d, '6011[0-9]{12}|65[0-9]{14}|64[4-9][0-9]{13}') THEN 'Discover' ELSE 'Payment card' END"
+
+
+@registered(f"SELECT doc_id, hit AS text, {_BRAND} AS label FROM ({_CARDS}) WHERE len(d) BETWEEN 14 AND 19 AND {LUHN.format('d')}")
+def card_hits(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"), id_cols=["doc_id"], config=only("credit_card")).select("doc_id", "text", "label")
+
+
+@registered(f"SELECT {_BRAND} AS label, count(*) AS hits FROM ({_CARDS}) WHERE len(d) BETWEEN 14 AND 19 AND {LUHN.format('d')} GROUP BY 1")
+def card_brand_counts(spark, sf_dir):
+    return card_hits(spark, sf_dir).groupBy("label").agg(F.count("*").alias("hits"))
+
+
+@registered("SELECT doc_id, count(*) AS hits, min(hit) AS first_hit FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}([.][0-9]{1,3}){3}')) AS hit FROM documents) GROUP BY doc_id")
+def custom_rule_hits(spark, sf_dir):
+    """A user's rule (here IPv4-shaped), all built-in ones off."""
+    own = CustomRule("ip", "Address", r"[0-9]{1,3}([.][0-9]{1,3}){3}", "g")
+    config = ScanConfig(enabled=dict.fromkeys((c for c in rules.CATEGORIES if c != "custom"), False), custom_rules=(own, CustomRule("bad", "Broken", "([", "g")))
+    return scan(table(spark, sf_dir, "documents"), id_cols=["doc_id"], config=config).groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("text").alias("first_hit"))
+
+
+@registered("SELECT lang, source, count(DISTINCT doc_id) AS documents, count(*) AS hits FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '" + EMAIL + "')) FROM documents) GROUP BY lang, source")
+def email_hits_by_source(spark, sf_dir):
+    spans = scan(table(spark, sf_dir, "documents"), id_cols=["doc_id", "lang", "source"], config=only("email"))
+    return spans.groupBy("lang", "source").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("hits"))
+
+
+# switches, floor, overlap
+
+_MIXED = f"('mail u' || {keyed.K} || '@example.org code CVV ' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ' card ' || {keyed.SPACED_CARD} || ' Nume: ' || {keyed.LETTERS})"
+
+
+def _mixed(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_MIXED).alias("text"))
+
+
+def _counts(spans):
+    return spans.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("found"))
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'credit_card,email' ELSE 'email' END AS found FROM orders")
+def confidence_floor(spark, sf_dir):
+    return _counts(scan(_mixed(spark, sf_dir), config=ScanConfig(min_confidence=0.9)))
+
+
+@registered("SELECT o_orderkey, 'cvv,name' AS found FROM orders")
+def category_switch(spark, sf_dir):
+    return _counts(scan(_mixed(spark, sf_dir), config=ScanConfig(enabled={"email": False, "credit_card": False})))
+
+
+@registered("SELECT CAST(count(*) AS BIGINT) AS orders, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS critical, CAST(2 * count(*) AS BIGINT) AS high, CAST(count(*) AS BIGINT) AS other FROM orders")
+def severity_rollup(spark, sf_dir):
+    counts = report.severity_rollup(scan(_mixed(spark, sf_dir)), ["o_orderkey"])
+    return counts.agg(F.count("*").alias("orders"), F.sum("critical").alias("critical"), F.sum("high").alias("high"), F.sum("other").alias("other"))
+
+
+@registered(f"SELECT o_orderkey, 'mrz' AS category, CAST(5 AS INT) AS \"start\", CAST(5 + 5 + length({keyed.CARD}) + 2 + 6 + 4 AS INT) AS \"end\" FROM orders")
+def overlap_resolve(spark, sf_dir):
+    """A card number inside a machine-readable zone: one span, the zone."""
+    text = f"('zone IDROU' || {keyed.CARD} || '<<' || {keyed.LETTERS} || '<<<< end')"
+    return scan(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(text).alias("text"))).select("o_orderkey", "category", "start", "end")
+
+
+# validators over constructed numbers
+
+@registered(f"SELECT o_orderkey, {keyed.CARD} AS number, o_orderkey % 2 = 0 AS valid FROM orders")
+def luhn_on_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(keyed.CARD).alias("number")).withColumn("valid", validators.luhn(F.col("number")))
+
+
+@registered(f"SELECT o_orderkey, {keyed.IBAN} AS number, o_orderkey % 2 = 0 AS valid FROM orders")
+def iban_on_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(keyed.IBAN).alias("number")).withColumn("valid", validators.iban(F.col("number")))
+
+
+@registered(f"SELECT o_orderkey, {keyed.CNP} AS number, o_orderkey % 2 = 0 AS valid FROM orders")
+def cnp_on_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(keyed.CNP).alias("number")).withColumn("valid", validators.cnp(F.col("number")))
+
+
+@registered(f"SELECT o_orderkey, 'RO' || {keyed.CUI} AS number, o_orderkey % 2 = 0 AS valid FROM orders")
+def cui_on_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(f"'RO' || {keyed.CUI}").alias("number")).withColumn("valid", validators.cui(F.col("number")))
+
+
+_STRUCT = "(CAST(1 + o_orderkey % 9 AS STRING) || '85' || lpad(CAST(o_orderkey % 15 AS STRING), 2, '0') || lpad(CAST(o_orderkey % 34 AS STRING), 2, '0') || lpad(CAST(o_orderkey % 56 AS STRING), 2, '0') || '1234')"
+
+
+@registered(f"SELECT o_orderkey, {_STRUCT} AS number, o_orderkey % 9 < 8 AND o_orderkey % 15 BETWEEN 1 AND 12 AND o_orderkey % 34 BETWEEN 1 AND 31 AND o_orderkey % 56 BETWEEN 1 AND 52 AS valid FROM orders")
+def cnp_structure_on_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_STRUCT).alias("number")).withColumn("valid", validators.cnp_structure(F.col("number")))
+
+
+@registered("SELECT DISTINCT regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, c_custkey FROM customer")
+def digits_only(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(validators.digits_only(F.col("c_name")).alias("digits"), "c_custkey")
+
+
+@registered("SELECT p_partkey, regexp_replace(translate(p_name || p_brand || p_type, 'OoQDIlZzASGTBbgq', '0000112245678899'), '[^0-9]', '', 'g') AS digits FROM part")
+def unconfuse_digits(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", validators.unconfuse(F.concat("p_name", "p_brand", "p_type")).alias("digits"))
+
+
+
+@registered("SELECT o_orderkey, CASE WHEN length(s) <= 6 THEN repeat('•', CAST(greatest(length(s), 1) AS INT)) ELSE substr(s, 1, 3) || '…' || right(s, 2) END AS masked FROM (SELECT o_orderkey, trim(regexp_replace(CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 1, 4) ELSE '  ' || o_orderpriority || '   x ' END, '\\s+', ' ', 'g')) AS s FROM orders)")
+def mask_text(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.substring("o_orderpriority", 1, 4)).otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit("   x ")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", report.mask(raw).alias("masked"))
+
+
+# words, boxes, orientation
+
+_WORD = "(l_returnflag || l_linestatus || CAST(l_linenumber AS STRING))"
+
+
+def _words(spark, sf_dir):
+    """Line items as the words of an image: three words a line."""
+    n = F.col("l_linenumber") - 1
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.expr(_WORD)).alias("text")).select(
+        F.col("l_orderkey").alias("image_id"), F.lit(0).alias("quarter_turns"), F.lit(0).alias("block"), F.lit(0).alias("para"), F.floor(n / 3).cast("int").alias("line"), (n % 3).cast("int").alias("word"), "text",
+        F.lit(90.0).alias("confidence"), (n * 20).cast("double").alias("x0"), F.lit(10.0).alias("y0"), (n * 20 + 16).cast("double").alias("x1"), F.lit(20.0).alias("y1"), F.lit(2.0).alias("scale"),
+    )
+
+
+_SQL_WORDS = f"SELECT l_orderkey AS image_id, CAST(l_linenumber - 1 AS INT) AS n, min({_WORD}) AS text FROM lineitem GROUP BY 1, 2"
+_SQL_LINES = f"SELECT image_id, n // 3 AS line, string_agg(text, ' ' ORDER BY n) AS s FROM ({_SQL_WORDS}) GROUP BY 1, 2"
+_SQL_SPOTS = f"SELECT image_id, n, text, sum(length(text) + 1) OVER (PARTITION BY image_id ORDER BY n) - length(text) - 1 AS s0 FROM ({_SQL_WORDS})"
+
+
+@registered(f"SELECT image_id, string_agg(s || chr(10), '' ORDER BY line) AS text FROM ({_SQL_LINES}) GROUP BY image_id")
+def text_rebuild(spark, sf_dir):
+    return regions.rebuild_text(_words(spark, sf_dir)).select("image_id", "text")
+
+
+@registered(f"SELECT image_id, CAST(s0 AS INT) AS \"start\", CAST(s0 + length(text) AS INT) AS \"end\", text AS word, n * 10.0 AS x, 5.0 AS y, 8.0 AS w, 5.0 AS h FROM ({_SQL_SPOTS})".replace("10.0 AS x, 5.0 AS y, 8.0 AS w, 5.0 AS h", "CAST(10 AS DOUBLE) AS x, CAST(5 AS DOUBLE) AS y, CAST(8 AS DOUBLE) AS w, CAST(5 AS DOUBLE) AS h"))
+def word_offsets(spark, sf_dir):
+    words = regions.rebuild_text(_words(spark, sf_dir)).select("image_id", F.explode("words").alias("w"))
+    return words.select("image_id", "w.start", "w.end", F.col("w.text").alias("word"), "w.box.x", "w.box.y", "w.box.w", "w.box.h")
+
+
+def _located(spark, sf_dir):
+    """One custom span a line break apart from others: the letter N and what follows on its line."""
+    config = ScanConfig(enabled=dict.fromkeys((c for c in rules.CATEGORIES if c != "custom"), False), custom_rules=(CustomRule("n", "N words", "N[A-Z][0-9]( [A-Z0-9]+)?", ""),))
+    images = regions.rebuild_text(_words(spark, sf_dir))
+    return images.select("image_id", regions.locate(scan_array(F.col("text"), config), F.col("words")).alias("regions"))
+
+
+_SQL_HITS = f"SELECT image_id, line, unnest(regexp_extract_all(s, 'N[A-Z][0-9]( [A-Z0-9]+)?')) AS hit FROM ({_SQL_LINES})"
+
+
+@registered(f"SELECT image_id, CAST(count(*) AS BIGINT) AS regions, CAST(sum(len(string_split(hit, ' '))) AS BIGINT) AS boxes FROM ({_SQL_HITS}) GROUP BY image_id")
+def locate_boxes(spark, sf_dir):
+    r = _located(spark, sf_dir).where(F.size("regions") > 0)
+    boxes = F.aggregate("regions", F.lit(0).cast("long"), lambda a, x: a + F.size(x["boxes"]))
+    return r.select("image_id", F.size("regions").cast("long").alias("regions"), boxes.alias("boxes"))
+
+
+@registered(f"SELECT image_id, CAST(sum(len(string_split(hit, ' '))) AS BIGINT) AS rects, CAST(sum(len(string_split(hit, ' '))) * 108 AS DOUBLE) AS area FROM ({_SQL_HITS}) GROUP BY image_id")
+def cover_rects(spark, sf_dir):
+    r = _located(spark, sf_dir).where(F.size("regions") > 0).select("image_id", regions.cover_rects(F.col("regions")).alias("rects"))
+    return r.select("image_id", F.size("rects").cast("long").alias("rects"), F.aggregate("rects", F.lit(0.0), lambda a, b: a + b["w"] * b["h"]).alias("area"))
+
+
+@registered("SELECT image_id, CAST(hits AS INT) AS protected, CAST(0 AS INT) AS exposed, CAST(hits AS STRING) || ' of ' || CAST(hits AS STRING) || ' hidden' AS summary FROM (SELECT image_id, count(*) AS hits FROM (" + _SQL_HITS + ") GROUP BY 1)")
+def image_dashboard(spark, sf_dir):
+    r = _located(spark, sf_dir).where(F.size("regions") > 0)
+    return r.select("image_id", report.dashboard(F.col("regions"), F.lit(None).cast("array<int>")).alias("d")).select("image_id", "d.protected", "d.exposed", "d.summary")
+
+
+@registered("SELECT s.s_suppkey, c.c_custkey FROM supplier s LEFT JOIN customer c ON s.s_nationkey = c.c_nationkey AND c.c_custkey % 97 < s.s_suppkey % 97 + 5 AND s.s_suppkey % 97 < c.c_custkey % 97 + 3")
+def locate_rows(spark, sf_dir):
+    """The table form of the interval join, on keys as offsets."""
+    spans = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("image_id"), "s_suppkey", (F.col("s_suppkey") % 97).alias("start"), (F.col("s_suppkey") % 97 + 5).alias("end"))
+    words = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image_id"), (F.col("c_custkey") % 97).alias("start"), (F.col("c_custkey") % 97 + 3).alias("end"), F.col("c_custkey").alias("box"))
+    return regions.locate_rows(spans, words).select("s_suppkey", F.col("box").alias("c_custkey"))
+
+
+@registered("SELECT image_id, quarter_turns, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, quarter_turns) AS r FROM (SELECT user_id AS image_id, CAST(event_id % 4 AS INT) AS quarter_turns, count(*) FILTER (WHERE value >= 60 AND length(event_type) >= 4) AS score FROM events GROUP BY 1, 2)) WHERE r = 1")
+def orientation_argmax(spark, sf_dir):
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), (F.col("event_id") % 4).cast("int").alias("quarter_turns"), F.col("event_type").alias("text"), F.col("value").alias("confidence"))
+    return regions.best_orientation(regions.orientation_scores(words))
+
+
+@registered("WITH h AS (SELECT CAST(p_size % 5 AS INT) AS image_id, CAST(p_partkey % 256 AS INT) AS bin, count(*) AS pixels FROM part GROUP BY 1, 2), c AS (SELECT *, sum(pixels) OVER (PARTITION BY image_id ORDER BY bin) AS below, sum(pixels) OVER (PARTITION BY image_id ORDER BY bin DESC) AS above, sum(pixels) OVER (PARTITION BY image_id) AS n FROM h) SELECT image_id, min(bin) FILTER (WHERE below >= 0.02 * n) AS lo, max(bin) FILTER (WHERE above >= 0.02 * n) AS hi FROM c GROUP BY image_id")
+def percentile_cut(spark, sf_dir):
+    h = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 5).cast("int").alias("image_id"), (F.col("p_partkey") % 256).cast("int").alias("bin")).agg(F.count("*").alias("pixels"))
+    return regions.percentile_cut(h)
+
+
+@registered("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_wins(spark, sf_dir):
+    return history.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+_SAVED = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN '{\"enabled\":{\"email\":false},\"minConfidence\":0.' || CAST(1 + o_orderkey % 9 AS STRING) || '}' ELSE '{\"faces\":false,\"minConfidence\":\"high\"}' END"
+
+
+@registered("SELECT o_orderkey, o_orderkey % 4 <> 2 AS email, TRUE AS phone, o_orderkey % 4 <> 3 AS faces, CASE WHEN o_orderkey % 4 = 2 THEN CAST('0.' || CAST(1 + o_orderkey % 9 AS STRING) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS min_confidence FROM orders")
+def settings_merge(spark, sf_dir):
+    got = table(spark, sf_dir, "orders").select("o_orderkey", settings.merge(F.expr(_SAVED)).alias("s"))
+    return got.select("o_orderkey", F.col("s.enabled")["email"].alias("email"), F.col("s.enabled")["phone"].alias("phone"), "s.faces", "s.min_confidence")
+
+
+@registered("SELECT c_custkey, least(x0, x1) AS x, abs(x1 - x0) AS w FROM (SELECT c_custkey, least(greatest(c_acctbal / 50, 0), 100) AS x0, CAST(c_custkey % 100 AS DOUBLE) AS x1 FROM customer) WHERE abs(x1 - x0) >= 6")
+def drawn_boxes(spark, sf_dir):
+    drags = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 50).alias("ax"), F.lit(5.0).alias("ay"), (F.col("c_custkey") % 100).cast("double").alias("bx"), F.lit(95.0).alias("by"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    return regions.drawn_boxes(drags).select("c_custkey", "box.x", "box.w")
+
+
+@registered("SELECT category, severity, count(*) AS rules FROM (VALUES " + ", ".join(f"('{r.category}', '{r.severity}')" for r in rules.RULES) + ") t(category, severity) GROUP BY ALL")
+def rule_table(spark, sf_dir):
+    return rules.rules_table(spark).groupBy("category", "severity").agg(F.count("*").alias("rules"))

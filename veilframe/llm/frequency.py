@@ -9,10 +9,12 @@ which costs work and loses nothing.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +22,6 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textvec as tv
 
-#: Replies of up to so many bytes go to every executor; beyond, they are joined by a shuffle.
-SMALL = 32 << 20
-
-
 def bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(n)], np.uint64)
 
@@ -38,8 +36,8 @@ def opened(b: bytes, d: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def replies(rows: DataFrame, n: int, values: Callable[[dict], np.ndarray], name: str) -> DataFrame:
-    """(block_id, <name>: array of (bucket, q)), written to the shared folder."""
+def replies(rows: DataFrame, n: int, values: Callable[[dict], np.ndarray], name: str) -> str:
+    """Frequency classes for the blocks, as a folder of files: for each block a list of bucket and classes."""
     edges = bounds(n)
 
     def send(batches):
@@ -72,17 +70,33 @@ def replies(rows: DataFrame, n: int, values: Callable[[dict], np.ndarray], name:
 
     sent = rows.mapInArrow(send, "bucket int, block_id long, low binary").repartitionById(n, F.col("bucket"))
     back = sent.mapInArrow(count, "block_id long, bucket int, q binary")
-    return shared.staged(back.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "q")).alias(name)), name)
+    return filed(back.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "q")).alias("value")), name)
+
 
+def filed(grouped: DataFrame, name: str) -> str:
+    """Writes a value for each block, (block_id, value), to a file of its own in the shared folder, and returns that folder.
+
+    Blocks take their answers from there, so a block's text is never shuffled
+    to meet them, whatever the size of either.
+    """
+    folder = shared.fresh(grouped.sparkSession, name)
+
+    def put(batches):
+        for r in shared.block_rows(batches):
+            n = shared.put_file(f"{folder}/{r['block_id']}", [pickle.dumps(r["value"])])
+            yield pa.record_batch([pa.array([r["block_id"]], pa.int64()), pa.array([n], pa.int64())], ["block_id", "bytes"])
 
-def told(blocks: DataFrame, answers: DataFrame, size) -> DataFrame:
-    """Blocks with their answers; a small table of answers is broadcast, once its size has been measured."""
-    total = answers.agg(F.sum(size)).first()[0] or 0
-    return blocks.join(F.broadcast(answers) if total <= SMALL else answers, "block_id", "left")
+    shared.staged(grouped.select("block_id", "value").mapInArrow(put, "block_id long, bytes long"), f"{name}-files")
+    return folder
 
 
-def reply_size(name: str):
-    return F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + F.length(x["q"]) + 40)
+def fetch(folder: str, block_id: int):
+    """A block's value, or None."""
+    fs, path = shared.open_shared(f"{folder}/{block_id}")
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(path) as f:
+        return pickle.loads(f.read())
 
 
 def read(u: np.ndarray, answer: list | None, n: int) -> np.ndarray:

@@ -50,10 +50,10 @@ def sets_of_block(row: dict):
     return ids, known, u, at
 
 
-def prefixes(row: dict, n: int):
+def prefixes(row: dict, n: int, answers: str):
     """For each text of a block: its id, class, shingles, and the rest of its prefix with frequency classes (None if it can't link)."""
     ids, known, u, at = sets_of_block(row)
-    q = frequency.read(u, row["replies"], n)
+    q = frequency.read(u, frequency.fetch(answers, row["block_id"]), n)
     m1, m2 = tv.mix(u), tv.mix(u * tv.U(0xD6E8FEB86659FD93) + tv.U(1))
     for i in range(len(ids)):
         a, b = at[i], at[i + 1]
@@ -86,28 +86,26 @@ def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = shared.parts(docs.sparkSession)
     blocks = shared.stage_blocks(docs, "jaccard-blocks")
     answers = frequency.replies(blocks, n, lambda r: sets_of_block(r)[2], "replies")
-    told = frequency.told(blocks, answers, frequency.reply_size("replies"))
 
     def label(batches):
         for r in shared.block_rows(batches):
-            rows = [(doc, cls, len(x), r["block_id"] if rest else None, i if rest else None) for i, (doc, cls, x, rest) in enumerate(prefixes(r, n))]
+            rows = [(doc, cls, len(x), r["block_id"] if rest else None, i if rest else None) for i, (doc, cls, x, rest) in enumerate(prefixes(r, n, answers))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True)], ["doc_id", "cls", "n", "block_id", "nth"])
 
-    marked = shared.staged(told.mapInArrow(label, "doc_id long, cls binary, n long, block_id long, nth int"), "jaccard-marked")
+    marked = shared.staged(blocks.mapInArrow(label, "doc_id long, cls binary, n long, block_id long, nth int"), "jaccard-marked")
     one = marked.filter("nth is not null").groupBy("cls").agg(F.min(F.struct("block_id", "nth")).alias("at"))
-    chosen = shared.staged(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("chosen")), "jaccard-chosen")
+    chosen = frequency.filed(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("value")), "jaccard-chosen")
     names = ["cls", "n", "toks", "n_norm", "cost", "set", "bitmap"]
 
     def gather(batches):
         for r in shared.block_rows(batches):
-            wanted = set(r["chosen"] or ())
+            wanted = set(frequency.fetch(chosen, r["block_id"]) or ())
             if not wanted:
                 continue
-            rows = [(cls, len(x), rest[0].astype("<u8").tobytes(), rest[1], rest[2], x.astype("<u8").tobytes(), bitmap(x)) for i, (_, cls, x, rest) in enumerate(prefixes(r, n)) if i in wanted]
+            rows = [(cls, len(x), rest[0].astype("<u8").tobytes(), rest[1], rest[2], x.astype("<u8").tobytes(), bitmap(x)) for i, (_, cls, x, rest) in enumerate(prefixes(r, n, answers)) if i in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary()], strict=True)], names)
 
-    own = frequency.told(told, chosen, F.size("chosen") * 4 + 24).filter("chosen is not null")
-    return marked.select("doc_id", "cls", "n"), shared.staged(own.mapInArrow(gather, CAND), "jaccard-cands")
+    return marked.select("doc_id", "cls", "n"), shared.staged(blocks.mapInArrow(gather, CAND), "jaccard-cands")
 
 
 def boundary(cands: DataFrame) -> int:

@@ -216,8 +216,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
     sent = blocks.mapInArrow(send, "bucket int, block_id long, keys binary, counts binary").repartitionById(n, F.col("bucket"))
     back = shared.staged(sent.mapInArrow(add_up, "block_id long, bucket int, q binary, path string, ends binary, facts array<long>"), "lm-bigrams")
-    answers = shared.staged(back.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "q")).alias("codes")), "lm-codes")
-    told = frequency.told(blocks, answers, frequency.reply_size("codes"))
+    codes = frequency.filed(back.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "q")).alias("value")), "lm-codes")
 
     def by_word(batches):
         d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -225,7 +224,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
             v, w, at, key, _, place = pairs(row)
             cut = np.append(np.searchsorted(key, edges), len(key))
             code = np.zeros(len(key), np.uint8)
-            for x in row["codes"] or []:
+            for x in frequency.fetch(codes, row["block_id"]) or []:
                 b = x["bucket"]
                 code[cut[b] : cut[b + 1]] = np.frombuffer(d.decompress(x["q"]), np.uint8)
             own = code >= 4
@@ -262,7 +261,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
         facts = [int(word[:, 0].sum()), len(word), int(word[:, 1].sum()), *(int(np.count_nonzero(word[:, 1] == j)) for j in (1, 2, 3, 4)), int(np.count_nonzero(word[:, 1] > 2)), len(first)]
         yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([path]), pa.array([s[0].tobytes() + s[-1].tobytes()], pa.binary()), pa.array([facts], pa.list_(pa.int64()))], ["bucket", "path", "ends", "facts"])
 
-    words = told.mapInArrow(by_word, "bucket int, keys binary, rows binary").repartitionById(n, F.col("bucket"))
+    words = blocks.mapInArrow(by_word, "bucket int, keys binary, rows binary").repartitionById(n, F.col("bucket"))
     words = shared.staged(words.mapInArrow(word_shard, "bucket int, path string, ends binary, facts array<long>"), "lm-words")
 
     def shards(df, sizes):

@@ -46,57 +46,67 @@ LEFT = 96  # the anchor's column: a multiple of the period, at least SPAN - 1
 WIDTH = LEFT + 112
 FREQUENT = 6  # frequency class from which windows are counted too: 32 occurrences
 SLAB = 12_000
-_CHUNK = 1 << 16
+_CHUNK = 1 << 14
 
 
 def loads(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     """The eight bytes from each position as an integer; zeros follow the end."""
-    n = len(data)
-    pad = np.zeros((n + 23) // 8 * 8, np.uint8)
-    pad[:n] = data
-    out = np.empty(len(pad) - 15, np.uint64)
-    for s in range(8):
-        x = pad[s : s + (len(pad) - s) // 8 * 8].view(order)
-        m = len(out[s::8])
-        out[s::8] = x[:m]
-    return out[:n]
+    pad = np.zeros(len(data) + 7, np.uint8)
+    pad[: len(data)] = data
+    return np.ndarray(len(data), order, pad, strides=(1,)).astype(np.uint64)
 
 
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all windows inside texts: hash, position, and the first and last window of each run."""
-    n = len(data)
+    n = len(data) - LENGTH + 1
     empty = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return np.zeros(0, np.uint64), empty, empty, empty
-    word = loads(data)
-    h = word[: n - K + 1] * tv.U(0x9E3779B97F4A7C15) + (word[8 : n - K + 9] ^ (word[8 : n - K + 9] >> tv.U(31))) * tv.U(0xC2B2AE3D27D4EB4F)
-    h ^= h >> tv.U(32)
-    h *= tv.U(0xD6E8FEB86659FD93)
-    h ^= h >> tv.U(29)
-    edge = np.zeros(n + 1, np.int32)
+    nothing = np.zeros(0, np.uint64), empty, empty, empty
+    if n < 1:
+        return nothing
+    edge = np.zeros(n + 1, np.int8)
     long = np.diff(offs) >= LENGTH
     np.add.at(edge, offs[:-1][long], 1)
     np.add.at(edge, offs[1:][long] - LENGTH + 1, -1)
-    valid = np.cumsum(edge[: n - LENGTH + 1]) > 0
-    pick = np.empty(len(valid), np.int64)
-    low = tv.U((1 << 17) - 1)
-    for at in range(0, len(valid), _CHUNK):
-        m = min(_CHUNK, len(valid) - at)
-        x = (h[at : at + m + SPAN - 1] & ~low) | np.arange(m + SPAN - 1, dtype=np.uint64)
-        w = 1
-        while 2 * w <= SPAN:
-            x = np.minimum(x[:-w], x[w:])
-            w *= 2
-        x = np.minimum(x[: len(x) - (SPAN - w)], x[SPAN - w :])
-        pick[at : at + m] = (x & low).astype(np.int64) + at
-    where = np.flatnonzero(valid)
-    if not len(where):
-        return np.zeros(0, np.uint64), empty, empty, empty
-    p = pick[where]
-    new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (where[1:] != where[:-1] + 1)]))
-    first, anchor = where[new], p[new]
-    last = where[np.append(new[1:], len(where)) - 1]
-    return tv.mix(h[anchor]), anchor, first, last
+    valid = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+    low, clear = tv.U((1 << 17) - 1), ~tv.U((1 << 17) - 1)
+    words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    count = np.arange(_CHUNK + SPAN, dtype=np.uint64)
+    firsts, picks, before = [], [], -1
+    for at in range(0, n, _CHUNK):
+        m = min(_CHUNK, n - at)
+        w = words[at : at + m + SPAN + 7].astype(np.uint64)
+        x = w[: m + SPAN - 1] * tv.U(0x9E3779B97F4A7C15)
+        w *= tv.U(0xC2B2AE3D27D4EB4F)
+        w ^= w >> tv.U(31)
+        x += w[8 : m + SPAN + 7]
+        x ^= x >> tv.U(32)
+        x *= tv.U(0xD6E8FEB86659FD93)
+        x &= clear
+        x |= count[: m + SPAN - 1]
+        k = 1
+        while 2 * k <= SPAN:
+            x = np.minimum(x[:-k], x[k:])
+            k *= 2
+        x = np.minimum(x[: len(x) - (SPAN - k)], x[SPAN - k :])
+        pick = (x & low).astype(np.int64)
+        pick += at
+        ok = valid[at : at + m]
+        new = np.empty(m, bool)
+        new[0] = pick[0] != before or not at or not valid[at - 1]
+        np.not_equal(pick[1:], pick[:-1], out=new[1:])
+        new[1:] |= ~ok[:-1]
+        new &= ok
+        f = np.flatnonzero(new)
+        firsts.append(f + at)
+        picks.append(pick[f])
+        before = pick[-1] if ok[-1] else -1
+    first, anchor = np.concatenate(firsts), np.concatenate(picks)
+    if not len(first):
+        return nothing
+    stop = np.searchsorted(offs, first, side="right")
+    last = np.minimum(np.append(first[1:], n) - 1, offs[stop] - LENGTH)
+    key = words[anchor].astype(np.uint64) * tv.U(0x9E3779B97F4A7C15) + tv.mix(words[anchor + 8].astype(np.uint64))
+    return tv.mix(key), anchor, first, last
 
 
 def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,17 +122,17 @@ def _expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
-def _frequent(row: dict, n: int):
+def _frequent(row: dict, n: int, anchors: str):
     """Runs of the block that may repeat, and which of them are frequent."""
     ids, known, data, offs = shared.open_block(row)
     h, anchor, first, last = runs(data, offs)
-    q = frequency.read(h, row["anchors"], n)
+    q = frequency.read(h, frequency.fetch(anchors, row["block_id"]), n)
     keep = q > 0
     return ids, known, data, offs, h[keep], anchor[keep], first[keep], last[keep], q[keep] >= FREQUENT
 
 
-def _windows(row: dict, n: int) -> np.ndarray:
-    _, _, data, _, _, _, first, last, often = _frequent(row, n)
+def _windows(row: dict, n: int, anchors: str) -> np.ndarray:
+    _, _, data, _, _, _, first, last, often = _frequent(row, n, anchors)
     return window_hashes(data, _expand(first[often], last[often]))
 
 
@@ -133,7 +143,7 @@ def cover_ranks(rows: np.ndarray) -> np.ndarray:
     word = _words(rows)
 
     def rank(x):
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         s = x[order]
         r = np.empty(len(x), np.uint64)
         r[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.uint64)])).astype(np.uint64)
@@ -190,8 +200,8 @@ def repeats(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray)
     return first, last
 
 
-def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The staged blocks, and (block_id, cuts): starts and ends of what repeats in them."""
+def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
+    """The staged blocks, and a folder with starts and ends of what repeats in each."""
     n = shared.parts(docs.sparkSession)
     staged = shared.stage_blocks(docs, "substring-blocks", rest=rest)
     blocks = staged.drop("rest")
@@ -201,19 +211,17 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame
         return runs(data, offs)[0]
 
     anchors = frequency.replies(blocks, n, anchor_hashes, "anchors")
-    marked = frequency.told(blocks, anchors, frequency.reply_size("anchors"))
-    windows = frequency.replies(marked, n, lambda r: _windows(r, n), "windows")
-    marked = frequency.told(marked, windows, frequency.reply_size("windows"))
+    windows = frequency.replies(blocks, n, lambda r: _windows(r, n, anchors), "windows")
     edges = frequency.bounds(n)
     names = ["bucket", "block_id", "head", "bytes", "cuts"]
 
     def send(batches):
         z = zstandard.ZstdCompressor(level=1)
         for row in shared.block_rows(batches):
-            ids, known, data, offs, h, anchor, first, last, often = _frequent(row, n)
+            ids, known, data, offs, h, anchor, first, last, often = _frequent(row, n, anchors)
             if often.any():
                 at = _expand(first[often], last[often])
-                q = frequency.read(window_hashes(data, at), row["windows"], n)
+                q = frequency.read(window_hashes(data, at), frequency.fetch(windows, row["block_id"]), n)
                 run = np.repeat(np.flatnonzero(often), (last - first + 1)[often])
                 lo, hi = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
                 np.minimum.at(lo, run[q > 0], at[q > 0])
@@ -300,16 +308,16 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame
             if mine.any():
                 yield pa.record_batch([pa.array([x], pa.int64()), pa.array([np.stack([begin[mine], end[mine]], axis=1).astype("<i8").tobytes()], pa.binary())], ["block_id", "cuts"])
 
-    sent = marked.mapInArrow(send, "bucket int, block_id long, head binary, bytes binary, cuts binary").repartitionById(n, F.col("bucket"))
+    sent = blocks.mapInArrow(send, "bucket int, block_id long, head binary, bytes binary, cuts binary").repartitionById(n, F.col("bucket"))
     cuts = sent.mapInArrow(find, "block_id long, cuts binary")
-    return staged, shared.staged(cuts.groupBy("block_id").agg(F.collect_list("cuts").alias("cuts")), "cuts")
+    return staged, frequency.filed(cuts.groupBy("block_id").agg(F.collect_list("cuts").alias("value")), "cuts")
 
 
-def spans(row: dict) -> tuple:
+def spans(row: dict, cuts: str) -> tuple:
     """The block's texts and the maximal removed intervals of each, in bytes of the text."""
     ids, known, data, offs = shared.open_block(row)
     gone = np.zeros(len(data) + 1, np.int32)
-    for c in row["cuts"] or []:
+    for c in frequency.fetch(cuts, row["block_id"]) or []:
         x = np.frombuffer(c, "<i8").reshape(-1, 2)
         np.add.at(gone, x[:, 0], 1)
         np.add.at(gone, x[:, 1], -1)
@@ -320,10 +328,11 @@ def spans(row: dict) -> tuple:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    blocks, cuts = intervals(docs)
 
     def each(batches):
         for row in shared.block_rows(batches):
-            ids, known, data, offs, gone = spans(row)
+            ids, known, data, offs, gone = spans(row, cuts)
             out = []
             for i in range(len(ids)):
                 x, g = data[offs[i] : offs[i + 1]], gone[offs[i] : offs[i + 1]]
@@ -333,12 +342,7 @@ def measured(docs: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
-    return _cut(docs).mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cut(docs: DataFrame, rest: bool = False) -> DataFrame:
-    blocks, cuts = intervals(docs, rest)
-    return frequency.told(blocks, cuts, F.aggregate("cuts", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 40))
+    return blocks.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_texts(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -349,11 +353,12 @@ def kept_texts(docs: DataFrame, text_col: str = "text", length_col: str = "n_cha
     it exists, gets the new number of characters.
     """
     schema = docs.schema
+    blocks, cuts = intervals(docs, rest=True)
 
     def each(batches):
         d = zstandard.ZstdDecompressor()
         for row in shared.block_rows(batches):
-            ids, known, data, offs, gone = spans(row)
+            ids, known, data, offs, gone = spans(row, cuts)
             at = np.flatnonzero((data & 0xC0) != 0x80)
             if len(at):
                 gone = np.repeat(np.logical_and.reduceat(gone, at), np.diff(at, append=len(data)))
@@ -373,4 +378,4 @@ def kept_texts(docs: DataFrame, text_col: str = "text", length_col: str = "n_cha
                     columns.append(rest[f.name])
             yield from pa.table(columns, names=[f.name for f in schema]).filter(pa.array(keep, pa.bool_())).to_batches()
 
-    return _cut(docs, rest=True).mapInArrow(each, schema)
+    return blocks.mapInArrow(each, schema)

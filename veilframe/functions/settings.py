@@ -20,7 +20,7 @@ FLOOR_MAX, FLOOR_STEP = 0.95, 0.05
 def merge(saved: Column) -> Column:
     """Settings from a JSON column: saved values over defaults; absent or corrupt JSON, and values of another type, give the defaults."""
     got = F.from_json(saved, "enabled string, faces string, minConfidence string")
-    enabled = F.from_json(got["enabled"], "map<string,boolean>", {"mode": "PERMISSIVE"})
+    enabled = F.transform_values(F.from_json(got["enabled"], "map<string,string>"), lambda k, v: F.when(v.isin("true", "false"), v == "true"))
     defaults = F.create_map(*[F.lit(x) for kv in DEFAULTS["enabled"].items() for x in kv])
     both = F.map_zip_with(defaults, F.coalesce(enabled, F.create_map().cast("map<string,boolean>")), lambda k, d, s: F.coalesce(s, d))
     number = F.when(F.get_json_object(saved, "$.minConfidence").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & ~saved.rlike(r'"minConfidence"\s*:\s*"'), F.get_json_object(saved, "$.minConfidence").cast("double"))

@@ -86,8 +86,8 @@ def drawn_boxes(drags: DataFrame, width: str = "width", height: str = "height")
     x0, x1, y0, y1 = clamp("ax", width), clamp("bx", width), clamp("ay", height), clamp("by", height)
     box = F.struct(F.least(x0, x1).alias("x"), F.least(y0, y1).alias("y"), F.abs(x1 - x0).alias("w"), F.abs(y1 - y0).alias("h"))
     rest = [c for c in drags.columns if c not in ("ax", "ay", "bx", "by", width, height)]
-    fit = lambda side: (~F.isnan(F.col("box")[side])) & (F.col("box")[side] >= DRAWN_SIDE)
-    return drags.select(*rest, box.alias("box")).where(fit("w") & fit("h"))
+    known = F.greatest("ax", "ay", "bx", "by") < float("inf")  # NaN counts as the largest
+    return drags.where(known).select(*rest, box.alias("box")).where((F.col("box.w") >= DRAWN_SIDE) & (F.col("box.h") >= DRAWN_SIDE))
 
 
 def cover_rects(regions: Column, manual: Column | None = None) -> Column:

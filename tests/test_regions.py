@@ -137,3 +137,10 @@ def test_sources(spark, tmp_path):
     own = spark.createDataFrame([("a", "L", "x+", None, None)], "id string, label string, pattern string, flags string, severity string")
     assert readers.custom_rules(own) == (CustomRule("a", "L", "x+"),)
     assert json.loads(settings.save(settings.DEFAULTS))["faces"] is True
+
+
+def test_orientation_flow(spark):
+    kind = "image_id long, quarter_turns int, text string, confidence double"
+    first = spark.createDataFrame([(1, 0, f"word{'abcdefgh'[i]}", 90.0) for i in range(8)] + [(2, 0, "xq", 90.0), (3, 0, "x", 1.0)], kind)
+    searched = spark.createDataFrame([(2, t, "word", 90.0) for t in (1, 2, 2, 3, 3)] + [(3, t, "x", 1.0) for t in range(4)] + [(1, 3, "word", 90.0)], kind)
+    assert {r.image_id: r.quarter_turns for r in regions.orientation_flow(first, searched).collect()} == {1: 0, 2: 2, 3: 0}

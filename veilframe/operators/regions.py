@@ -122,3 +122,16 @@ def percentile_cut(histogram: DataFrame, share: float = 0.02, key: str = "image_
     down = Window.partitionBy(key).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     run = histogram.withColumn("below", F.sum("pixels").over(up)).withColumn("above", F.sum("pixels").over(down)).withColumn("all", F.sum("pixels").over(Window.partitionBy(key)))
     return run.groupBy(key).agg(F.min(F.when(F.col("below") >= share * F.col("all"), F.col("bin"))).alias("lo"), F.max(F.when(F.col("above") >= share * F.col("all"), F.col("bin"))).alias("hi"))
+
+
+def orientation_flow(first_reads: DataFrame, searched: DataFrame) -> DataFrame:
+    """The turn of each image: 0 where the first read is clearly upright, else the best of the searched turns.
+
+    `first_reads` are words at turn 0, `searched` words of all four turns (only
+    of images that `needs_search` names; others are ignored).  Images without a
+    single real word in either stay at 0.
+    """
+    first = orientation_scores(first_reads)
+    turned = searched.join(needs_search(first), "image_id", "left_semi")
+    best = best_orientation(orientation_scores(turned)).select("image_id", F.when(F.col("score") > 0, F.col("quarter_turns")).otherwise(0).alias("turns"))
+    return first.where(F.col("quarter_turns") == 0).select("image_id").distinct().join(best, "image_id", "left").select("image_id", F.coalesce("turns", F.lit(0)).alias("quarter_turns"))

@@ -14,9 +14,9 @@ decided exactly on whole sets.
 3. Light sets (few shingles left) enumerate their 2-subsets and meet light
    sets by equal subsets; heavy sets scan the inverted lists of single
    shingles, which hold all sets.  The boundary is the one of least cost:
-   subsets enumerated plus list entries scanned.
+   subsets enumerated plus list entries written and read.
 4. A list isn't expanded into pairs.  Each member is first compared with the
-   list's smallest member.  What that links forms components; then only
+   list's member of the smallest id, often the original of the others.  What that links forms components; then only
    members of different components of a list can still matter, and they are
    compared block by block: bitmaps bound the overlap, whole sets decide.
 
@@ -41,7 +41,8 @@ from .components import components
 
 BITMAP = 2048
 CHUNK = 256
-CAND = "cls binary, n long, toks binary, n_norm int, cost double, set binary, bitmap binary"
+LAST = (1 << 63) - 1
+CAND = "cls binary, age long, n long, toks binary, n_norm int, set binary, bitmap binary"
 
 
 def sets_of_block(row: dict):
@@ -72,7 +73,7 @@ def prefixes(row: dict, n: int, answers: str):
         rest = np.flatnonzero(y)
         rest = rest[np.lexsort((x[rest], y[rest]))][: p + 1 - single]
         norm = max(0, min(p - single, len(rest)))
-        yield doc, cls, x, (x[rest], norm, float(np.exp2(y[rest[:norm]].astype(float)).sum()))
+        yield doc, cls, x, (x[rest], norm)
 
 
 def bitmap(x: np.ndarray) -> bytes:
@@ -93,26 +94,30 @@ def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True)], ["doc_id", "cls", "n", "block_id", "nth"])
 
     marked = shared.staged(blocks.mapInArrow(label, "doc_id long, cls binary, n long, block_id long, nth int"), "jaccard-marked")
-    one = marked.filter("nth is not null").groupBy("cls").agg(F.min(F.struct("block_id", "nth")).alias("at"))
+    one = marked.filter("nth is not null").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("age"), "block_id", "nth")).alias("at"))
     chosen = frequency.filed(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("value")), "jaccard-chosen")
-    names = ["cls", "n", "toks", "n_norm", "cost", "set", "bitmap"]
+    names = ["cls", "age", "n", "toks", "n_norm", "set", "bitmap"]
 
     def gather(batches):
         for r in shared.block_rows(batches):
             wanted = set(frequency.fetch(chosen, r["block_id"]) or ())
             if not wanted:
                 continue
-            rows = [(cls, len(x), rest[0].astype("<u8").tobytes(), rest[1], rest[2], x.astype("<u8").tobytes(), bitmap(x)) for i, (_, cls, x, rest) in enumerate(prefixes(r, n, answers)) if i in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary()], strict=True)], names)
+            rows = [(cls, LAST if doc is None else doc, len(x), rest[0].astype("<u8").tobytes(), rest[1], x.astype("<u8").tobytes(), bitmap(x)) for i, (doc, cls, x, rest) in enumerate(prefixes(r, n, answers)) if i in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names)
 
     return marked.select("doc_id", "cls", "n"), shared.staged(blocks.mapInArrow(gather, CAND), "jaccard-cands")
 
 
 def boundary(cands: DataFrame) -> int:
-    """The largest number of prefix shingles for which enumerating 2-subsets costs less than scanning lists."""
+    """The largest number of prefix shingles up to which enumerating 2-subsets costs less than scanning lists.
+
+    A list is compared with its oldest member, so a scan costs an entry
+    written and one read, not the list's length for each member.
+    """
     size = F.least(F.length("toks") / 8, F.lit(512)).cast("int")
-    rows = {r.m: (r.c, r.s) for r in cands.groupBy(size.alias("m")).agg(F.count("*").alias("c"), F.sum("cost").alias("s")).collect()}
-    best, cost = 0, sum(s for _, s in rows.values())
+    rows = {r.m: (r.c, r.s) for r in cands.groupBy(size.alias("m")).agg(F.count("*").alias("c"), F.sum(2 * F.col("n_norm")).alias("s")).collect()}
+    best, cost = 0, float(sum(s for _, s in rows.values()))
     least = cost
     for m in sorted(rows):
         if m >= 512:
@@ -124,7 +129,7 @@ def boundary(cands: DataFrame) -> int:
 
 
 def keys_of(cands: DataFrame, light: int) -> DataFrame:
-    """(key, cls, n, role): role 0 a 2-subset of a light set, 1 a shingle of a light set, 2 a shingle of a heavy one."""
+    """(key, cls, age, n, role): role 0 a 2-subset of a light set, 1 a shingle of a light set, 2 a shingle of a heavy one."""
 
     def each(batches):
         for r in shared.block_rows(batches):
@@ -138,9 +143,9 @@ def keys_of(cands: DataFrame, light: int) -> DataFrame:
                 sub = np.zeros(0, np.uint64)
             key = np.concatenate([sub, norm]).view(np.int64)
             role = np.concatenate([np.zeros(len(sub), np.int32), np.full(len(norm), 1 if is_light else 2, np.int32)])
-            yield pa.record_batch([pa.array(key), pa.array([r["cls"]] * len(key), pa.binary()), pa.array(np.full(len(key), r["n"])), pa.array(role)], ["key", "cls", "n", "role"])
+            yield pa.record_batch([pa.array(key), pa.array([r["cls"]] * len(key), pa.binary()), pa.array(np.full(len(key), r["age"])), pa.array(np.full(len(key), r["n"])), pa.array(role)], ["key", "cls", "age", "n", "role"])
 
-    return cands.select("cls", "n", "toks", "n_norm").mapInArrow(each, "key long, cls binary, n long, role int")
+    return cands.select("cls", "age", "n", "toks", "n_norm").mapInArrow(each, "key long, cls binary, age long, n long, role int")
 
 
 def verify(pairs: DataFrame, cands: DataFrame) -> DataFrame:
@@ -170,11 +175,11 @@ _NEAR = "100 * least({0}, {1}) >= 75 * greatest({0}, {1})"
 def links(cands: DataFrame) -> DataFrame:
     """Enough links to connect whatever is connected, each decided exactly."""
     keys = keys_of(cands, boundary(cands))
-    lists = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("role").alias("top"), F.count("*").alias("members"))
-    lists = shared.staged(lists.filter("members > 1 and top != 1"), "jaccard-lists")
+    lists = keys.groupBy("key").agg(F.min(F.struct("age", "cls")).alias("oldest"), F.max("role").alias("top"), F.count("*").alias("members"))
+    lists = shared.staged(lists.filter("members > 1 and top != 1").select("key", F.col("oldest.cls").alias("hub")), "jaccard-lists")
     keys = shared.staged(keys.join(lists.select("key"), "key", "left_semi"), "jaccard-keys")
     sizes = cands.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
-    star = keys.join(lists.select("key", "hub"), "key").filter("cls != hub").select("cls", "n", "hub").distinct()
+    star = keys.join(lists, "key").filter("cls != hub").select("cls", "n", "hub").distinct()
     star = star.join(sizes, "hub").filter(_NEAR.format("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     first = shared.staged(verify(shared.staged(star, "jaccard-pairs"), cands), "jaccard-links")
 

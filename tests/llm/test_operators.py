@@ -207,7 +207,7 @@ def test_piece_encoder_equals_whole_encoding():
 def test_token_tables(docs):
     own = rows_of(docs)
     ids = whole_ids([t for _, t in own])
-    order = sorted(range(len(own)), key=lambda i: (own[i][0] is not None, own[i][0] or 0, np.array([*ids[i], 0], "<u4").tobytes()))
+    order = sorted(range(len(own)), key=lambda i: (own[i][0] is not None, own[i][0] or 0, zlib.crc32(own[i][1].encode()), np.array([*ids[i], 0], "<u4").tobytes()))
     want, at = [], 0
     for i in order:
         x = np.array([*ids[i], 0], "<u4")

@@ -9,8 +9,8 @@ footer, asks the filter, finds the block by binary search in the index, and
 walks that block.
 
 Defined cases: null or empty text gives only the end id; a null key sorts
-before all others; equal keys (repeated rows) keep an entry each, in the order
-of their ids; very long texts are one entry in a block of its own; an empty
+before all others; equal keys (repeated rows) keep an entry each, by crc32 of
+the text and then by token ids, and may span shards; very long texts are one entry in a block of its own; an empty
 table gives no shards and no rows.  Further columns of the input are ignored.
 """
 
@@ -160,23 +160,25 @@ def write(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id:
         z, d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             for s in shared.slices(batch, "text"):
-                for i, ids in zip(s.column(0).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
-                    held.append((key_of(i), z.compress(ids + end), len(ids) // 4 + 1))
+                for i, crc, ids in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
+                    held.append(((key_of(i), crc), z.compress(ids + end), len(ids) // 4 + 1))
         if not held:
             return
         held.sort(key=lambda x: x[0])
         n = TaskContext.get().partitionId()
         file = f"{path}/shard-{n:06d}.sst"
-        shared.put_file(file, write_shard((k, d.decompress(v)) for k, v, _ in _settled(held)))
+        shared.put_file(file, write_shard((k[0], d.decompress(v)) for k, v, _ in _settled(held)))
         yield pa.RecordBatch.from_pydict({"shard": [n], "file": [file], "n_docs": [len(held)], "n_ids": [sum(x[2] for x in held)]}, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = plain.repartitionByRange(shared.parts(docs.sparkSession), F.col("id").asc_nulls_first())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.crc32(text.cast("binary")).alias("crc"))
+    # the checksum splits rows that share an id, or have none, over several shards
+    dealt = plain.repartitionByRange(shared.parts(docs.sparkSession), F.col("id").asc_nulls_first(), "crc")
     return shared.staged(dealt.mapInArrow(shard, "shard long, file string, n_docs long, n_ids long"), "sst-manifest")
 
 
 def _settled(held):
-    """Entries of equal keys in the order of their ids, so that a repeated task writes the same file."""
+    """Entries of equal keys in the order of their token ids, so that a repeated task writes the same file."""
     at = 0
     while at < len(held):
         to = at + 1

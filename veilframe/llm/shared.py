@@ -22,9 +22,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; where it is unset (tests), an own one."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, an own one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="veilframe-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-_KEPT = 1_500_000
+_KEPT = 1_000_000
 
 
 def byte_characters() -> dict[int, str]:

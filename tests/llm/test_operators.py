@@ -281,23 +281,42 @@ def test_token_counts(docs, spark, tmp_path):
     assert spark.read.schema(token_counts.CACHE).parquet(cache).count() == stored == len({t for _, t in rows_of(docs)})
 
 
+def brute_top_k(rows):
+    """Every row of a divisible id against every other row."""
+    own = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, x) in enumerate(own):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), c) for m, (c, y) in enumerate(own) if m != n)[:5]
+            want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+    return want
+
+
 def test_exact_top_k(spark):
     rng = random.Random(4)
-    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
+    rows = [(i, [float(np.float32(rng.gauss(0, 0.3))) for _ in range(8)]) for i in range(700)]
     rows += [(1000 + i, [0.5] * 8) for i in range(200)]
-    rows += [(2000, None), (2050, [float("nan")] * 8), (2100, [None] + [0.1] * 7), (None, [0.1] * 8), (2150, [0.2, 0.3]), (2200, []), (2250, [float("inf")] * 8), rows[50]]
+    rows += [(2000, None), (2050, [float("nan")] * 8), (2100, [None] + [0.125] * 7), (None, [0.125] * 8), (2150, [0.25, 0.375]), (2200, []), (2250, [float("inf")] * 8), rows[50], rows[50]]
+    rows += [(100, [2.0] * 8), (7, [0.5] * 8), (7, [3.0, -3.0] * 4), (-50, [-0.75] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(4)
-    f32 = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in f32 if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(f32[q], f32[c], strict=False)), c) for c in f32 if c != q)[:5]
-        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in vector_search.top_k(df).collect()} == want
+    assert Counter(tuple(r) for r in vector_search.top_k(df).collect()) == brute_top_k(rows)
     assert vector_search.top_k(df.limit(0)).count() == 0
     two = spark.createDataFrame([(0, [0.5]), (7, [0.25])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_search.top_k(two).collect()] == [(0, 1, 7, 128 * 64)]
 
 
+def test_exact_top_k_of_large_components(spark):
+    rng = random.Random(6)
+    for size, dim in ((5e6, 1), (3e6, 3), (1e5, 40)):
+        rows = [(i, [size * rng.choice([1, 2, rng.uniform(-1, 1)]) for _ in range(dim)]) for i in range(150)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        assert Counter(tuple(r) for r in vector_search.top_k(df).collect()) == brute_top_k(rows)
+    for big in (1e9, 1e17, 1e308):  # a product, a component and its multiple beyond 64 bits
+        df = spark.createDataFrame([(0, [big]), (1, [big])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            vector_search.top_k(df).collect()
+
+
 def test_warc(spark):
     rows = [(i, f"http://h/{i}", None if i % 9 == 0 else "" if i % 9 == 1 else f"<p>{'é' * (i % 13) * 20}</p>") for i in range(120)]
     rows += [(500, "u\r\nX: y", "z" * 300), (500, "u2", "z" * 300), (501, None, "z" * 300), (None, "n", "z" * 300)]

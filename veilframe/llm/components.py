@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """(node, label): each node of an edge with one node that stands for all it reaches.
 
     A round hooks each node to its smallest neighbour, follows the hooks to
-    their roots, and keeps only edges between different roots, so the table
-    shrinks by half at least.  Each step is written; a lost executor costs one
-    step at most.
+    their roots, and keeps only edges between different roots, until none is
+    left; should that take more than `rounds`, it raises.  Each step is written
+    and its predecessor deleted; a lost executor costs one step at most.
     """
     open_ = shared.staged(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
     labels = None
@@ -24,16 +24,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
             higher = shared.staged(roots.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+            shared.drop(roots)
             if not higher.filter("moved").limit(1).count():
+                roots = higher
                 break
-            roots = higher.select("node", "root")
+            roots = higher
         if labels is None:
-            labels = roots.withColumnRenamed("root", "label")
+            labels = shared.staged(roots.select("node", F.col("root").alias("label")), "labels")
         else:
-            labels = shared.staged(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            before = labels
+            labels = shared.staged(before.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            shared.drop(before)
         left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
         between = open_.join(left, "a").join(right, "b").filter("x != y")
-        open_ = shared.staged(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, open_ = open_, shared.staged(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        shared.drop(before, roots)
         if not open_.limit(1).count():
-            break
-    return labels
+            shared.drop(open_)
+            return labels
+    raise RuntimeError(f"components aren't settled after {rounds} rounds")

@@ -22,9 +22,7 @@ smaller item id; an empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-import io
 import itertools
-import pickle
 from collections import Counter
 
 import numpy as np
@@ -39,7 +37,7 @@ from . import textvec as tv
 RADIUS, BLOCKS, BITS = 15, 4, 16
 NEAR = RADIUS // BLOCKS
 _MASKS = np.array([sum(1 << b for b in c) for r in range(NEAR + 1) for c in itertools.combinations(range(BITS), r)], np.uint16)
-_LOADED: dict[str, "Slice"] = {}
+_LOADED: dict[str, "Slice"] = shared.kept("slices")
 
 
 def words_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +157,12 @@ def slices_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
     folder = shared.fresh(spark, "benchmark")
 
     def flush():
-        files.append(f"{folder}/slice-{len(files):06d}.pickle")
-        shared.put_file(files[-1], [pickle.dumps(list(zip(*held, strict=True)))])
+        files.append(f"{folder}/slice-{len(files):06d}.arrow")
+        ids, texts = zip(*held, strict=True)
+        own, sink = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"]), pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, own.schema) as out:
+            out.write_batch(own)
+        shared.put_file(files[-1], [sink.getvalue()])
         held.clear()
 
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
@@ -179,8 +181,8 @@ def load(file: str) -> Slice:
         _LOADED.clear()
         fs, path = shared.open_shared(file)
         with fs.open_input_file(path) as f:
-            ids, texts = pickle.load(io.BytesIO(f.read()))
-        _LOADED[file] = Slice(list(ids), list(texts))
+            own = pa.ipc.open_file(f).read_all()
+        _LOADED[file] = Slice(own["id"].to_pylist(), own["text"].to_pylist())
     return _LOADED[file]
 
 
@@ -200,13 +202,13 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_co
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, "text", 16 << 20):
+            for s in shared.slices(batch, 1, 16 << 20):
                 found = _found(s.column(1), files, threshold)
                 rows = [min(found[t]) if t in found else None for t in range(s.num_rows)]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([r is not None for r in rows]), pa.array([len(found.get(t, ())) for t in range(s.num_rows)], pa.int64()), pa.array([r and r[3] for r in rows], pa.int64()), pa.array([-r[0] if r else None for r in rows], pa.float64())], schema=schema)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(each, "doc_id long, contaminated boolean, n_items long, item_id long, similarity double")
+    return plain.mapInArrow(shared.task(each, "slices"), "doc_id long, contaminated boolean, n_items long, item_id long, similarity double")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text_col: str = "text") -> DataFrame:
@@ -215,8 +217,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text_c
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, text_col, 16 << 20):
+            for s in shared.slices(batch, batch.schema.get_field_index(text_col), 16 << 20):
                 found = _found(s.column(s.schema.get_field_index(text_col)), files, threshold)
                 yield s.filter(pa.array([t not in found for t in range(s.num_rows)]))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(shared.task(each, "slices"), docs.schema)

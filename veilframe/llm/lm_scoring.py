@@ -37,7 +37,7 @@ from . import textvec as tv
 
 END, BOS = tv.U(0x5851F42D4C957F2D), tv.U(0x14057B7EF767814F)
 BLOCK = 16 << 20
-_MAPS: dict[str, tuple] = {}
+_MAPS: dict[str, tuple] = shared.kept("maps")
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,8 +214,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([z.compress(code[at : at + len(k)].tobytes())], pa.binary()), pa.array([path if not i else None], pa.string()), pa.array([s[0].tobytes() + s[-1].tobytes() if not i else None], pa.binary()), pa.array([facts], pa.list_(pa.int64()))], ["block_id", "bucket", "q", "path", "ends", "facts"])
             at += len(k)
 
-    sent = blocks.mapInArrow(send, "bucket int, block_id long, keys binary, counts binary").repartitionById(n, F.col("bucket"))
-    back = shared.staged(sent.mapInArrow(add_up, "block_id long, bucket int, q binary, path string, ends binary, facts array<long>"), "lm-bigrams")
+    sent = blocks.mapInArrow(shared.task(send), "bucket int, block_id long, keys binary, counts binary").repartitionById(n, F.col("bucket"))
+    back = shared.staged(sent.mapInArrow(shared.task(add_up), "block_id long, bucket int, q binary, path string, ends binary, facts array<long>"), "lm-bigrams")
     codes = frequency.filed(back.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "q")).alias("value")), "lm-codes")
 
     def by_word(batches):
@@ -261,8 +261,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
         facts = [int(word[:, 0].sum()), len(word), int(word[:, 1].sum()), *(int(np.count_nonzero(word[:, 1] == j)) for j in (1, 2, 3, 4)), int(np.count_nonzero(word[:, 1] > 2)), len(first)]
         yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([path]), pa.array([s[0].tobytes() + s[-1].tobytes()], pa.binary()), pa.array([facts], pa.list_(pa.int64()))], ["bucket", "path", "ends", "facts"])
 
-    words = blocks.mapInArrow(by_word, "bucket int, keys binary, rows binary").repartitionById(n, F.col("bucket"))
-    words = shared.staged(words.mapInArrow(word_shard, "bucket int, path string, ends binary, facts array<long>"), "lm-words")
+    words = blocks.mapInArrow(shared.task(by_word), "bucket int, keys binary, rows binary").repartitionById(n, F.col("bucket"))
+    words = shared.staged(words.mapInArrow(shared.task(word_shard), "bucket int, path string, ends binary, facts array<long>"), "lm-words")
 
     def shards(df, sizes):
         out, facts = [], []
@@ -284,12 +284,12 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 1, id_col:
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, "text", BLOCK):
+            for s in shared.slices(batch, 1, BLOCK):
                 n, known, base, own = model.score(*tv.text_buffers(s.column(1)))
                 yield pa.record_batch([s.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens, np.int64)), pa.array(base), pa.array(own)], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = plain.mapInArrow(each, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = plain.mapInArrow(shared.task(each, "maps"), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("held_out", F.coalesce(shared.crc_rest("doc_id", folds) == held, F.lit(False)))
 
 

@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, c
 
         enc, end, part = encoder(vocabulary(vocab)), struct.pack("<I", end_id), TaskContext.get().partitionId()
         for batch in batches:
-            for s in shared.slices(batch, "text"):
+            for s in shared.slices(batch, 1):
                 rows = []
                 for i, ids in zip(s.column(0).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
                     ids += end
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, c
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
     names = ["part", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return shared.staged(plain.mapInArrow(cut, PIECES + ", ids binary" * keep_ids), "pieces")
+    return shared.staged(plain.mapInArrow(shared.task(cut, "encoders"), PIECES + ", ids binary" * keep_ids), "pieces")
 
 
 def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
@@ -221,4 +221,4 @@ def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(sid), pa.array(off)], [*keep, "sequence_id", "offset"])
 
     kept = ", ids binary" * ("ids" in cut.columns)
-    return ranked.mapInArrow(place, PIECES.removeprefix("part long, ") + kept + ", sequence_id long, offset long")
+    return ranked.mapInArrow(shared.task(place), PIECES.removeprefix("part long, ") + kept + ", sequence_id long, offset long")

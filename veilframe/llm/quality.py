@@ -122,11 +122,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, "text"):
+            for s in shared.slices(batch, 1):
                 yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in statistics(s.column(1))], pa.binary())], ["doc_id", "x"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return shared.staged(plain.mapInArrow(each, "doc_id long, x binary"), "statistics")
+    return shared.staged(plain.mapInArrow(shared.task(each), "doc_id long, x binary"), "statistics")
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, folds: int = 3, held: int = 1) -> Model:
@@ -148,7 +148,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrink: flo
         yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
 
     joined = stats.join(rows, "doc_id").select("x", "y")
-    total = {r.i: r.v for r in joined.mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    total = {r.i: r.v for r in joined.mapInArrow(shared.task(sums), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     flat = np.array([total.get(i, 0.0) for i in range(2 + 2 * d + 2 * d * d)])
     return Model(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d), shrink)
 
@@ -162,7 +162,7 @@ def score(stats: DataFrame, model: Model, folds: int = 3, held: int = 1) -> Data
             p = model.score(x)
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = stats.mapInArrow(each, "doc_id long, score double, predicted int")
+    out = stats.mapInArrow(shared.task(each), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(shared.crc_rest("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -177,7 +177,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", **optio
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, text_col):
+            for s in shared.slices(batch, batch.schema.get_field_index(text_col)):
                 yield s.filter(pa.array(model.score(statistics(s.column(s.schema.get_field_index(text_col)))) >= 0.5))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(shared.task(each), docs.schema)

@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id:
         enc, end, held = encoder(vocabulary(vocab)), struct.pack("<I", end_id), []
         z, d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
-            for s in shared.slices(batch, "text"):
+            for s in shared.slices(batch, 1):
                 for i, crc, ids in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
                     held.append(((key_of(i), crc), z.compress(ids + end), len(ids) // 4 + 1))
         if not held:
@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.crc32(text.cast("binary")).alias("crc"))
     # the checksum splits rows that share an id, or have none, over several shards
     dealt = plain.repartitionByRange(shared.parts(docs.sparkSession), F.col("id").asc_nulls_first(), "crc")
-    return shared.staged(dealt.mapInArrow(shard, "shard long, file string, n_docs long, n_ids long"), "sst-manifest")
+    return shared.staged(dealt.mapInArrow(shared.task(shard, "encoders"), "shard long, file string, n_docs long, n_ids long"), "sst-manifest")
 
 
 def _settled(held):
@@ -213,7 +213,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("file", "start").mapInArrow(open_files, SCHEMA)
+    return files.select("file", "start").mapInArrow(shared.task(open_files), SCHEMA)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

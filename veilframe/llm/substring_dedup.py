@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,17 +123,17 @@ def _expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
-def _frequent(row: dict, n: int, anchors: str):
+def _frequent(row: dict, anchors: str):
     """Runs of the block that may repeat, and which of them are frequent."""
     ids, known, data, offs = shared.open_block(row)
     h, anchor, first, last = runs(data, offs)
-    q = frequency.read(h, frequency.fetch(anchors, row["block_id"]), n)
+    q = frequency.read(h, anchors, row["block_id"])
     keep = q > 0
     return ids, known, data, offs, h[keep], anchor[keep], first[keep], last[keep], q[keep] >= FREQUENT
 
 
-def _windows(row: dict, n: int, anchors: str) -> np.ndarray:
-    _, _, data, _, _, _, first, last, often = _frequent(row, n, anchors)
+def _windows(row: dict, anchors: str) -> np.ndarray:
+    _, _, data, _, _, _, first, last, often = _frequent(row, anchors)
     return window_hashes(data, _expand(first[often], last[often]))
 
 
@@ -211,17 +212,17 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
         return runs(data, offs)[0]
 
     anchors = frequency.replies(blocks, n, anchor_hashes, "anchors")
-    windows = frequency.replies(blocks, n, lambda r: _windows(r, n, anchors), "windows")
+    windows = frequency.replies(blocks, n, lambda r: _windows(r, anchors), "windows")
     edges = frequency.bounds(n)
     names = ["bucket", "block_id", "head", "bytes", "cuts"]
 
     def send(batches):
         z = zstandard.ZstdCompressor(level=1)
         for row in shared.block_rows(batches):
-            ids, known, data, offs, h, anchor, first, last, often = _frequent(row, n, anchors)
+            ids, known, data, offs, h, anchor, first, last, often = _frequent(row, anchors)
             if often.any():
                 at = _expand(first[often], last[often])
-                q = frequency.read(window_hashes(data, at), frequency.fetch(windows, row["block_id"]), n)
+                q = frequency.read(window_hashes(data, at), windows, row["block_id"])
                 run = np.repeat(np.flatnonzero(often), (last - first + 1)[often])
                 lo, hi = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
                 np.minimum.at(lo, run[q > 0], at[q > 0])
@@ -308,8 +309,8 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
             if mine.any():
                 yield pa.record_batch([pa.array([x], pa.int64()), pa.array([np.stack([begin[mine], end[mine]], axis=1).astype("<i8").tobytes()], pa.binary())], ["block_id", "cuts"])
 
-    sent = blocks.mapInArrow(send, "bucket int, block_id long, head binary, bytes binary, cuts binary").repartitionById(n, F.col("bucket"))
-    cuts = sent.mapInArrow(find, "block_id long, cuts binary")
+    sent = blocks.mapInArrow(shared.task(send), "bucket int, block_id long, head binary, bytes binary, cuts binary").repartitionById(n, F.col("bucket"))
+    cuts = sent.mapInArrow(shared.task(find), "block_id long, cuts binary")
     return staged, frequency.filed(cuts.groupBy("block_id").agg(F.collect_list("cuts").alias("value")), "cuts")
 
 
@@ -317,7 +318,7 @@ def spans(row: dict, cuts: str) -> tuple:
     """The block's texts and the maximal removed intervals of each, in bytes of the text."""
     ids, known, data, offs = shared.open_block(row)
     gone = np.zeros(len(data) + 1, np.int32)
-    for c in frequency.fetch(cuts, row["block_id"]) or []:
+    for c in frequency.fetch(cuts, row["block_id"]):
         x = np.frombuffer(c, "<i8").reshape(-1, 2)
         np.add.at(gone, x[:, 0], 1)
         np.add.at(gone, x[:, 1], -1)
@@ -342,40 +343,34 @@ def measured(docs: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
-    return blocks.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return blocks.mapInArrow(shared.task(each), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_texts(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents with what is left of their texts, and all their columns.
 
     Whole characters only: one that is covered in part stays.  A document that
-    keeps nothing but white space goes, if it lost anything; `length_col`, where
-    it exists, gets the new number of characters.
+    keeps nothing but white space goes, if it lost anything; a null text stays
+    null; `length_col`, where it exists, gets the new number of characters.
     """
     schema = docs.schema
     blocks, cuts = intervals(docs, rest=True)
 
     def each(batches):
-        d = zstandard.ZstdDecompressor()
         for row in shared.block_rows(batches):
             ids, known, data, offs, gone = spans(row, cuts)
             at = np.flatnonzero((data & 0xC0) != 0x80)
             if len(at):
                 gone = np.repeat(np.logical_and.reduceat(gone, at), np.diff(at, append=len(data)))
-            rest = pa.ipc.open_stream(pa.BufferReader(d.decompress(row["rest"]))).read_all().combine_chunks()
-            texts, keep = [], []
-            for i in range(len(ids)):
-                x, g = data[offs[i] : offs[i + 1]], gone[offs[i] : offs[i + 1]]
-                texts.append(x[~g].tobytes().decode("utf-8", "replace"))
-                keep.append(bool(texts[-1].strip()) or not g.any())
-            columns = []
-            for f in schema:
-                if f.name == text_col:
-                    columns.append(pa.array(texts, pa.string()))
-                elif f.name == length_col:
-                    columns.append(pa.array([len(t) for t in texts], rest[f.name].type))
-                else:
-                    columns.append(rest[f.name])
-            yield from pa.table(columns, names=[f.name for f in schema]).filter(pa.array(keep, pa.bool_())).to_batches()
-
-    return blocks.mapInArrow(each, schema)
+            left = np.concatenate([[0], np.cumsum(~gone)])[offs]
+            texts = shared.text_array(data[~gone], left, row["given"])
+            cut = np.flatnonzero(np.diff(left) < np.diff(offs))
+            keep = np.ones(len(ids), bool)
+            keep[cut] = [bool(texts[i].as_py().strip()) for i in cut.tolist()]
+            out = shared.block_table(row, schema, text_col, texts)
+            where = out.schema.get_field_index(length_col)
+            if where >= 0:
+                out = out.set_column(where, length_col, pc.if_else(pc.is_valid(texts), pc.utf8_length(texts), out.column(where).cast(pa.int64())).cast(out.column(where).type))
+            yield from out.filter(pa.array(keep)).to_batches()
+
+    return blocks.mapInArrow(shared.task(each), schema)

@@ -24,7 +24,7 @@ from . import shared
 from .encoding import vocabulary
 
 CACHE = "content string, tokenizer string, n_tokens long"
-_MODELS: dict[str, object] = {}
+_MODELS: dict[str, object] = shared.kept("counters")
 
 
 def tokenizer_digest(name: str) -> str:
@@ -65,13 +65,13 @@ def count_tokens(docs: DataFrame, vocab: str = "piece_bpe_32k.model", limit: int
     def encode(batches):
         count = _counter(vocab)
         for batch in batches:
-            for s in shared.slices(batch, "text"):
+            for s in shared.slices(batch, 1):
                 yield pa.record_batch([s.column(0), pa.array(count(s.column(1).to_pylist()), pa.int64())], ["content", "n_tokens"])
 
     # by id and content: rows that share an id, or have none, don't meet each other's texts
     texts = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
     wanted = texts.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("content")) & F.col("own").eqNullSafe(F.col("keep"))).select("content", "text")
-    counted = wanted.mapInArrow(encode, "content string, n_tokens long")
+    counted = wanted.mapInArrow(shared.task(encode, "counters", "encoders"), "content string, n_tokens long")
     counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = _open(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = shared.staged(counts, "counts")

@@ -140,7 +140,7 @@ def write(pages: DataFrame, path: str, **options) -> DataFrame:
         if n:
             yield pa.record_batch([pa.array([file]), pa.array([n], pa.int64())], ["file", "n"])
 
-    return shared.staged(ready.mapInArrow(archive, "file string, n long"), "archives")
+    return shared.staged(ready.mapInArrow(shared.task(archive), "file string, n long"), "archives")
 
 
 def normalise(files: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def normalise(files: DataFrame) -> DataFrame:
             shared.put_file(side, (x.encode() for x in index))
             yield pa.record_batch([pa.array([out]), pa.array([side]), pa.array([len(index)], pa.int64())], ["file", "sidecar", "n"])
 
-    return shared.staged(files.repartition(shared.parts(spark)).mapInArrow(each, "file string, sidecar string, n long"), "members")
+    return shared.staged(files.repartition(shared.parts(spark)).mapInArrow(shared.task(each), "file string, sidecar string, n long"), "members")
 
 
 def read(members: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def read(members: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return members.repartition(shared.parts(members.sparkSession)).mapInArrow(each, OUT)
+    return members.repartition(shared.parts(members.sparkSession)).mapInArrow(shared.task(each), OUT)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A byte-level BPE splits a text before every blank that is followed by a
 non-blank, whatever comes before or after; so a text's ids are those of its
-pieces, joined.  Pieces repeat, texts don't: each distinct piece is encoded
-once per worker and kept as bytes.  Texts where the rule doesn't hold (a blank
+pieces, joined.  Pieces repeat, texts don't: a worker keeps the ids of pieces
+that it met lately, in two generations of at most KEPT_BYTES each.  Texts where the rule doesn't hold (a blank
 before other white space, or a special token's string) are encoded whole.
 """
 
@@ -13,7 +13,11 @@ import os
 
 import numpy as np
 
-_KEPT = 1_000_000
+from . import shared
+
+KEPT_BYTES = 48 << 20
+#: Of a kept piece beside its characters and ids: two objects and its place in the table.
+_ENTRY = 190
 
 
 def byte_characters() -> dict[int, str]:
@@ -32,7 +36,9 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.held = 0
         import json
 
         spec = json.loads(self.tok.to_str())
@@ -60,10 +66,13 @@ class PieceEncoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces (without their leading blank) that aren't kept yet."""
+        if self.held > KEPT_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
         new = pieces - self.cache.keys()
-        if len(self.cache) + len(new) > _KEPT:
-            self.cache.clear()
-            new = pieces
+        again = new & self.older.keys()
+        self.cache.update((p, self.older[p]) for p in again)
+        self.held += sum(map(len, new)) * 2 + _ENTRY * len(new)
+        new -= again
         todo = [p for p in new if p and not p[0].isspace()]
         if len(todo) < len(new):  # a blank before other white space, or at an end: joining these fails, and the text is encoded whole
             self.cache.update((p, None) for p in new if not p or p[0].isspace())
@@ -98,7 +107,7 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = shared.kept("encoders")
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -18,7 +18,7 @@ similarity is 0.75 or more, decided exactly on whole sets of those hashes.
    subsets enumerated plus list entries written and read.  Lists are met the
    way frequencies are: a block sends its keys and learns what it must know.
 4. A list isn't expanded into pairs.  Each member is first compared with the
-   list's first member, and what that links forms components.  Then only
+   list's oldest member (of the smallest id, often the original of the others), and what that links forms components.  Then only
    members of different components whose sizes are near enough can still
    matter: size levels (a factor 0.75 apart) cut the lists, blocks learn which
    of their entries meet another component at such a level, and those are
@@ -49,8 +49,11 @@ CHUNK = 1024
 #: A class's number is its block's number and its place there.
 PLACE = 20
 SETS_BYTES = 4 << 20
-CAND = "block_id long, cls binary, n binary, most binary, norm binary, size binary, toks binary, sets binary"
+CAND = "block_id long, cls binary, age binary, n binary, most binary, norm binary, size binary, toks binary, sets binary"
 NONE = np.uint64((1 << 64) - 1)
+LAST = (1 << 63) - 1
+#: Turns signed numbers into unsigned ones of the same order.
+SIGN = np.uint64(1 << 63)
 _NEAR = "100 * least({0}, {1}) >= 75 * greatest({0}, {1})"
 
 
@@ -100,6 +103,7 @@ class Sets:
     """A block of classes: sizes, prefixes and shared shingles of each."""
 
     def __init__(self, row: dict):
+        self.age = np.frombuffer(row["age"], "<i8")
         self.n = np.frombuffer(row["n"], "<i4").astype(np.int64)
         self.most, self.norm = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("most", "norm"))
         self.toks, self.sets = np.frombuffer(row["toks"], "<u8"), np.frombuffer(row["sets"], "<u8")
@@ -122,7 +126,7 @@ class Sets:
             own.append(np.full(len(pairs), i))
             counts.append(np.ones(len(pairs), bool))
         key, own, counts = np.concatenate(key), np.concatenate(own), np.concatenate(counts)
-        order = np.lexsort((own, key))
+        order = np.lexsort((self.age[own], key))
         return key[order], own[order], counts[order]
 
 
@@ -140,7 +144,7 @@ def mark(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame, Dat
             yield pa.RecordBatch.from_arrays([*cols, pa.array([r["block_id"]] * len(rows), pa.int64())], ["doc_id", "cls", "n", "nth", "open", "block_id"])
 
     marked = shared.staged(blocks.mapInArrow(shared.task(label), "doc_id long, cls binary, n long, nth int, open boolean, block_id long"), "jaccard-marked")
-    one = marked.filter("open").groupBy("cls").agg(F.min(F.struct("block_id", "nth")).alias("at"))
+    one = marked.filter("open").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "block_id", "nth")).alias("at"))
     chosen = frequency.filed(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("value")), "jaccard-chosen")
 
     def gather(batches):
@@ -150,18 +154,18 @@ def mark(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame, Dat
 
         def flush():
             nonlocal block, held, size
-            cls, s, toks, norm, own = zip(*held, strict=True)
+            cls, age, s, toks, norm, own = zip(*held, strict=True)
             small = [np.array(x, "<i4").tobytes() for x in (s, [len(t) for t in toks], norm, [len(x) for x in own])]
-            fields = [b"".join(cls), *small, *(np.concatenate(x).astype("<u8").tobytes() for x in (toks, own))]
+            fields = [b"".join(cls), np.array(age, "<i8").tobytes(), *small, *(np.concatenate(x).astype("<u8").tobytes() for x in (toks, own))]
             out = pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], [c.split()[0] for c in CAND.split(", ")])
             block, held, size = block + 1, [], 0
             return out
 
         for r in shared.block_rows(batches):
             wanted = set(frequency.fetch(chosen, r["block_id"]))
-            for i, (_, cls, s, often, prefix) in enumerate(prefixes(r, answers) if wanted else ()):
+            for i, (doc, cls, s, often, prefix) in enumerate(prefixes(r, answers) if wanted else ()):
                 if i in wanted:
-                    held.append((cls, s, prefix[0], prefix[1], often))
+                    held.append((cls, LAST if doc is None else doc, s, prefix[0], prefix[1], often))
                     size += 8 * len(often)
                     if size >= SETS_BYTES or len(held) >> PLACE:
                         yield flush()
@@ -256,24 +260,24 @@ def links(cands: DataFrame) -> DataFrame:
     def entries(row):
         s = Sets(row)
         key, own, counts = s.keys(light)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return s, key, own, counts, first
+        return s, key, own, counts, frequency.starts(key)
 
     def list_heads(row):
         s, key, own, counts, first = entries(row)
         members = np.minimum(np.diff(first, append=len(key)), 2).astype(np.uint8)
         if len(first):
             members |= np.logical_or.reduceat(counts, first).astype(np.uint8) << np.uint8(2)
-        return key[first], [s.number[own[first]].astype(np.uint64), s.n[own[first]].astype(np.uint32), members]
+        head = own[first]
+        return key[first], [s.age[head].view(np.uint64) ^ SIGN, s.number[head].view(np.uint64), s.n[head].astype(np.uint32), members]
 
     def head(low, cols):
-        order = np.lexsort((cols[0], low))
+        order = np.lexsort((cols[1], cols[0], low))
         first = frequency.starts(low[order])
         size = np.diff(first, append=len(low))
-        some = (np.add.reduceat((cols[2][order] & 3).astype(np.int64), first) > 1) & (np.bitwise_or.reduceat(cols[2][order], first) >= 4)
+        some = (np.add.reduceat((cols[3][order] & 3).astype(np.int64), first) > 1) & (np.bitwise_or.reduceat(cols[3][order], first) >= 4)
         number, own_n = np.empty(len(low), np.uint64), np.empty(len(low), np.uint32)
-        number[order] = np.repeat(np.where(some, cols[0][order][first], NONE), size)
-        own_n[order] = np.repeat(np.where(some, cols[1][order][first], 0).astype(np.uint32), size)
+        number[order] = np.repeat(np.where(some, cols[1][order][first], NONE), size)
+        own_n[order] = np.repeat(np.where(some, cols[2][order][first], 0).astype(np.uint32), size)
         return [number, own_n]
 
     heads = frequency.swap(cands, n, list_heads, head, "jaccard-heads")
@@ -354,9 +358,9 @@ def links(cands: DataFrame) -> DataFrame:
             i = np.array(sorted(frequency.fetch(who, r["block_id"])), np.int64) & ((1 << PLACE) - 1)
             if len(i):
                 s = Sets(r)
-                yield pa.record_batch([pa.array(s.number[i]), pa.array(s.n[i]), pa.array([bitmap(s.set(j)) for j in i.tolist()], pa.binary())], ["c", "n", "bitmap"])
+                yield pa.record_batch([pa.array(s.number[i]), pa.array(s.n[i]), pa.array(np.diff(s.at)[i]), pa.array([bitmap(s.set(j)) for j in i.tolist()], pa.binary())], ["c", "n", "m", "bitmap"])
 
-    bits = shared.staged(cands.mapInArrow(shared.task(maps), "c long, n long, bitmap binary"), "jaccard-bits")
+    bits = shared.staged(cands.mapInArrow(shared.task(maps), "c long, n long, m long, bitmap binary"), "jaccard-bits")
     pairs = _apart(own, bits)
     out = first_links.unionByName(verify(pairs, cands))
     shared.drop(own, bits, pairs)
@@ -379,7 +383,7 @@ def _apart(own: DataFrame, bits: DataFrame) -> DataFrame:
     def chunked(df, sizes):
         part = F.pmod(F.xxhash64("c"), F.ceil(F.col("many") / CHUNK))
         df = df.join(sizes, ["to", "level"]).join(bits, "c")
-        return df.groupBy("to", "level", part.alias("part")).agg(F.collect_list(F.struct("c", "n", "bitmap")).alias("rows")).drop("part")
+        return df.groupBy("to", "level", part.alias("part")).agg(F.collect_list(F.struct("c", "n", "m", "bitmap")).alias("rows")).drop("part")
 
     visitors = shared.staged(chunked(goes, crowd).withColumn("at", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).drop("level"), "jaccard-visitors")
     members = shared.staged(chunked(member, host).withColumnRenamed("level", "at").withColumnRenamed("rows", "others"), "jaccard-chunks")
@@ -393,9 +397,12 @@ def _apart(own: DataFrame, bits: DataFrame) -> DataFrame:
     both = both.join(shared.staged(many, "jaccard-alone"), ["key", "level"]).join(bits, "c")
     parts = F.ceil(F.col("many") / CHUNK)
     both = both.withColumn("x", F.pmod(F.xxhash64("c"), parts)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    # of two parts each one's own level meets the other's members of both; within a part all is met once
     met = both.groupBy("key", "level", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    met = met.agg(F.collect_list(F.when((F.col("x") == F.least("x", "y")) & (F.col("side") == 1), F.struct("c", "n", "bitmap"))).alias("rows"), F.collect_list(F.when((F.col("x") == F.greatest("x", "y")), F.struct("c", "n", "bitmap"))).alias("others"), F.collect_list(F.when((F.col("x") == F.least("x", "y")) & (F.col("side") == 0), F.struct("c", "n", "bitmap"))).alias("below"), F.collect_list(F.when((F.col("x") == F.greatest("x", "y")) & (F.col("side") == 1), F.struct("c", "n", "bitmap"))).alias("above"))
-    near = met.select("rows", "others").unionByName(met.select(F.col("below").alias("rows"), F.col("above").alias("others")))
+    some = lambda end, also: F.collect_list(F.when((F.col("x") == end("x", "y")) & also, F.struct("c", "n", "m", "bitmap")))
+    own_level, below = F.col("side") == 1, (F.col("side") == 0) & (F.col("x") != F.col("y"))
+    met = met.agg(some(F.least, own_level).alias("rows"), some(F.greatest, F.lit(True)).alias("others"), some(F.least, below).alias("below"), some(F.greatest, own_level & (F.col("x") != F.col("y"))).alias("above"))
+    near = met.select(F.explode(F.array(F.struct("rows", "others"), F.struct(F.col("below").alias("rows"), F.col("above").alias("others")))).alias("p")).select("p.rows", "p.others").filter("size(rows) > 0 and size(others) > 0")
     near = shared.staged(near.mapInArrow(shared.task(_compare), "a long, b long"), "jaccard-near")
     out = shared.staged(far.unionByName(near).distinct(), "jaccard-pairs")
     shared.drop(goes, crowd, member, host, visitors, members, far, near)
@@ -408,15 +415,14 @@ def _compare(batches):
         for r in range(t.num_rows):
             x, y = t.column(0)[r].values, t.column(1)[r].values
             c = [v.field("c").to_numpy() for v in (x, y)]
-            n = [v.field("n").to_numpy() for v in (x, y)]
+            n, m = ([v.field(f).to_numpy() for v in (x, y)] for f in ("n", "m"))
             bits = [np.frombuffer(b"".join(v.field("bitmap").to_pylist()), np.uint64).reshape(len(v), BITMAP // 64) for v in (x, y)]
             found = [np.zeros((0, 2), np.int64)]
             for i in range(len(c[0])):
                 ok = np.flatnonzero((100 * np.minimum(n[0][i], n[1]) >= 75 * np.maximum(n[0][i], n[1])) & (c[1] != c[0][i]))
                 differ = np.bitwise_count(bits[0][i] ^ bits[1][ok]).sum(axis=1, dtype=np.int64)
-                total = n[0][i] + n[1][ok]
-                inter = (total - differ) // 2
-                ok = ok[100 * inter >= 75 * (total - inter)]
+                inter = (m[0][i] + m[1][ok] - differ) // 2  # of the m shared shingles of each; the rest of n meet nothing
+                ok = ok[100 * inter >= 75 * (n[0][i] + n[1][ok] - inter)]
                 found.append(np.sort(np.stack([np.full(len(ok), c[0][i]), c[1][ok]], axis=1), axis=1))
             both = np.unique(np.concatenate(found), axis=0)
             yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])

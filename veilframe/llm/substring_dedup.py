@@ -8,13 +8,14 @@
    stays where it is.
 2. Only the runs left travel, each to the range of its anchor's hash; equal
    ones of a block travel once.
-3. There, runs are laid in rows with the anchor at a fixed column, a multiple
-   of the cover's period.  Suffixes are sorted one bucket at a time (a bucket
-   holds the windows at one distance from their anchors): by their first 16
-   bytes, ties by the rank of the next position in a difference cover modulo
-   16.  Those ranks come first, for the cover's positions only, by doubling.
-   Neighbours in the sorted bucket that agree on 100 bytes form a class; all
-   but its earliest member repeat.  Memory follows the rows of one slab.
+3. There, the runs of some anchors make a block.  Its suffixes are sorted one
+   bucket at a time (buckets go by first bytes): by their first 16 bytes, ties
+   by the rank of the next position in a difference cover modulo 16.  Those
+   ranks come first, for the cover's positions only, by doubling.  Anchors lie
+   at multiples of the period, so equal windows reach the cover at the same
+   shift.  Neighbours in the sorted bucket that agree on 100 bytes form a
+   class; all but its earliest member repeat.  Memory follows the bytes of one
+   block and the suffixes of one bucket.
 4. The windows of a run overlap each other, so what its repeats cover is one
    interval; blocks get their intervals back and cut the texts.
 
@@ -43,10 +44,12 @@ SPAN = LENGTH - K + 1  # pieces of a window
 PERIOD = 16
 #: Differences of these cover all residues modulo 16.
 COVER = (0, 1, 2, 5, 8)
-LEFT = 96  # the anchor's column: a multiple of the period, at least SPAN - 1
-WIDTH = LEFT + 112
+#: From each residue to the next position of the cover, and which of the cover it is.
+_AHEAD = np.array([next(d for d in range(PERIOD + 1) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
+_NTH = np.array([COVER.index((r + d) % PERIOD) for r, d in enumerate(_AHEAD.tolist())])
 FREQUENT = 6  # frequency class from which windows are counted too: 32 occurrences
-SLAB = 12_000
+SLAB = 12_000  # runs of a block
+BUCKET = 1 << 16  # suffixes of a bucket
 _CHUNK = 1 << 14
 
 
@@ -137,11 +140,19 @@ def _windows(row: dict, anchors: str) -> np.ndarray:
     return window_hashes(data, _expand(first[often], last[often]))
 
 
-def cover_ranks(rows: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes at the cover's positions of all rows, by doubling from 16 bytes to over 100."""
-    cols = np.array([c for c in range(0, WIDTH - PERIOD + 1) if c % PERIOD in COVER])
-    n, m = len(rows), len(cols)
-    word = _words(rows)
+def laid(data: np.ndarray, at: np.ndarray, size: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs one after the other, each with its anchor at a multiple of the period, and where each begins."""
+    slot = (size + 2 * PERIOD - 1) // PERIOD * PERIOD
+    begin = np.cumsum(slot) - slot + -ahead % PERIOD
+    text = np.zeros(int(slot.sum()) + 2 * LENGTH, np.uint8)
+    text[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)] = data[_expand(at, at + size - 1)]
+    return text, begin
+
+
+def cover_ranks(text: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at the cover's positions, a row for each period, by doubling from 16 bytes to over 100."""
+    word = _words(text)
+    at = np.arange(0, len(word) - PERIOD, PERIOD)[:, None] + np.array(COVER)
 
     def rank(x):
         order = np.argsort(x)
@@ -150,55 +161,56 @@ def cover_ranks(rows: np.ndarray) -> np.ndarray:
         r[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.uint64)])).astype(np.uint64)
         return r
 
-    name = rank((rank(word[:, cols].ravel()) << tv.U(32)) | rank(word[:, cols + 8].ravel()))
-    spot = {int(c): i for i, c in enumerate(cols)}
-    step = PERIOD
-    while step < LENGTH:
-        table = name.reshape(n, m)
-        after = np.zeros((n, m), np.uint64)
-        for c, i in spot.items():
-            if c + step in spot:
-                after[:, i] = table[:, spot[c + step]] + tv.U(1)
-        name = rank((name << tv.U(32)) | after.ravel())
+    name = rank(rank(word[at].astype(np.uint64).ravel()) << tv.U(32) | rank(word[at + 8].astype(np.uint64).ravel()))
+    step = 1
+    while step * PERIOD < LENGTH:
+        after = np.zeros(len(name), np.uint64)
+        after[: -step * len(COVER)] = name[step * len(COVER) :] + tv.U(1)
+        name = rank(name << tv.U(32) | after)
         step *= 2
-    out = np.zeros((n, WIDTH), np.uint64)
-    out[:, cols] = name.reshape(n, m)
-    return out
+    return name.reshape(at.shape)
 
 
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Big-endian eight-byte words at each column, so that they compare like the bytes."""
-    wide = np.zeros((rows.shape[0], rows.shape[1] + 8), np.uint8)
-    wide[:, : rows.shape[1]] = rows
-    return loads(wide.ravel(), ">u8").reshape(wide.shape)[:, : rows.shape[1]]
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, to be compared like the bytes; a view."""
+    return np.ndarray(len(text) - 7, ">u8", text, strides=(1,))
 
 
-def repeats(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last column of each row at which a window starts that an earlier row has too; -1 for none.
+def repeats(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of a block the first and last window that an earlier run has too, counted from its own first; -1 for none.
 
-    `lo` and `hi` are a row's first and last window column, `rank` its place in
-    the order of occurrences.
+    `windows` is the number of a run's windows, `rank` its place in the order
+    of occurrences.  Suffixes at the windows are split into buckets by their
+    first bytes and sorted one bucket at a time.
     """
-    n = len(rows)
-    word, cover = _words(rows), cover_ranks(rows)
-    first, last = np.full(n, -1), np.full(n, -1)
-    for c in range(int(lo.min()), int(hi.max()) + 1):  # a suffix bucket
-        who = np.flatnonzero((lo <= c) & (hi >= c))
-        if len(who) < 2:
+    word, cover = _words(text), cover_ranks(text)
+    at, run = _expand(begin, begin + windows - 1), np.repeat(np.arange(len(begin)), windows)
+    head = word[at].astype(np.uint64)
+    edges = np.unique(np.sort(head[:: max(1, len(head) // 4096)])[:: max(1, min(len(head), 4096) * BUCKET // len(head))])
+    bucket = np.searchsorted(edges, head, side="right")
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(len(edges) + 2))
+    first, last = np.full(len(begin), np.iinfo(np.int64).max), np.full(len(begin), -1)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a < 2:
             continue
-        next_ = next(c + d for d in range(PERIOD) if (c + d) % PERIOD in COVER)
-        who = who[np.lexsort((cover[who, next_], word[who, c + 8], word[who, c]))]
-        a, b = who[1:], who[:-1]
-        same = np.ones(len(a), bool)
-        for j in (*range(0, 96, 8), 92):
-            same &= word[a, c + j] == word[b, c + j]
+        who = order[a:b]
+        p = at[who]
+        shift = p % PERIOD  # equal windows have their anchors, and so the next cover position, at one distance
+        tie = cover[(p + _AHEAD[shift]) // PERIOD, _NTH[shift]]
+        by = np.lexsort((tie, shift, word[p + 8].astype(np.uint64), head[who]))
+        who, p = who[by], p[by]
+        same = np.ones(len(p) - 1, bool)
+        for j in (*range(0, 96, 8), LENGTH - 8):
+            same &= word[p[1:] + j] == word[p[:-1] + j]
         cls = np.concatenate([[0], np.cumsum(~same)])
         least = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, cls, rank[who])
-        dup = who[rank[who] > least[cls]]
-        first[dup] = np.where(first[dup] < 0, c, first[dup])
-        last[dup] = c
-    return first, last
+        np.minimum.at(least, cls, rank[run[who]])
+        dup = rank[run[who]] > least[cls]
+        mine, spot = run[who[dup]], p[dup] - begin[run[who[dup]]]
+        np.minimum.at(first, mine, spot)
+        np.maximum.at(last, mine, spot)
+    return np.where(last < 0, -1, first), last
 
 
 def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
@@ -293,16 +305,11 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
             while b < len(rest) and h[rest[b]] == h[rest[b - 1]]:  # an anchor's runs stay together
                 b += 1
             own = rest[a:b]
-            rows = np.zeros((len(own), WIDTH), np.uint8)
-            flat = _expand(at[own], at[own] + size[own] - 1)
-            line = np.repeat(np.arange(len(own)), size[own])
-            column = flat - np.repeat(at[own], size[own]) + np.repeat(LEFT - (anchor - first)[own], size[own])
-            rows[line, column] = data[flat]
-            lo = LEFT - (anchor - first)[own]
-            f, t = repeats(rows, lo, lo + (last - first)[own], rank[own])
-            hit = f >= 0
-            begin[own[hit]] = first[own[hit]] + (f - lo)[hit]
-            end[own[hit]] = first[own[hit]] + (t - lo)[hit] + LENGTH
+            text, begins = laid(data, at[own], size[own], (anchor - first)[own])
+            f, t = repeats(text, begins, (last - first)[own] + 1, rank[own])
+            hit = t >= 0
+            begin[own[hit]] = first[own[hit]] + f[hit]
+            end[own[hit]] = first[own[hit]] + t[hit] + LENGTH
             a = b
         for x in np.unique(block).tolist():
             mine = (block == x) & (end >= 0)

@@ -21,6 +21,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections import Counter
@@ -87,71 +88,125 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], space: int, waste: int, most: int = 200) -> list[tuple[int, ...]]:
-    """Undominated fillings of `space` that leave at most `waste`, least waste first."""
-    sizes = sorted((s for s, c in counts.items() if c and s <= space), reverse=True)
-    if not sizes:
-        return [()] if space <= waste else []
-    found: list[tuple[int, ...]] = []
-    steps = 0
+def _holds(wide: tuple[int, ...], fine: tuple[int, ...]) -> bool:
+    """Whether the items `fine` can be packed into bins of the sizes `wide`."""
+    if not fine:
+        return True
+    if sum(fine) > sum(wide) or fine[0] > max(wide, default=0):
+        return False
+    for i, w in enumerate(wide):
+        if w >= fine[0] and w not in wide[:i] and _holds((*wide[:i], w - fine[0], *wide[i + 1 :]), fine[1:]):
+            return True
+    return False
 
-    def grow(i, left, chosen):
-        nonlocal steps
-        steps += 1
-        if steps > 50 * most or len(found) >= most:
+
+class Budget:
+    """What a search may still spend."""
+
+    def __init__(self, nodes: int, steps: int):
+        self.nodes, self.steps = nodes, steps
+
+
+class Sizes:
+    """Lengths in descending order, and which sums the lengths from each on can make."""
+
+    def __init__(self, counts: dict[int, int], cap: int):
+        self.sizes = sorted(counts, reverse=True)
+        self.sums, every, reach = [0] * len(self.sizes), (1 << (cap + 1)) - 1, 1
+        for i in range(len(self.sizes) - 1, -1, -1):
+            k = self.sizes[i]
+            while k <= cap:
+                reach |= reach << k & every
+                k *= 2
+            self.sums[i] = reach
+
+
+def fillings(counts: dict[int, int], space: int, waste: int, spend: Budget, known: Sizes | None = None):
+    """Undominated fillings of `space` that leave at most `waste`, least waste first and larger items first.
+
+    A filling is dominated if another's items, as bins, hold its items: the
+    other leaves the smaller ones for later.  Ends early when the steps of
+    `spend` are used up.
+    """
+    known = known or Sizes({s: c for s, c in counts.items() if c}, max(space, 1))
+    sizes, sums = known.sizes, known.sums
+    start = bisect.bisect_left(sizes, -space, key=lambda s: -s)
+    least = min((s for s, c in counts.items() if c), default=space + 1)
+
+    def exact(i, target, chosen):
+        if not target:
+            yield chosen
             return
-        usable = False
-        for j in range(i, len(sizes)):
+        for j in range(max(i, bisect.bisect_left(sizes, -target, key=lambda s: -s)), len(sizes)):
             s = sizes[j]
-            if s <= left and chosen.count(s) < counts[s]:
-                usable = True
-                grow(j, left - s, (*chosen, s))
-                if left - s == 0:
-                    break
-        if not usable and left <= waste and not any(s <= left and chosen.count(s) < counts[s] for s in sizes):
-            found.append(chosen)
-
-    grow(0, space, ())
-    found.sort(key=lambda f: (space - sum(f), len(f)))
-    kept: list[tuple[int, ...]] = []
-    for f in found:  # dominated: another of as many items holds one at least as large for each
-        if not any(len(g) == len(f) and g != f and all(a >= b for a, b in zip(g, f, strict=True)) for g in kept):
-            kept.append(f)
-    return kept
-
-
-def plan(counts: dict[int, int], cap: int, nodes: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+            spend.steps -= 1
+            if spend.steps < 0 or not sums[j] >> target & 1:
+                return
+            if sums[j] >> (target - s) & 1 and chosen.count(s) < counts.get(s, 0):
+                yield from exact(j, target - s, (*chosen, s))
+
+    before: list[tuple[int, ...]] = []
+    for lost in range(min(waste, space) + 1):
+        for f in exact(start, space - lost, ()):
+            if lost >= least and any(c > f.count(s) for s, c in counts.items() if s <= lost):
+                continue  # another item still fits
+            if not any(_holds(g, f) for g in before):
+                before.append(f)
+                yield f
+
+
+def plan(counts: dict[int, int], cap: int, nodes: int = 6000, steps: int = 2_000_000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with their numbers of sequences.
+
+    `nodes` fillings are tried at most and `steps` taken to find them: when
+    either is used up the best plan so far stands.  A filling is applied as
+    often as its lengths allow, so a search that ends without either limit
+    proves nothing; meeting `lower_bound` does.
+    """
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit(counts, cap)
     n_best, least = sum(best.values()), lower_bound(counts, cap)
-    total = sum(s * c for s, c in counts.items())
-    tried = 0
-    stack = [(counts, [], 0, 0)]
-    while stack and n_best > least and tried < nodes:
-        left, made, used, wasted = stack.pop()
-        if not left:
-            if used < n_best:
-                best, n_best = Counter(), used
-                for p, n in made:
-                    best[p] += n
-            continue
-        allowed = (n_best - 1) * cap - total - wasted
-        if allowed < 0:
-            continue
+    total, spend = sum(s * c for s, c in counts.items()), Budget(nodes, steps)
+
+    def children(left, used, wasted, known):
         top = max(left)
         rest = dict(left)
         rest[top] -= 1
-        children = []
-        for f in fillings(rest, cap - top, allowed)[:8]:
-            tried += 1
+        allowed = (n_best - 1) * cap - total - wasted
+        for f in fillings(rest, cap - top, allowed, spend, known) if allowed >= 0 else ():
             pattern = (top, *f)
-            need = Counter(pattern)
+            need, lost = Counter(pattern), cap - top - sum(f)
             times = min(left[s] // k for s, k in need.items())
-            lost = cap - sum(pattern)
-            times = min(times, allowed // lost) if lost else times
-            after = {s: c - times * need.get(s, 0) for s, c in left.items() if c - times * need.get(s, 0)}
-            children.append((after, [*made, (pattern, times)], used + times, wasted + lost * times))
-        stack.extend(reversed(children))
+            room = (n_best - 1) * cap - total - wasted
+            times = min(times, room // lost) if lost else times
+            if times > 0:
+                after = {s: c - times * need.get(s, 0) for s, c in left.items() if c > times * need.get(s, 0)}
+                yield pattern, times, after, used + times, wasted + lost * times
+
+    made: list[tuple[tuple[int, ...], int]] = []
+    known = Sizes(counts, cap)
+    stack = [(children(counts, 0, 0, known), known)] if n_best > least else []
+    while stack and n_best > least and spend.nodes > 0 and spend.steps > 0:
+        child = next(stack[-1][0], None)
+        if child is None:
+            stack.pop()
+            if made:
+                made.pop()
+            continue
+        spend.nodes -= 1
+        pattern, times, after, used, wasted = child
+        if (n_best - 1) * cap - total - wasted < 0:
+            continue
+        if not after:
+            if used < n_best:
+                best, n_best = Counter(), used
+                for p, k in [*made, (pattern, times)]:
+                    best[p] += k
+            continue
+        known = stack[-1][1]
+        known = Sizes(after, cap) if len(after) < 0.8 * len(known.sizes) else known
+        made.append((pattern, times))
+        stack.append((children(after, used, wasted, known), known))
     return sorted(best.items(), key=lambda x: (-sum(x[0]), x[0]))
 
 
@@ -203,7 +258,7 @@ def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
     firsts = by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "part", "before")
     order = ["doc_id", "piece", "start", "ids_crc32"]
     inner = Window.partitionBy("part", "length").orderBy(*order)
-    ranked = cut.withColumn("rank", F.row_number().over(inner) - 1).join(firsts, ["part", "length"])
+    ranked = cut.withColumn("rank", F.row_number().over(inner) - 1).join(firsts.hint("merge"), ["part", "length"])
     ranked = ranked.select(*[c for c in cut.columns if c != "part"], (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):

@@ -3,9 +3,13 @@
 A text's count depends only on its normalised content (null becomes the empty
 text; nothing else is folded, since any other change could alter a count) and
 on the tokenizer file.  Both are named by SHA-256 digests.  The cache is a
-Parquet table (content digest, tokenizer digest, n_tokens).  A run keeps one
-row of each digest that the cache lacks, encodes those texts, appends their
-counts, and joins every row to the cache.
+Parquet table (content digest, tokenizer digest, n_tokens).  Texts are staged in
+blocks and stay there: only digests are shuffled.  Of each digest that the
+cache lacks, one row is chosen; its block encodes it, the counts are appended,
+and every row is joined to the cache.
+
+The registered query starts with an empty cache of its own: a kept one would
+make any second run of it over the same table measure nothing.
 
 Defined cases: null and empty texts count 0 tokens; repeated rows and copies
 share one cache entry; a null id is returned as it is; an empty table gives no
@@ -16,11 +20,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import frequency, shared
 from .encoding import vocabulary
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -50,31 +55,43 @@ def _counter(name: str):
 
 
 def count_tokens(docs: DataFrame, vocab: str = "piece_bpe_32k.model", limit: int = 4096, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit; `cache` is the folder of the cache table."""
+    """doc_id, n_bytes, n_tokens, over_limit; `cache` is the folder of the cache table, a new one if none is named."""
     spark = docs.sparkSession
     cache = cache or shared.fresh(spark, "token-cache")
     version = tokenizer_digest(vocab)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
-    # digests are small; texts aren't: find first which row stands for each missing digest
-    rows = shared.staged(keyed, "digests")
-    once = rows.groupBy("content").agg(F.min("doc_id").alias("keep"))
+    blocks = shared.stage_blocks(docs, "token-blocks", id_col, text_col)
+
+    def digests(batches):
+        for row in shared.block_rows(batches):
+            ids, known, data, offs = shared.open_block(row)
+            own = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(ids, mask=~known), pa.array(own), pa.array(np.diff(offs)), pa.array(np.full(len(ids), row["block_id"])), pa.array(np.arange(len(ids), dtype=np.int32))], ["doc_id", "content", "n_bytes", "block_id", "nth"])
+
+    rows = shared.staged(blocks.mapInArrow(shared.task(digests), "doc_id long, content string, n_bytes long, block_id long, nth int"), "digests")
+    # of each digest that the cache lacks one row is encoded, where its text lies
     known = _open(spark, cache).filter(F.col("tokenizer") == version)
-    missing = shared.staged(once.join(known, "content", "left_anti").select("content", "keep"), "misses")
+    once = rows.groupBy("content").agg(F.min(F.struct("block_id", "nth")).alias("at")).join(known, "content", "left_anti")
+    misses = frequency.filed(once.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("value")), "misses")
 
     def encode(batches):
         count = _counter(vocab)
-        for batch in batches:
-            for s in shared.slices(batch, 1):
-                yield pa.record_batch([s.column(0), pa.array(count(s.column(1).to_pylist()), pa.int64())], ["content", "n_tokens"])
-
-    # by id and content: rows that share an id, or have none, don't meet each other's texts
-    texts = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    wanted = texts.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("content")) & F.col("own").eqNullSafe(F.col("keep"))).select("content", "text")
-    counted = wanted.mapInArrow(shared.task(encode, "counters", "encoders"), "content string, n_tokens long")
-    counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+        for row in shared.block_rows(batches):
+            _, _, data, offs = shared.open_block(row)
+            held, size = [], 0
+            todo = sorted(frequency.fetch(misses, row["block_id"]))
+            for k, i in enumerate(todo):
+                held.append(data[offs[i] : offs[i + 1]].tobytes())
+                size += len(held[-1])
+                if size >= 1 << 20 or k + 1 == len(todo):
+                    n = count([x.decode("utf-8", "replace") for x in held])
+                    yield pa.record_batch([pa.array([hashlib.sha256(x).hexdigest() for x in held]), pa.array(n, pa.int64())], ["content", "n_tokens"])
+                    held, size = [], 0
+
+    counted = blocks.mapInArrow(shared.task(encode, "counters", "encoders"), "content string, n_tokens long")
+    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    shared.drop(blocks)
+    shared.remove(spark, misses)
     counts = _open(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = shared.staged(counts, "counts")
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

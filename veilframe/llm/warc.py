@@ -21,7 +21,7 @@ import json
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -102,26 +102,32 @@ def inflate(stream, size: int = 1 << 20):
 
 
 def typed(pages: DataFrame, least: int = 100, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Each page with its payload, digest and the id of the response that it repeats, if any."""
+    """Each page with its payload, digest, the id of the response that it repeats, if any, and whether it is a revisit."""
+    url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url") if url_col in pages.columns else F.lit(None).cast("string").alias("url"), payload.alias("payload"))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload").cast("long"))
-    firsts = base.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = shared.staged(firsts.filter("n > 1").select("digest", "first"), "repeated")
-    return base.join(firsts, "digest", "left")
+    keyed = shared.staged(base.filter(F.col("size") >= least).select("digest", "page_id", "url"), "digests")
+    firsts = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    # rows that share the response's id too: the one of the least URL is the response
+    twins = keyed.join(firsts, "digest").filter("page_id = refers_to").groupBy("digest").agg(F.count("*").alias("n"), F.min("url").alias("least")).filter("n > 1").drop("n")
+    repeated = shared.staged(firsts.join(twins, "digest", "left"), "repeated")
+    shared.drop(keyed)
+    rows = base.join(repeated, "digest", "left")
+    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    columns = ["page_id", "url", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", "refers_to", "revisit"]
+    if not repeated.filter("least is not null").limit(1).count():
+        return rows.withColumn("revisit", revisit).select(*columns)
+    twin = F.col("least").isNotNull() & F.col("page_id").eqNullSafe(F.col("refers_to"))
+    # whole twins may be equal in all columns: they are counted, and the first of the count is the response
+    again = rows.filter(twin).groupBy("digest", "url", "page_id", "size", "refers_to", "least").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    again = again.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("revisit", (F.col("nth") > 1) | (F.col("url") != F.col("least")))
+    return rows.filter(~twin).withColumn("revisit", revisit).select(*columns).unionByName(again.select(*columns))
 
 
 def write(pages: DataFrame, path: str, **options) -> DataFrame:
     """Writes one whole-stream gzip archive for each task; returns their files."""
-    rows = typed(pages, **options)
-    # of rows that repeat a response's own id and payload, one is the response
-    twins = rows.filter(F.col("page_id") == F.col("first")).groupBy("digest").count().filter("count > 1")
-    twins = shared.staged(twins.select("digest", F.lit(True).alias("twin")), "twins")
-    plain = rows.join(twins, "digest", "left")
-    own = plain.filter("twin and page_id = first").withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("url")))
-    both = plain.filter("not (coalesce(twin, false) and page_id <=> first)").withColumn("nth", F.lit(1)).unionByName(own)
-    revisit = F.col("first").isNotNull() & ((~F.col("page_id").eqNullSafe(F.col("first"))) | (F.col("nth") > 1))
-    ready = both.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", F.col("first").alias("refers_to"), revisit.alias("revisit"))
+    ready = typed(pages, **options)
 
     def archive(batches):
         from pyspark import TaskContext

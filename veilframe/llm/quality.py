@@ -48,7 +48,7 @@ def statistics(column) -> np.ndarray:
     some = size > 0
     out = np.zeros((n, len(FEATURES)))
     if not len(data):
-        data = np.zeros(1, np.uint8)
+        data = np.full(1, 32, np.uint8)
     at = offs[:-1][some]
 
     def each(values):
@@ -69,12 +69,16 @@ def statistics(column) -> np.ndarray:
     mean = (size - blanks) / np.maximum(words, 1)
     out[:, 9] = np.log1p(mean)
     inside = tv.WORD[data]
-    start = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)) == 1)
-    gaps = np.diff(start, append=len(data)).astype(float)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[at] = inside[at]
+    start = np.flatnonzero(begins)
     place = np.searchsorted(offs, start, side="right") - 1
+    # from each word to the next one of its text, or to the text's end
+    gaps = np.minimum(np.minimum(np.append(start[1:], len(data)), offs[place + 1]) - start, 1000).astype(float)
     n1 = np.maximum(np.bincount(place, minlength=n)[:n], 1)
     m1 = np.bincount(place, gaps, minlength=n)[:n] / n1
-    m2 = np.bincount(place, np.minimum(gaps, 1000.0) ** 2, minlength=n)[:n] / n1
+    m2 = np.bincount(place, gaps**2, minlength=n)[:n] / n1
     out[:, 10] = 0.5 * np.log1p(np.maximum(m2 - m1**2, 0))
     for i in range(n):
         w = h[first[i] : first[i + 1]]

@@ -4,11 +4,13 @@ import hashlib
 import json
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +368,81 @@ def test_quality(spark, odd):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def plain_statistics(text):
+    """The fifteen statistics of a text, from their names alone."""
+    b = (text or "").encode()
+    n, kinds = max(len(b), 1), [0.0] * 7
+    for c in b:
+        kinds[0] += 0.5 if c >= 128 else float(chr(c).isalpha())
+        kinds[1] += 65 <= c <= 90
+        kinds[2] += 48 <= c <= 57
+        kinds[3] += chr(c) in ".,;:?!'\"-()"
+        kinds[4] += 33 <= c <= 126 and not chr(c).isalnum() and chr(c) not in ".,;:?!'\"-()|"
+        kinds[5] += chr(c) == "|"
+        kinds[6] += c == 10
+    spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", b)]
+    words = [b[a:z].lower() for a, z in spans]
+    share = lambda x: math.log(x / n + 1e-3)
+    out = [math.log1p(len(b)), *map(share, kinds), share(sum(c >= 128 for c in b)), math.log1p(sum(map(len, words)) / max(len(words), 1))]
+    gaps = [min(z - a, 1000) for (a, _), (z, _) in zip(spans, [*spans[1:], (len(b), 0)], strict=False)] or [0]
+    out.append(0.5 * math.log1p(max(np.var(gaps), 0)))
+    if words:
+        out.append(math.log(len(set(words)) / len(words)) * 2 / math.log(len(words) + 2))
+        out.append(math.log(sum(x == y for x, y in zip(words, words[1:], strict=False)) / len(words) + 1e-3))
+        out.append(math.log(max(Counter(words).values()) / len(words) + 1e-2))
+    else:
+        out += [0.0] * 3
+    return np.array([*out, math.log((len(words) + 1) / (kinds[6] + 1))])
+
+
+def plain_discriminant(docs, labels, shrink=0.1):
+    """doc_id, score of (doc_id, text) rows, learnt from (doc_id, 0 or 1) rows of the other folds."""
+    x = np.array([plain_statistics(t) for _, t in docs])
+    place = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        place[d].append(i)
+    own = [[i for d, y in labels if y == c and d is not None and zlib.crc32(str(d).encode()) % 3 != 1 for i in place.get(d, ())] for c in (0, 1)]
+    if not all(own):
+        return [(d, 0.5) for d, _ in docs]
+    cov = [np.cov(x[i].T, bias=True) for i in own]
+    n = [len(i) for i in own]
+    pooled = np.diag(np.average([np.diag(c) for c in cov], axis=0, weights=n) + 1e-4)
+    dens = []
+    for c in (0, 1):
+        amount = min(1.0, shrink + x.shape[1] * (x.shape[1] + 1) / 2 / (n[c] + 1))
+        s = (1 - amount) * cov[c] + amount * pooled
+        z = x - x[own[c]].mean(axis=0)
+        dens.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    s = (dens[1] - dens[0] + math.log(n[1] / n[0])) / 4
+    return [(d, p) for (d, _), p in zip(docs, 0.5 + 0.5 * s / (1 + abs(s)), strict=True)]
+
+
+def assert_scores(got, want):
+    by = defaultdict(list)
+    for d, p in want:
+        by[d].append(p)
+    assert len(got) == len(want)
+    for r in got:
+        assert any(r.score == pytest.approx(p, rel=1e-6, abs=1e-9) for p in by[r.doc_id])
+
+
+def test_quality_is_the_plain_discriminant(spark, odd, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    pairs = [(r.doc_id, r.quality) for r in labels.collect()]
+    assert_scores(quality.classify(real, labels).collect(), plain_discriminant(rows_of(real), pairs))
+    # classes of one row and of equal rows, whose covariances are singular
+    own = rows_of(odd)
+    few = [(d, int(i % 5 == 0)) for i, (d, _) in enumerate(own)]
+    one = [(d, int(d == 7)) for d, _ in own if d is not None]
+    for some in (few, one, [*one, (7, None), (None, 1), (10**9, 0)]):
+        table = spark.createDataFrame(some, "doc_id long, quality int").withColumn("text", F.lit("clash"))
+        assert_scores(quality.classify(odd, table).collect(), plain_discriminant(own, [x for x in some if x[1] is not None]))
+    # a text's statistics don't depend on what stands beside it
+    texts = [t for _, t in own]
+    alone = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    assert np.allclose(quality.statistics(pa.array(texts, pa.string())), alone)
+
+
 def test_decontaminate(spark):
     rng = random.Random(8)
     item = lambda n: ["Wörd%d" % rng.randrange(500) for _ in range(n)]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +72,3 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_decontaminate, op5_substring_dedup, op6_warc_round_trip, op7_quality_scores, op8_token_counts, op9_jaccard_join, op10_token_tables)}
-ORACLE_SQL: dict[str, str] = {}

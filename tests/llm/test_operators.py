@@ -443,6 +443,38 @@ def test_quality_is_the_plain_discriminant(spark, odd, real):
     assert np.allclose(quality.statistics(pa.array(texts, pa.string())), alone)
 
 
+def item_words(text):
+    return "".join(" " if c.isascii() and not c.isalnum() else c for c in (text or "").lower()).split()
+
+
+def brute_items(text, items, threshold=0.75):
+    """item -> best similarity of a window of the item's size, where that reaches the threshold."""
+    w, found = item_words(text), {}
+    for i, t in items:
+        b = item_words(t)
+        if not b or not w:
+            continue
+        size = min(len(b), len(w))
+        k, k_item = min(size, 5), min(len(b), 5)
+        want = Counter(tuple(b[x : x + k_item]) for x in range(len(b) - k_item + 1))
+        own = [tuple(w[x : x + k]) for x in range(len(w) - k + 1)]
+        if want.keys().isdisjoint(own):
+            continue
+        held, both, span, best = Counter(), 0, size - k + 1, 0.0
+        for x, s in enumerate(own):  # the window's shingles, one in and one out
+            both += held[s] < want[s]
+            held[s] += 1
+            if x >= span:
+                out = own[x - span]
+                both -= held[out] <= want[out]
+                held[out] -= 1
+            if x >= span - 1:
+                best = max(best, both / (span + want.total() - both))
+        if best >= threshold:
+            found[i] = best
+    return found
+
+
 def test_decontaminate(spark):
     rng = random.Random(8)
     item = lambda n: ["Wörd%d" % rng.randrange(500) for _ in range(n)]
@@ -461,22 +493,8 @@ def test_decontaminate(spark):
         docs.append((i, ", ".join(w).upper() if i % 3 else "\n".join(w)))
     docs += [(900, None), (901, ""), (902, " ".join(items[4])), (903, " ".join(items[4][:36]))]
 
-    def sim(a, b):
-        k = lambda w: Counter(tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)) if w else Counter()
-        a, b = k(a), k(b)
-        both = sum((a & b).values())
-        return both / (sum(a.values()) + sum(b.values()) - both) if both else 0
-
-    norm = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
     for d, t in docs:
-        w, best = norm(t), {}
-        for i, b in bench:
-            b = norm(b)
-            if b and w:
-                n = min(len(b), len(w))
-                s = max(sim(w[x : x + n], b) for x in range(len(w) - n + 1))
-                if s >= 0.75:
-                    best[i] = s
+        best = brute_items(t, bench)
         want[d] = (bool(best), len(best), min(best, key=lambda i: (-best[i], i)) if best else None)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("similarity", F.lit(1)).repartition(3)
     bd = spark.createDataFrame(bench, "item_id long, text string")

@@ -152,28 +152,26 @@ def shingles_of(w: np.ndarray) -> list[int]:
 
 
 def slices_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", items: int = 2048, size: int = 4 << 20) -> list[str]:
-    """Writes the benchmark to the shared folder in slices of at most `items` items and about `size` characters."""
-    spark, files, held, chars = benchmark.sparkSession, [], [], 0
-    folder = shared.fresh(spark, "benchmark")
-
-    def flush():
-        files.append(f"{folder}/slice-{len(files):06d}.arrow")
-        ids, texts = zip(*held, strict=True)
-        own, sink = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"]), pa.BufferOutputStream()
-        with pa.ipc.new_file(sink, own.schema) as out:
-            out.write_batch(own)
-        shared.put_file(files[-1], [sink.getvalue()])
-        held.clear()
-
-    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        held.append((r.i, r.t))
-        chars += len(r.t or "")
-        if len(held) >= items or chars >= size:
-            flush()
-            chars = 0
-    if held:
-        flush()
-    return files
+    """Writes the benchmark to the shared folder in slices of at most `items` items and about `size` bytes, each task its own, and returns their names."""
+    folder = shared.fresh(benchmark.sparkSession, "benchmark")
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for s in shared.slices(b, 1, size):
+                for at in range(0, s.num_rows, items):
+                    own, sink = s.slice(at, items), pa.BufferOutputStream()
+                    with pa.ipc.new_file(sink, own.schema) as out:
+                        out.write_batch(own)
+                    file = f"{folder}/slice-{part:06d}-{nth:06d}.arrow"
+                    shared.put_file(file, [sink.getvalue()])
+                    nth += 1
+                    yield pa.record_batch([pa.array([file])], ["file"])
+
+    plain = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return sorted(r.file for r in shared.staged(plain.mapInArrow(shared.task(cut), "file string"), "benchmark-slices").collect())
 
 
 def load(file: str) -> Slice:

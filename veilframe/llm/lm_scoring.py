@@ -37,7 +37,9 @@ from . import textvec as tv
 
 END, BOS = tv.U(0x5851F42D4C957F2D), tv.U(0x14057B7EF767814F)
 BLOCK = 16 << 20
+FETCHED_BYTES = 1 << 30
 _MAPS: dict[str, tuple] = shared.kept("maps")
+_FETCHED: dict[str, int] = shared.kept("maps fetched")
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +74,12 @@ def write_table(path: str, *columns: np.ndarray) -> None:
 
 
 def mapped(path: str, n: int, kinds: list[tuple[str, int]]):
-    """Columns of a shard as arrays over a memory map; a shard in a remote store is fetched to an unlinked local file first."""
+    """Columns of a shard as arrays over a memory map.
+
+    A shard in a remote store is fetched to an unlinked local file first; a
+    worker keeps FETCHED_BYTES of these, the latest, and shards are walked in
+    order.
+    """
     if path not in _MAPS:
         fs, own = shared.open_shared(path)
         if fs.type_name == "local":
@@ -83,6 +90,11 @@ def mapped(path: str, n: int, kinds: list[tuple[str, int]]):
                 while chunk := src.read(8 << 20):
                     f.write(chunk)
             f.flush()
+            held = [p for p in _FETCHED if p in _MAPS]
+            while held and sum(_FETCHED[p] for p in held) + f.tell() > FETCHED_BYTES:
+                _MAPS.pop(held.pop(0))
+            _FETCHED.pop(path, None)
+            _FETCHED[path] = f.tell()
         with f:
             m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
         out, at = [], 0
@@ -275,6 +287,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     grams, t = shards(back, (4, 5))
     lists, f = shards(words, (8, 8))
     t, f = t or [0] * 6, f or [0] * 9
+    shared.drop(blocks, back, words)
+    shared.remove(spark, codes)
     # the third discount takes all words of three or more left contexts
     return Model(f[0], f[1], f[2], discounts(t[:4]), discounts(f[3:7]), grams, lists, [f[3], f[4], f[7]])
 
@@ -289,7 +303,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, held: int = 1, id_col:
                 yield pa.record_batch([s.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens, np.int64)), pa.array(base), pa.array(own)], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = plain.mapInArrow(shared.task(each, "maps"), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = plain.mapInArrow(shared.task(each, "maps", "maps fetched"), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("held_out", F.coalesce(shared.crc_rest("doc_id", folds) == held, F.lit(False)))
 
 

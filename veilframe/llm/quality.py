@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textvec as tv
 
+#: Text bytes that are counted at once; the counting needs some forty times as many.
+SLICE = 1 << 20
+
 FEATURES = (
     "log bytes", "letters", "upper case", "digits", "stops", "symbols", "bars", "breaks", "non-ASCII",
     "mean word length", "word length spread", "distinct words", "words repeated at once", "most frequent word", "words a line",
@@ -126,7 +129,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, 1):
+            for s in shared.slices(batch, 1, SLICE):
                 yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in statistics(s.column(1))], pa.binary())], ["doc_id", "x"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -181,7 +184,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", **optio
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, batch.schema.get_field_index(text_col)):
+            for s in shared.slices(batch, batch.schema.get_field_index(text_col), SLICE):
                 yield s.filter(pa.array(model.score(statistics(s.column(s.schema.get_field_index(text_col)))) >= 0.5))
 
     return docs.mapInArrow(shared.task(each), docs.schema)

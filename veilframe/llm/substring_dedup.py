@@ -318,7 +318,10 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
 
     sent = blocks.mapInArrow(shared.task(send), "bucket int, block_id long, head binary, bytes binary, cuts binary").repartitionById(n, F.col("bucket"))
     cuts = sent.mapInArrow(shared.task(find), "block_id long, cuts binary")
-    return staged, frequency.filed(cuts.groupBy("block_id").agg(F.collect_list("cuts").alias("value")), "cuts")
+    folder = frequency.filed(cuts.groupBy("block_id").agg(F.collect_list("cuts").alias("value")), "cuts")
+    for x in (anchors, windows):
+        shared.remove(docs.sparkSession, x)
+    return staged, folder
 
 
 def spans(row: dict, cuts: str) -> tuple:

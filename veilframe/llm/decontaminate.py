@@ -200,7 +200,7 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_co
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, 1, 16 << 20):
+            for s in shared.slices(batch, 1, 4 << 20):
                 found = _found(s.column(1), files, threshold)
                 rows = [min(found[t]) if t in found else None for t in range(s.num_rows)]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([r is not None for r in rows]), pa.array([len(found.get(t, ())) for t in range(s.num_rows)], pa.int64()), pa.array([r and r[3] for r in rows], pa.int64()), pa.array([-r[0] if r else None for r in rows], pa.float64())], schema=schema)
@@ -215,7 +215,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text_c
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, batch.schema.get_field_index(text_col), 16 << 20):
+            for s in shared.slices(batch, batch.schema.get_field_index(text_col), 4 << 20):
                 found = _found(s.column(s.schema.get_field_index(text_col)), files, threshold)
                 yield s.filter(pa.array([t not in found for t in range(s.num_rows)]))
 

@@ -3,21 +3,25 @@
 A byte-level BPE splits a text before every blank that is followed by a
 non-blank, whatever comes before or after; so a text's ids are those of its
 pieces, joined.  Pieces repeat, texts don't: a worker keeps the ids of pieces
-that it met lately, in two generations of at most KEPT_BYTES each.  Texts where the rule doesn't hold (a blank
+that it met lately and not for the first time, in two generations of at most
+KEPT_BYTES each.  Texts where the rule doesn't hold (a blank
 before other white space, or a special token's string) are encoded whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
 
 from . import shared
 
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 64 << 20
 #: Of a kept piece beside its characters and ids: two objects and its place in the table.
 _ENTRY = 190
+#: Places for the hashes of pieces met once; cleared when half of them are taken.
+_ONCE = 1 << 22
 
 
 def byte_characters() -> dict[int, str]:
@@ -39,6 +43,8 @@ class PieceEncoder:
         self.cache: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.held = 0
+        self.once, self.taken = np.zeros(_ONCE, bool), 0
+        self.passing: list[str] = []
         import json
 
         spec = json.loads(self.tok.to_str())
@@ -71,8 +77,17 @@ class PieceEncoder:
         new = pieces - self.cache.keys()
         again = new & self.older.keys()
         self.cache.update((p, self.older[p]) for p in again)
-        self.held += sum(map(len, new)) * 2 + _ENTRY * len(new)
         new -= again
+        order = list(new)
+        spot = np.fromiter(map(hash, order), np.int64, len(order)) & (_ONCE - 1)
+        known = self.once[spot]
+        self.once[spot] = True
+        self.taken += len(order) - int(known.sum())
+        if 2 * self.taken > _ONCE:
+            self.once[:], self.taken = False, 0
+        stay = [*again, *itertools.compress(order, known.tolist())]
+        self.passing = list(itertools.compress(order, (~known).tolist()))
+        self.held += 2 * sum(map(len, stay)) + _ENTRY * len(stay)
         todo = [p for p in new if p and not p[0].isspace()]
         if len(todo) < len(new):  # a blank before other white space, or at an end: joining these fails, and the text is encoded whole
             self.cache.update((p, None) for p in new if not p or p[0].isspace())
@@ -101,6 +116,9 @@ class PieceEncoder:
                 out[i] = head + b"".join(map(get, parts))
             except TypeError:
                 odd.append(i)
+        for p in self.passing:
+            del self.cache[p]
+        self.passing = []
         for at in range(0, len(odd), 64):
             for i, b in zip(odd[at : at + 64], self.whole([texts[i] for i in odd[at : at + 64]]), strict=True):
                 out[i] = b

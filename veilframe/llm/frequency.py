@@ -74,11 +74,14 @@ def swap(rows: DataFrame, n: int, make: Callable[[dict], tuple[np.ndarray, list[
         if not held:
             return
         out = settle(np.concatenate([x[2] for x in held]), [np.concatenate(c) for c in zip(*(x[3] for x in held), strict=True)])
-        at = 0
+        at, rows, size = 0, [], 0
         for bucket, block, x, _ in held:
-            own = [_planes(c[at : at + len(x)], z) for c in out]
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([own], pa.list_(pa.binary()))], ["block_id", "bucket", "cols"])
-            at += len(x)
+            rows.append((block, bucket, [_planes(c[at : at + len(x)], z) for c in out]))
+            at, size = at + len(x), size + sum(map(len, rows[-1][2]))
+            if size >= 1 << 20 or at == len(out[0]):
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)], ["block_id", "bucket", "cols"])
+                rows, size = [], 0
 
     sent = rows.mapInArrow(shared.task(send), "bucket int, block_id long, low binary, cols array<binary>").repartitionById(n, F.col("bucket"))
     back = sent.mapInArrow(shared.task(reduce), "block_id long, bucket int, cols array<binary>")

@@ -218,9 +218,9 @@ def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, c
 
         enc, end, part = encoder(vocabulary(vocab)), struct.pack("<I", end_id), TaskContext.get().partitionId()
         for batch in batches:
-            for s in shared.slices(batch, 1, 1 << 20):
+            for s in shared.slices(batch, 1, 2 << 20):
                 rows = []
-                for i, ids in zip(s.column(0).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
+                for i, ids in zip(s.column(0).to_pylist(), enc.encode(s.column(1)), strict=True):
                     ids += end
                     n, at, k = len(ids) // 4, 0, 0
                     while at < n:

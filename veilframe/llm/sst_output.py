@@ -159,8 +159,8 @@ def write(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", end_id:
         enc, end, held = encoder(vocabulary(vocab)), struct.pack("<I", end_id), []
         z, d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
-            for s in shared.slices(batch, 1, 1 << 20):
-                for i, crc, ids in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), enc.encode(["" if t is None else t for t in s.column(1).to_pylist()]), strict=True):
+            for s in shared.slices(batch, 1, 2 << 20):
+                for i, crc, ids in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), enc.encode(s.column(1)), strict=True):
                     held.append(((key_of(i), crc), z.compress(ids + end), len(ids) // 4 + 1))
         if not held:
             return

@@ -27,6 +27,7 @@ def _powers(base: int) -> np.ndarray:
 
 _POW, _INV = _powers(_P), _powers(_PINV)
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+EXACT = _BYTES.copy()  # tells upper from lower case
 _BYTES[65:91] = _BYTES[97:123]
 _COEF = np.random.default_rng(977).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
@@ -66,9 +67,15 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, offs: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each text the index of its first word (with the total at the end)."""
+    out, starts, _ = hashed_spans(data, offs, word, _BYTES)
+    return out, np.searchsorted(starts, offs).astype(np.int64)
+
+
+def hashed_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of each word: a run of bytes of `word` inside a text, by the values of `table`."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -88,7 +95,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, word: np.ndarray = WORD) ->
     for c, at in enumerate(range(0, n, _CHUNK)):
         part = data[at : at + _CHUNK]
         m = len(part)
-        np.cumsum(_BYTES[part] * _POW[:m], out=total[1 : m + 1])
+        np.cumsum(table[part] * _POW[:m], out=total[1 : m + 1])
         if open_word >= 0:  # a word that began in an earlier chunk
             stop = min(int(ends[open_word]) - at, m)
             carry = (carry + int(total[stop]) * pow(_P, carried, 1 << 64)) & _MASK
@@ -105,7 +112,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, word: np.ndarray = WORD) ->
         s, e = starts[a:b] - at, ends[a:b] - at
         out[a:b] = (total[e] - total[s]) * _INV[s]
     out = mix(out + (ends - starts).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
-    return out, np.searchsorted(starts, offs).astype(np.int64)
+    return out, starts, ends
 
 
 def sequence_hash(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:

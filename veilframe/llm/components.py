@@ -23,23 +23,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         roots = shared.staged(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            higher = shared.staged(roots.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
-            shared.drop(roots)
-            if not higher.filter("moved").limit(1).count():
-                roots = higher
+            higher = roots.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+            before, (roots, moved) = roots, shared.staged_counting(higher, "roots", F.col("moved"))
+            shared.drop(before)
+            if not moved:
                 break
-            roots = higher
         if labels is None:
             labels = shared.staged(roots.select("node", F.col("root").alias("label")), "labels")
         else:
             before = labels
             labels = shared.staged(before.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
             shared.drop(before)
-        left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        between = open_.join(left, "a").join(right, "b").filter("x != y")
-        before, open_ = open_, shared.staged(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        one, other = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        between = open_.join(one, "a").join(other, "b").filter("x != y")
+        between = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        before, (open_, left) = open_, shared.staged_counting(between, "edges", F.lit(True))
         shared.drop(before, roots)
-        if not open_.limit(1).count():
+        if not left:
             shared.drop(open_)
             return labels
     raise RuntimeError(f"components aren't settled after {rounds} rounds")

@@ -139,12 +139,20 @@ def mark(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame, Dat
 
     def label(batches):
         for r in shared.block_rows(batches):
-            rows = [(doc, cls, s, i, prefix is not None) for i, (doc, cls, s, _, prefix) in enumerate(prefixes(r, answers))]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()], strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([r["block_id"]] * len(rows), pa.int64())], ["doc_id", "cls", "n", "nth", "open", "block_id"])
-
-    marked = shared.staged(blocks.mapInArrow(shared.task(label), "doc_id long, cls binary, n long, nth int, open boolean, block_id long"), "jaccard-marked")
-    one = marked.filter("open").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "block_id", "nth")).alias("at"))
+            rows, first = [], {}
+            for i, (doc, cls, s, often, prefix) in enumerate(prefixes(r, answers)):
+                rows.append([doc, cls, s, i, None, None, None])
+                if prefix and (LAST if doc is None else doc, i) < first.get(cls, ((LAST, i + 1),))[0]:
+                    first[cls] = (LAST if doc is None else doc, i), often, prefix
+            for (_, i), often, (toks, norm) in first.values():  # of the block's copies one goes on
+                rows[i][4:] = norm, toks.astype("<u8").tobytes(), often.astype("<u8").tobytes()
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([r["block_id"]] * len(rows), pa.int64())], ["doc_id", "cls", "n", "nth", "norm", "toks", "own", "block_id"])
+
+    marked = shared.staged(blocks.mapInArrow(shared.task(label), "doc_id long, cls binary, n long, nth int, norm int, toks binary, own binary, block_id long"), "jaccard-marked")
+    open_ = marked.filter("norm is not null")
+    one = open_.groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "block_id", "nth")).alias("at"))
     chosen = frequency.filed(one.groupBy(F.col("at.block_id").alias("block_id")).agg(F.collect_list("at.nth").alias("value")), "jaccard-chosen")
 
     def gather(batches):
@@ -155,24 +163,25 @@ def mark(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame, Dat
         def flush():
             nonlocal block, held, size
             cls, age, s, toks, norm, own = zip(*held, strict=True)
-            small = [np.array(x, "<i4").tobytes() for x in (s, [len(t) for t in toks], norm, [len(x) for x in own])]
-            fields = [b"".join(cls), np.array(age, "<i8").tobytes(), *small, *(np.concatenate(x).astype("<u8").tobytes() for x in (toks, own))]
+            small = [np.array(x, "<i4").tobytes() for x in (s, [len(t) // 8 for t in toks], norm, [len(x) // 8 for x in own])]
+            fields = [b"".join(cls), np.array(age, "<i8").tobytes(), *small, b"".join(toks), b"".join(own)]
             out = pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], [c.split()[0] for c in CAND.split(", ")])
             block, held, size = block + 1, [], 0
             return out
 
+        at = wanted = None
         for r in shared.block_rows(batches):
-            wanted = set(frequency.fetch(chosen, r["block_id"]))
-            for i, (doc, cls, s, often, prefix) in enumerate(prefixes(r, answers) if wanted else ()):
-                if i in wanted:
-                    held.append((cls, LAST if doc is None else doc, s, prefix[0], prefix[1], often))
-                    size += 8 * len(often)
-                    if size >= SETS_BYTES or len(held) >> PLACE:
-                        yield flush()
+            if r["block_id"] != at:
+                at, wanted = r["block_id"], set(frequency.fetch(chosen, r["block_id"]))
+            if r["nth"] in wanted:
+                held.append((r["cls"], LAST if r["doc_id"] is None else r["doc_id"], r["n"], r["toks"], r["norm"], r["own"]))
+                size += len(r["own"])
+                if size >= SETS_BYTES or len(held) >> PLACE:
+                    yield flush()
         if held:
             yield flush()
 
-    cands = shared.staged(blocks.mapInArrow(shared.task(gather), CAND), "jaccard-sets")
+    cands = shared.staged(open_.mapInArrow(shared.task(gather), CAND), "jaccard-sets")
     for folder in (answers, chosen):
         shared.remove(docs.sparkSession, folder)
     return staged, marked, cands

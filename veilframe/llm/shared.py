@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -86,6 +86,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def staged_counting(df: DataFrame, name: str, of) -> tuple[DataFrame, int]:
+    """`staged`, and how many of the rows `of` holds for, counted as they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count_if(of).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

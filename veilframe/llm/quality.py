@@ -1,8 +1,9 @@
 """Quality scores by regularised quadratic discriminant analysis.
 
 Each text gives a vector of transformed statistics (FEATURES).  Class means
-and covariances come from sums over all labelled training rows, made in Spark;
-only those sums (one number per class and pair of features) reach the driver.
+and covariances come from sums over a bounded sample of the labelled training
+rows, made in Spark; only those sums (one number per class and pair of
+features) reach the driver.  Every text is then scored where it lies.
 Each covariance is shrunk towards the pooled diagonal, its Cholesky factor is
 kept, and a text's score is the difference of the two Mahalanobis
 log-densities plus the log prior ratio, squashed to 0..1 by softsign (it keeps
@@ -124,67 +125,62 @@ class Model:
         return 0.5 + 0.5 * s / (1 + np.abs(s))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Statistics of each document as packed doubles, in the shared folder."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def each(batches):
-        for batch in batches:
-            for s in shared.slices(batch, 1, SLICE):
-                yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in statistics(s.column(1))], pa.binary())], ["doc_id", "x"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return shared.staged(plain.mapInArrow(shared.task(each), "doc_id long, x binary"), "statistics")
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, folds: int = 3, held: int = 1, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from labelled rows whose crc32(doc_id as text) mod `folds` isn't `held`: at most `sample`, those of the smallest hashes of their ids.
 
-
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrink: float = 0.1, folds: int = 3, held: int = 1) -> Model:
-    """Learns from labelled rows whose crc32(doc_id as text) mod `folds` isn't `held`."""
+    The sample is a bound on the learning only, so its ids can be broadcast and
+    no other text leaves its task.
+    """
     d = len(FEATURES)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (shared.crc_rest("doc_id", folds) != held))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
 
     def sums(batches):
         n, s, o = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float64).reshape(-1, d)
-            y = b.column(1).to_numpy()
-            for c in (0, 1):
-                m = x[y == c]
-                n[c] += len(m)
-                s[c] += m.sum(axis=0)
-                o[c] += m.T @ m
+            for part in shared.slices(b, 0, SLICE):
+                x, y = statistics(part.column(0)), part.column(1).to_numpy()
+                for c in (0, 1):
+                    m = x[y == c]
+                    n[c] += len(m)
+                    s[c] += m.sum(axis=0)
+                    o[c] += m.T @ m
         flat = np.concatenate([n, s.ravel(), o.ravel()])
         yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
 
-    joined = stats.join(rows, "doc_id").select("x", "y")
+    joined = _named(docs, id_col, text_col).join(F.broadcast(rows), "doc_id").select("text", "y")
     total = {r.i: r.v for r in joined.mapInArrow(shared.task(sums), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     flat = np.array([total.get(i, 0.0) for i in range(2 + 2 * d + 2 * d * d)])
     return Model(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d), shrink)
 
 
-def score(stats: DataFrame, model: Model, folds: int = 3, held: int = 1) -> DataFrame:
-    d = len(FEATURES)
-
+def score(docs: DataFrame, model: Model, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def each(batches):
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, d)
-            p = model.score(x)
-            yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        for batch in batches:
+            for s in shared.slices(batch, 1, SLICE):
+                p = model.score(statistics(s.column(1)))
+                yield pa.record_batch([s.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = stats.mapInArrow(shared.task(each), "doc_id long, score double, predicted int")
+    out = _named(docs, id_col, text_col).mapInArrow(shared.task(each), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(shared.crc_rest("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    stats = features(docs)
-    return score(stats, fit(stats, labels, **options))
+    return score(docs, fit(docs, labels, **options))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    model = fit(features(docs), labels, **options)
+    model = fit(docs, labels, text_col=text_col, **options)
+    where = docs.columns.index(text_col)
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, batch.schema.get_field_index(text_col), SLICE):
-                yield s.filter(pa.array(model.score(statistics(s.column(s.schema.get_field_index(text_col)))) >= 0.5))
+            for s in shared.slices(batch, where, SLICE):
+                yield s.filter(pa.array(model.score(statistics(s.column(where))) >= 0.5))
 
     return docs.mapInArrow(shared.task(each), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, jaccard_join, lm_scoring, packing, quality, sst_output, substring_dedup, token_counts, vector_search, warc
+from veilframe.llm import decontaminate, encoding, frequency, jaccard_join, lm_scoring, packing, quality, shared, sst_output, substring_dedup, token_counts, vector_search, warc
 from veilframe.llm.encoding import encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -204,6 +204,15 @@ def test_piece_encoder_equals_whole_encoding():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(3000)]
     e = encoder(vocabulary("byte_bpe_50k.json"))
     assert e.encode(texts) == e.whole(texts)
+    assert e.encode(pa.array([None, *texts, None])) == [b"", *e.whole(texts), b""]
+
+
+def test_piece_encoder_forgets_and_learns_again(real, monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT_BYTES", 50_000)
+    e, texts = encoding.PieceEncoder(vocabulary("byte_bpe_50k.json")), [t for _, t in rows_of(real)]
+    want = e.whole(texts)
+    assert [x for at in range(0, len(texts), 9) for x in e.encode(texts[at : at + 9])] == want
+    assert len(e.older.key) and e.pieces.bytes() < 10 * 50_000
 
 
 def test_token_tables(docs):
@@ -271,6 +280,51 @@ def test_plan_is_optimal_on_small_cases():
         assert sum((Counter({s: c * n for s, c in Counter(f).items()}) for f, n in p), Counter()) == Counter(sizes)
 
 
+def test_dominance():
+    assert packing._holds((10, 5), (6, 5, 4)) and packing._holds((7,), ()) and packing._holds((9,), (9,))
+    assert not packing._holds((7, 7), (6, 4, 4)) and not packing._holds((3,), (4,))
+    spend = packing.Budget(10**6, 10**6)
+    got = list(packing.fillings({7: 1, 5: 2, 3: 2, 2: 5}, 10, 1, spend))
+    assert (7, 3) in got and (5, 5) in got and (5, 3, 2) not in got  # the last is held by (5, 5)
+    assert list(packing.fillings({4: 1}, 9, 3, spend)) == [] and list(packing.fillings({4: 1}, 9, 5, spend)) == [(4,)]
+    assert all(sum(f) >= 9 for f in got)
+
+
+def test_plan_on_random_histograms():
+    rng = random.Random(9)
+    for cap in (30, 100, 1024):
+        for _ in range(8):
+            counts = Counter(rng.randint(1, cap) for _ in range(rng.choice([5, 60, 400])))
+            p = packing.plan(counts, cap, nodes=800, steps=100_000)
+            assert sum((Counter({s: c * n for s, c in Counter(f).items()}) for f, n in p), Counter()) == counts
+            n = sum(n for _, n in p)
+            assert all(sum(f) <= cap for f, _ in p)
+            assert packing.lower_bound(counts, cap) <= n <= sum(packing.best_fit(counts, cap).values())
+
+
+def test_frequencies_of_a_hash_that_stands_everywhere(spark):
+    """It is one entry for each block, however often it occurs."""
+    rows = [(i, "the same line in every document\n" * 3 + f"own{i} " * 7) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = shared.stage_blocks(docs, "test-blocks", block_bytes=8000)
+    n = blocks.count()
+    assert n > 4
+    common = []
+
+    def hashes(row):
+        return jaccard_join.sets_of_block(row)[2]
+
+    answers = frequency.replies(blocks, 3, hashes, "test-replies")
+    for r in blocks.collect():
+        u = hashes(r.asDict())
+        q = frequency.read(u, answers, r.block_id)
+        assert len(frequency.answers(answers, r.block_id)[0]) == len(np.unique(u)) < len(u)
+        values, times = np.unique(u, return_counts=True)
+        common += values[times > 1].tolist()
+        assert (q[np.isin(u, values[times > 1])] == 9).all() and (q[~np.isin(u, values[times > 1])] == 0).all()  # 400 lies between 2**8 and 2**9
+    assert Counter(Counter(common).values()) == {n: len(set(common))}
+
+
 def test_token_counts(docs, spark, tmp_path):
     import sentencepiece
 

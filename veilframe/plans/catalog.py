@@ -292,6 +292,92 @@ def drawn_boxes(spark, sf_dir):
     return regions.drawn_boxes(drags).select("c_custkey", "box.x", "box.w")
 
 
+# state of a session, faces, pixels, OCR output
+
+def _flags(spark, sf_dir):
+    """Three regions an image, hidden or not by the key's remainders."""
+    region = lambda hidden: F.struct(F.lit("x").alias("detection"), F.array().cast("array<int>").alias("boxes"), hidden.alias("hidden"))
+    own = F.array(*[region(F.col("c_custkey") % n == 0) for n in (2, 3, 5)])
+    return table(spark, sf_dir, "customer").select("c_custkey", own.alias("regions"))
+
+
+def _shown(regions):
+    return F.array_join(F.transform(regions, lambda r: F.when(r["hidden"], F.lit("h")).otherwise(F.lit("v"))), "")
+
+
+@registered("SELECT c_custkey, CASE WHEN (c_custkey % 2 = 0) <> (c_custkey % 4 = 0) THEN 'h' ELSE 'v' END || CASE WHEN (c_custkey % 3 = 0) <> (c_custkey % 4 = 1) THEN 'h' ELSE 'v' END || CASE WHEN (c_custkey % 5 = 0) <> (c_custkey % 4 = 2) THEN 'h' ELSE 'v' END AS flags FROM customer")
+def region_toggle(spark, sf_dir):
+    """One region switched; a number beyond the last changes nothing."""
+    return _flags(spark, sf_dir).select("c_custkey", _shown(history.toggle(F.col("regions"), (F.col("c_custkey") % 4).cast("int"))).alias("flags"))
+
+
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 30 = 0 THEN 'vvv' ELSE 'hhh' END AS flags FROM customer")
+def region_toggle_all(spark, sf_dir):
+    return _flags(spark, sf_dir).select("c_custkey", _shown(history.toggle_all(F.col("regions"))).alias("flags"))
+
+
+#: Sessions of two boxes: what is done, in order.
+_SESSIONS = ("add add", "add add undo", "add add undo redo", "add add delete undo", "add undo add redo", "add add delete", "undo add redo")
+
+
+@registered("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '1,2' WHEN 1 THEN '1' WHEN 2 THEN '1,2' WHEN 3 THEN '1,2' WHEN 4 THEN '2' WHEN 5 THEN '2' ELSE '1' END AS boxes FROM customer")
+def box_undo_redo(spark, sf_dir):
+    """Hand-drawn boxes after a session's log; a delete takes the first box, an edit forgets what was undone."""
+    log = F.split(F.element_at(F.array(*map(F.lit, _SESSIONS)), (F.col("c_custkey") % 7 + 1).cast("int")), " ")
+    events = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(log).alias("seq", "action"), log.alias("log"))
+    nth = F.size(F.filter(F.slice("log", F.lit(1), F.col("seq") + 1), lambda a: a == "add")).cast("double")
+    box = F.when(F.col("action") == "add", F.struct(nth.alias("x"), F.lit(0.0).alias("y"), F.lit(9.0).alias("w"), F.lit(9.0).alias("h")))
+    got = history.manual_boxes(events.select("c_custkey", "seq", "action", box.alias("box"), F.lit(0).alias("index")), key="c_custkey")
+    return got.select("c_custkey", F.array_join(F.transform("boxes", lambda b: b["x"].cast("int").cast("string")), ",").alias("boxes"))
+
+
+@registered("SELECT n.n_nationkey AS image_id, CAST(1 + count(s.s_suppkey) AS INT) AS regions, coalesce(string_agg(CAST(s.s_suppkey % 10 AS VARCHAR), '' ORDER BY s.s_suppkey % 10 DESC), '') AS tenths FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_suppkey % 10 >= 5 GROUP BY 1")
+def face_join(spark, sf_dir):
+    """Faces of half confidence or more follow an image's text regions, the surest first."""
+    box = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h"))
+    faces = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("image_id"), box.alias("box"), (F.col("s_suppkey") % 10 / 10).alias("score"))
+    text = F.array(F.struct(F.struct(F.lit("email").alias("category"), F.lit("Email address").alias("label"), F.lit("medium").alias("severity"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("a@b.c").alias("text"), F.lit(0.9).alias("confidence"), F.lit(True).alias("redact_by_default")).alias("detection"), F.array(box).alias("boxes"), F.lit(True).alias("hidden")))
+    both = regions.join_faces(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("image_id"), text.alias("regions")), faces)
+    own = F.slice("regions", F.lit(2), F.size("regions"))
+    return both.select("image_id", F.size("regions").alias("regions"), F.array_join(F.transform(own, lambda r: F.round(r["detection"]["confidence"] * 10).cast("int").cast("string")), "").alias("tenths"))
+
+
+@registered("WITH px AS (SELECT p_partkey AS image_id, unnest([p_partkey % 256, p_size, 255]) AS r, unnest([p_size, p_partkey % 256, 255]) AS g, unnest([7, 0, 255]) AS b FROM part) SELECT image_id, CAST(floor(r * CAST(0.299 AS DOUBLE) + g * CAST(0.587 AS DOUBLE) + b * CAST(0.114 AS DOUBLE)) AS INT) AS bin, count(*) AS pixels FROM px GROUP BY 1, 2")
+def gray_bins(spark, sf_dir):
+    """Luma histograms of images of three pixels."""
+    from ..operators import images
+
+    byte = lambda c: F.lpad(F.hex(c.cast("int")), 2, "0")
+    key, size = F.col("p_partkey") % 256, F.col("p_size")
+    rgba = F.unhex(F.concat(byte(key), byte(size), F.lit("07FF"), byte(size), byte(key), F.lit("00FFFFFFFFFF")))
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.lit(3).alias("width"), F.lit(1).alias("height"), rgba.alias("rgba"))
+    return images.gray_histogram(own).where("pixels > 0")
+
+
+@registered("WITH w AS (SELECT user_id AS image_id, CAST(event_id % 4 AS INT) AS t, count(*) FILTER (WHERE value >= 60 AND length(event_type) >= 4) AS score FROM events GROUP BY 1, 2), f AS (SELECT DISTINCT image_id, score FROM w WHERE t = 0), b AS (SELECT image_id, t, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, t) AS r FROM w) SELECT f.image_id, CAST(CASE WHEN f.score >= 8 OR b.score = 0 THEN 0 ELSE b.t END AS INT) AS quarter_turns FROM f JOIN b ON b.image_id = f.image_id AND b.r = 1")
+def orientation_choice(spark, sf_dir):
+    """Upright where the first read has eight real words, else the best of all four turns."""
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), (F.col("event_id") % 4).cast("int").alias("quarter_turns"), F.col("event_type").alias("text"), F.col("value").alias("confidence"))
+    return regions.orientation_flow(words.where("quarter_turns = 0"), words)
+
+
+@registered("SELECT s_suppkey AS image_id, CAST(l.line AS INT) AS line, CAST(w.word AS INT) AS word, 'w' || CAST(l.line AS VARCHAR) || CAST(w.word AS VARCHAR) AS text, CAST(10 * w.word AS DOUBLE) AS x0 FROM supplier, (SELECT unnest([0, 1]) AS line) l, (SELECT unnest([0, 1, 2]) AS word) w WHERE w.word <= s_suppkey % 3")
+def ocr_tree_words(spark, sf_dir):
+    """An OCR tree of two lines, as one row for each word."""
+    from ..sources import readers
+
+    def word(nth, n):
+        return F.struct(F.concat(F.lit(f"w{nth}"), n.cast("string")).alias("text"), F.lit(91.5).alias("confidence"), F.struct((n * 10).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (n * 10 + 8).cast("double").alias("x1"), F.lit(9.0).alias("y1")).alias("bbox"))
+
+    def line(nth):
+        return F.struct(F.transform(F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int")), lambda n: word(nth, n)).alias("words"))
+
+    lines = F.array(line(0), line(1))
+    blocks = F.array(F.struct(F.array(F.struct(lines.alias("lines"))).alias("paragraphs")))
+    tree = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(0).alias("quarter_turns"), F.lit(1.0).alias("scale"), blocks.alias("blocks"))
+    return readers.ocr_words(tree).select("image_id", "line", "word", "text", "x0")
+
+
 @registered("SELECT category, severity, count(*) AS rules FROM (VALUES " + ", ".join(f"('{r.category}', '{r.severity}')" for r in rules.RULES) + ") t(category, severity) GROUP BY ALL")
 def rule_table(spark, sf_dir):
     return rules.rules_table(spark).groupBy("category", "severity").agg(F.count("*").alias("rules"))

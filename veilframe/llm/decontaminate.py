@@ -36,6 +36,8 @@ from . import textvec as tv
 
 RADIUS, BLOCKS, BITS = 15, 4, 16
 NEAR = RADIUS // BLOCKS
+#: Text bytes that are searched at once.
+TEXT_BYTES = 4 << 20
 _MASKS = np.array([sum(1 << b for b in c) for r in range(NEAR + 1) for c in itertools.combinations(range(BITS), r)], np.uint16)
 _LOADED: dict[str, "Slice"] = shared.kept("slices")
 
@@ -184,13 +186,16 @@ def load(file: str) -> Slice:
     return _LOADED[file]
 
 
-def _found(column, files: list[str], threshold: float) -> dict[int, list[tuple]]:
-    out: dict[int, list[tuple]] = {}
+def _found(batch: pa.RecordBatch, column: int, files: list[str], threshold: float):
+    """Cuts of a batch, each with its texts' items; a slice is loaded once for the whole batch."""
+    cuts = list(shared.slices(batch, column, TEXT_BYTES))
+    out: list[dict[int, list[tuple]]] = [{} for _ in cuts]
     for file in files:
         s = load(file)
-        for t, own in s.matches(column, threshold).items():
-            out.setdefault(t, []).extend((-sim, s.ids[i] is None, s.ids[i] or 0, s.ids[i]) for i, sim in own.items())
-    return out
+        for cut, found in zip(cuts, out, strict=True):
+            for t, own in s.matches(cut.column(column), threshold).items():
+                found.setdefault(t, []).extend((-sim, s.ids[i] is None, s.ids[i] or 0, s.ids[i]) for i, sim in own.items())
+    return zip(cuts, out, strict=True)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,8 +205,7 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_co
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, 1, 4 << 20):
-                found = _found(s.column(1), files, threshold)
+            for s, found in _found(batch, 1, files, threshold):
                 rows = [min(found[t]) if t in found else None for t in range(s.num_rows)]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([r is not None for r in rows]), pa.array([len(found.get(t, ())) for t in range(s.num_rows)], pa.int64()), pa.array([r and r[3] for r in rows], pa.int64()), pa.array([-r[0] if r else None for r in rows], pa.float64())], schema=schema)
 
@@ -211,12 +215,11 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    files = slices_of(benchmark)
+    files, where = slices_of(benchmark), docs.columns.index(text_col)
 
     def each(batches):
         for batch in batches:
-            for s in shared.slices(batch, batch.schema.get_field_index(text_col), 4 << 20):
-                found = _found(s.column(s.schema.get_field_index(text_col)), files, threshold)
+            for s, found in _found(batch, where, files, threshold):
                 yield s.filter(pa.array([t not in found for t in range(s.num_rows)]))
 
     return docs.mapInArrow(shared.task(each, "slices"), docs.schema)

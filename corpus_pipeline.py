@@ -48,7 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has read is deleted once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared.staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, shared.staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        shared.drop(before)
     return docs

@@ -101,6 +101,27 @@ def test_jaccard_join_random_families(spark):
     test_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_jaccard_join_in_small_parts(spark, monkeypatch):
+    """Lists and components are cut into parts of a few sets each."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    test_jaccard_join_random_families(spark)
+
+
+def test_compare_leaves_no_link_out(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRS", 50)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.sort(rng.permutation(base[i % 6 * 60 : i % 6 * 60 + 40 + i % 9])[: 36 + i % 5]) for i in range(60)]
+    member = lambda i: {"c": i, "n": len(sets[i]), "m": len(sets[i]), "bitmap": jaccard_join.bitmap(sets[i])}
+    kind = pa.list_(pa.struct([("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("bitmap", pa.binary())]))
+    rows = [(range(30), range(30, 60)), ((), range(5)), (range(5), ()), (range(60), range(60)), ([3], [4, 5])]
+    batch = pa.record_batch([pa.array([[member(i) for i in r[k]] for r in rows], kind) for k in (0, 1)], ["rows", "others"])
+    (got,) = jaccard_join._compare([batch])
+    found = set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert links and links <= found and len(found) < 60 * 59 / 2
+
+
 def brute_repeats(own):
     """Removed byte flags by hashing every window in order of (id, row)."""
     order = sorted(range(len(own)), key=lambda i: (own[i][0] is not None, own[i][0] or 0))

@@ -37,6 +37,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ NONE = np.uint64((1 << 64) - 1)
 LAST = (1 << 63) - 1
 #: Turns signed numbers into unsigned ones of the same order.
 SIGN = np.uint64(1 << 63)
-_NEAR = "100 * least({0}, {1}) >= 75 * greatest({0}, {1})"
+#: Pairs that are compared at once.
+PAIRS = 1 << 15
 
 
 def sets_of_block(row: dict):
@@ -419,22 +421,30 @@ def _apart(own: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def _compare(batches):
-    """Pairs between two blocks that sizes and bitmaps leave open, as (smaller, larger)."""
+    """Pairs between the two lists of each row that sizes and bitmaps leave open, as (smaller, larger)."""
     for t in batches:
-        for r in range(t.num_rows):
-            x, y = t.column(0)[r].values, t.column(1)[r].values
-            c = [v.field("c").to_numpy() for v in (x, y)]
-            n, m = ([v.field(f).to_numpy() for v in (x, y)] for f in ("n", "m"))
-            bits = [np.frombuffer(b"".join(v.field("bitmap").to_pylist()), np.uint64).reshape(len(v), BITMAP // 64) for v in (x, y)]
-            found = [np.zeros((0, 2), np.int64)]
-            for i in range(len(c[0])):
-                ok = np.flatnonzero((100 * np.minimum(n[0][i], n[1]) >= 75 * np.maximum(n[0][i], n[1])) & (c[1] != c[0][i]))
-                differ = np.bitwise_count(bits[0][i] ^ bits[1][ok]).sum(axis=1, dtype=np.int64)
-                inter = (m[0][i] + m[1][ok] - differ) // 2  # of the m shared shingles of each; the rest of n meet nothing
-                ok = ok[100 * inter >= 75 * (n[0][i] + n[1][ok] - inter)]
-                found.append(np.sort(np.stack([np.full(len(ok), c[0][i]), c[1][ok]], axis=1), axis=1))
-            both = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        sides = []
+        for col in (t.column(0), t.column(1)):
+            size, flat = pc.list_value_length(col).to_numpy().astype(np.int64), col.flatten()
+            c, n, m = (flat.field(f).to_numpy() for f in ("c", "n", "m"))
+            sides.append((size, np.cumsum(size) - size, c, n, m, tv.text_buffers(flat.field("bitmap"))[0].reshape(-1, BITMAP // 8).view(np.uint64)))
+        (x_size, x_at, x_c, x_n, x_m, x_bits), (y_size, y_at, y_c, y_n, y_m, y_bits) = sides
+        # a step takes whole members of the first list against all of the second
+        row = np.repeat(np.arange(t.num_rows), x_size)
+        many = y_size[row]
+        step = (np.cumsum(many) - many) // PAIRS
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(*(np.searchsorted(step, np.unique(step), side=s) for s in ("left", "right")), strict=True):
+            i = np.repeat(np.arange(lo, hi), many[lo:hi])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi]) + np.repeat(y_at[row[lo:hi]], many[lo:hi])
+            ok = (100 * np.minimum(x_n[i], y_n[j]) >= 75 * np.maximum(x_n[i], y_n[j])) & (x_c[i] != y_c[j])
+            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(x_bits[i] ^ y_bits[j]).sum(axis=1, dtype=np.int64)
+            inter = (x_m[i] + y_m[j] - differ) // 2  # of the m shared shingles of each; the rest of n meet nothing
+            ok = 100 * inter >= 75 * (x_n[i] + y_n[j] - inter)
+            found.append(np.sort(np.stack([x_c[i[ok]], y_c[j[ok]]], axis=1), axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
 def _grouped(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -93,6 +93,8 @@ def test_images(spark):
         return run
 
     assert images.with_model(df, broken, "image_id long").count() == 0
+    told = images.with_model(df, broken, "image_id long, x double, error string", "error").collect()
+    assert sorted(r.image_id for r in told) == sorted(r.image_id for r in df.collect()) and all(r.x is None and r.error for r in told)
 
 
 def test_history(spark):

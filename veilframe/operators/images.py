@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Side limits in pixels, the largest enlargement, and the weights of luma.
 MAX_SIDE, SEARCH_SIDE, OCR_SIDE, OCR_SCALE, LUMA = 4096, 1200, 2400, 2.0, (0.299, 0.587, 0.114)
@@ -109,8 +110,14 @@ def gray_histogram(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "rgba").mapInPandas(each, "image_id long, bin int, pixels long")
 
 
-def with_model(images: DataFrame, model: Callable[[], Callable], schema: str) -> DataFrame:
-    """Rows from an external model (OCR words, faces).  `model` loads it once for each task; an image that it fails on gives no rows, so text findings stay."""
+def with_model(images: DataFrame, model: Callable[[], Callable], schema: str, error_col: str | None = None) -> DataFrame:
+    """Rows from an external model (OCR words, faces).
+
+    `model` loads it once for each task.  An image that it fails on gives no
+    rows, so text findings stay; with `error_col`, a string column of the
+    schema, it gives one row that holds the image's id and the reason.
+    """
+    names = [f.name for f in StructType.fromDDL(schema).fields]
 
     def each(frames):
         run = model()
@@ -118,9 +125,12 @@ def with_model(images: DataFrame, model: Callable[[], Callable], schema: str) ->
             for row in pdf.itertuples(index=False):
                 try:
                     out = run(row)
-                except Exception:  # noqa: BLE001  best effort for each image
+                except Exception as e:  # noqa: BLE001  best effort for each image
+                    if error_col:
+                        known = {"image_id": row.image_id, error_col: f"{type(e).__name__}: {e}"}
+                        yield pd.DataFrame({n: pd.Series([known.get(n)], dtype=object) for n in names})
                     continue
                 if len(out):
-                    yield out
+                    yield out.assign(**{error_col: None}) if error_col else out
 
     return images.mapInPandas(each, schema)

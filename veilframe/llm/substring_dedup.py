@@ -7,7 +7,9 @@
    counted too and single ones dropped, so what surrounds a common passage
    stays where it is.
 2. Only the runs left travel, each to the range of its anchor's hash; equal
-   ones of a block travel once.
+   ones of a block travel once.  The windows of an anchor that stands in more
+   places than a task should hold travel by their own hashes instead, equal
+   ones of a block once, so no range gets them all.
 3. There, the runs of some anchors make a block.  Its suffixes are sorted one
    bucket at a time (buckets go by first bytes): by their first 16 bytes, ties
    by the rank of the next position in a difference cover modulo 16.  Those
@@ -48,6 +50,7 @@ COVER = (0, 1, 2, 5, 8)
 _AHEAD = np.array([next(d for d in range(PERIOD + 1) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 _NTH = np.array([COVER.index((r + d) % PERIOD) for r, d in enumerate(_AHEAD.tolist())])
 FREQUENT = 6  # frequency class from which windows are counted too: 32 occurrences
+HOT = 18  # frequency class from which windows travel by themselves: 131,072 occurrences, more than one task should hold
 SLAB = 12_000  # runs of a block
 BUCKET = 1 << 16  # suffixes of a bucket
 _CHUNK = 1 << 14
@@ -127,17 +130,30 @@ def _expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _frequent(row: dict, anchors: str):
-    """Runs of the block that may repeat, and which of them are frequent."""
+    """Runs of the block that may repeat, with the frequency classes of their anchors."""
     ids, known, data, offs = shared.open_block(row)
     h, anchor, first, last = runs(data, offs)
     q = frequency.read(h, anchors, row["block_id"])
     keep = q > 0
-    return ids, known, data, offs, h[keep], anchor[keep], first[keep], last[keep], q[keep] >= FREQUENT
+    return ids, known, data, offs, h[keep], anchor[keep], first[keep], last[keep], q[keep]
 
 
 def _windows(row: dict, anchors: str) -> np.ndarray:
-    _, _, data, _, _, _, first, last, often = _frequent(row, anchors)
-    return window_hashes(data, _expand(first[often], last[often]))
+    _, _, data, _, _, _, first, last, q = _frequent(row, anchors)
+    return window_hashes(data, _expand(first[q >= FREQUENT], last[q >= FREQUENT]))
+
+
+def firsts(data: np.ndarray, at: np.ndarray, h: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Which of a block's windows are the first of equal ones, by their order `turn`."""
+    order = np.lexsort((turn, h))
+    first = frequency.starts(h[order])
+    head = np.repeat(order[first], np.diff(first, append=len(h)))
+    word, same = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)), order != head
+    for j in (*range(0, 96, 8), LENGTH - 8):
+        same &= word[at[order] + j] == word[at[head] + j]
+    out = np.ones(len(at), bool)
+    out[order[same]] = False
+    return out
 
 
 def laid(data: np.ndarray, at: np.ndarray, size: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +229,7 @@ def repeats(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, rank: np.n
     return np.where(last < 0, -1, first), last
 
 
-def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
+def intervals(docs: DataFrame, rest: bool = False, hot: int = HOT) -> tuple[DataFrame, str]:
     """The staged blocks, and a folder with starts and ends of what repeats in each."""
     n = shared.parts(docs.sparkSession)
     staged = shared.stage_blocks(docs, "substring-blocks", rest=rest)
@@ -231,19 +247,36 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
     def send(batches):
         z = zstandard.ZstdCompressor(level=1)
         for row in shared.block_rows(batches):
-            ids, known, data, offs, h, anchor, first, last, often = _frequent(row, anchors)
+            ids, known, data, offs, h, anchor, first, last, q = _frequent(row, anchors)
+            often = q >= FREQUENT
+            order_id = np.where(known, ids, np.iinfo(np.int64).min)
+            single = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            gone = np.zeros((0, 2), np.int64)
             if often.any():
                 at = _expand(first[often], last[often])
-                q = frequency.read(window_hashes(data, at), windows, row["block_id"])
+                wh = window_hashes(data, at)
                 run = np.repeat(np.flatnonzero(often), (last - first + 1)[often])
+                some = frequency.read(wh, windows, row["block_id"]) > 0
+                at, wh, run = at[some], wh[some], run[some]
+                own = q[run] < hot
                 lo, hi = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
-                np.minimum.at(lo, run[q > 0], at[q > 0])
-                np.maximum.at(hi, run[q > 0], at[q > 0])
+                np.minimum.at(lo, run[own], at[own])
+                np.maximum.at(hi, run[own], at[own])
                 first, last = np.where(often, lo, first), np.where(often, hi, last)
+                if not own.all():  # windows of hot anchors go by their own hashes, equal ones of the block once
+                    at, wh, run = at[~own], wh[~own], run[~own]
+                    d = np.searchsorted(offs, at, side="right") - 1
+                    turn = np.empty(len(at), np.int64)
+                    turn[np.lexsort((at, d, known[d], order_id[d]))] = np.arange(len(at))
+                    ok = firsts(data, at, wh, turn)
+                    single = at[ok], anchor[run[ok]], wh[ok]
+                    p = np.sort(at[~ok])
+                    if len(p):
+                        new = np.flatnonzero(np.concatenate([[True], np.diff(p) > LENGTH]))
+                        gone = np.stack([p[new], p[np.append(new[1:], len(p)) - 1] + LENGTH], axis=1)
                 keep = last >= 0
                 h, anchor, first, last = h[keep], anchor[keep], first[keep], last[keep]
             doc = np.searchsorted(offs, first, side="right") - 1
-            order_id = np.where(known, ids, np.iinfo(np.int64).min)
             turn = np.lexsort((first, doc, known[doc], order_id[doc]))
             raw, seen, cuts, keep = data.tobytes(), set(), [], []
             for i, a, f, t in zip(turn.tolist(), anchor[turn].tolist(), first[turn].tolist(), last[turn].tolist(), strict=True):
@@ -254,10 +287,12 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
                     seen.add(key)
                     keep.append(i)
             keep = np.array(keep, np.int64)
-            keep = keep[np.argsort(h[keep], kind="stable")]
+            first, last, anchor, h = (np.concatenate([x[keep], y]) for x, y in zip((first, last, anchor, h), (single[0], *single), strict=True))
+            doc = np.searchsorted(offs, first, side="right") - 1
+            keep = np.argsort(h, kind="stable")
             bucket = np.searchsorted(edges, h[keep], side="right") - 1
-            local = np.array(cuts, "<i8").tobytes()
-            out = [(int(row["block_id"] % n), b"", b"", local)] if cuts else []
+            local = np.concatenate([gone, np.array(cuts, np.int64).reshape(-1, 2)]).astype("<i8").tobytes()
+            out = [(int(row["block_id"] % n), b"", b"", local)] if local else []
             for b in np.unique(bucket).tolist():
                 i = keep[bucket == b]
                 head = np.stack([order_id[doc[i]], known[doc[i]].astype(np.int64), doc[i], first[i], last[i], anchor[i], h[i].view(np.int64)])
@@ -298,6 +333,8 @@ def intervals(docs: DataFrame, rest: bool = False) -> tuple[DataFrame, str]:
         begin[whole], end[whole] = first[whole], last[whole] + LENGTH
         rest = np.flatnonzero(~whole)
         rest = rest[np.argsort(h[rest], kind="stable")]
+        alike = np.diff(np.append(frequency.starts(h[rest]), len(rest)))
+        rest = rest[np.repeat(alike, alike) > 1]  # what is left alone with its anchor repeats nowhere
         data = np.frombuffer(raw, np.uint8)
         a = 0
         while a < len(rest):
@@ -336,10 +373,10 @@ def spans(row: dict, cuts: str) -> tuple:
     return ids, known, data, offs, gone
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    blocks, cuts = intervals(docs)
+    blocks, cuts = intervals(docs, hot=hot)
 
     def each(batches):
         for row in shared.block_rows(batches):

@@ -92,6 +92,7 @@ def count_tokens(docs: DataFrame, vocab: str = "piece_bpe_32k.model", limit: int
     shared.drop(blocks)
     shared.remove(spark, misses)
     counts = _open(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = shared.staged(counts, "counts")  # one row a digest, so the join can split a digest of very many rows
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

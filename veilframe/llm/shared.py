@@ -86,6 +86,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remember(df: DataFrame, path: str) -> DataFrame:
+    """Notes the folder that `df` reads, for `drop`."""
+    _FOLDERS[df] = path
+    return df
+
+
 def staged_counting(df: DataFrame, name: str, of) -> tuple[DataFrame, int]:
     """`staged`, and how many of the rows `of` holds for, counted as they are written."""
     seen = Observation()

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilframe.llm import clustering, vectors
+from veilframe.llm import clustering, vectors, whitening
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<double>, cluster string, n string"  # with names that clash with results
@@ -127,3 +129,99 @@ def test_finite_rows_of_a_sliced_column():
     col = pa.array([[9.0], [1.0, 2.0], None, [], [float("nan")], [None], [3.0, float("inf")], [4.0]], pa.list_(pa.float64())).slice(1)
     rows, begin, size, flat = vectors.finite(col)
     assert rows.tolist() == [0, 2, 6] and [flat[b : b + s].tolist() for b, s in zip(begin, size, strict=True)] == [[1.0, 2.0], [], [4.0]]
+
+
+def plain_whitening(rows, components=8):
+    """The contract in doubles and Python integers, for rows of any length."""
+    own = [(i, v) for i, v, *_ in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    dims = max((len(v) for _, v in own), default=0)
+    x = [[math.floor(1024 * c) + 100000 for c in [*v, *[0.0] * (dims - len(v))]] for _, v in own]
+    n, s = len(x), [sum(c) for c in zip(*x, strict=True)]
+    z = np.array([[float(Fraction(a * n - t, n)) for a, t in zip(r, s, strict=True)] for r in x])
+    cov = z.T @ z / n
+    e, axes = np.linalg.eigh(cov)
+    e, axes = e[::-1][:components], axes[:, ::-1][:, :components]
+    deviation = [sum((n * a - t) ** 2 for a, t in zip(r, s, strict=True)) for r in x]
+    return [i for i, _ in own], deviation, z, cov, e, axes
+
+
+def assert_whitened(got, rows, components=8):
+    ids, deviation, z, cov, e, axes = plain_whitening(rows, components)
+    k = len(e)
+    assert Counter((r.vec_id, r.component, r.n, r.deviation) for r in got) == Counter((i, c, len(ids), d) for i, d in zip(ids, deviation, strict=True) for c in range(1, k + 1))
+    by = defaultdict(list)
+    for r in got:
+        by[r.component].append((str(r.vec_id), r.deviation, r.whitened))
+        assert abs(r.explained / (e[r.component - 1] / np.trace(cov)) - 1) < 1e-9 and r.identity_error == got[0].identity_error < 1e-9
+    for c, values in by.items():
+        want = z @ axes[:, c - 1] / math.sqrt(e[c - 1])
+        a = sorted(values)
+        errors = []
+        for sign in (1, -1):
+            b = sorted((str(i), d, sign * w) for i, d, w in zip(ids, deviation, want, strict=True))
+            errors.append(max(abs(p[2] - q[2]) for p, q in zip(a, b, strict=True)))
+        assert min(errors) < 1e-6
+
+
+@pytest.mark.parametrize("dim", [64, 33, 3])
+def test_whitening_of_odd_rows(spark, dim, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK_ENTRIES", 1)  # 64 rows a block
+    rows = odd_vectors(dim, 300)
+    got = whitening.report(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert_whitened(got.collect(), rows, min(8, dim + 1))
+
+
+def test_whitening_of_real_rows(spark):
+    vecs = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert_whitened(whitening.report(vecs).collect(), [(r.vec_id, r.embedding) for r in vecs.collect()])
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "", "")], [(1, [], "", "")], [(1, [0.5] * 9, "", "")], [(1, [0.5] * 9, "", "")] * 20])
+def test_nothing_to_whiten(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert whitening.report(df).collect() == [] and whitening.whiten(df).collect() == []
+
+
+def test_components_end_with_the_rank(spark):
+    rows = [(i, [float(i % 5), 2.0 * (i % 5), float(i % 3), 7.0], "", "") for i in range(45)]
+    got = whitening.report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.component for r in got} == {1, 2}
+    assert_whitened(got, rows, 2)
+
+
+def test_whitened_arrays(spark):
+    vecs = spark.read.parquet(f"{SF}/embeddings.parquet")
+    w = np.array([r.whitened for r in whitening.whiten(vecs, components=20).collect()])
+    assert w.shape == (500, 20) and np.abs(w.T @ w / 500 - np.eye(20)).max() < 1e-9
+
+
+def test_whitening_limits(spark):
+    make = lambda v: spark.createDataFrame([(i, [x], "", "") for i, x in enumerate(v)], SCHEMA)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        whitening.report(make([1e8, 0.0, -1e8]))
+    assert whitening.whiten(make([1e5, 0.0, -1e5])).count() == 3
+    with pytest.raises(Exception, match="too large"):
+        whitening.report(make([1e300]))
+    with pytest.raises(ValueError, match="dimensions"):
+        whitening.fit(spark.createDataFrame([(1, [0.0] * 9, "", "")], SCHEMA), most_dims=8)
+
+
+def test_tiles_meet_without_a_shuffle(spark):
+    vecs = vectors.plain(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding")
+    cols = whitening.column_blocks(vecs, 64, 1024, 100_000, 4)
+    plan = whitening.tile_pairs(cols)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {(r.i, r.j) for r in whitening.tile_pairs(cols).select("i", "j").collect()} == {(0, 0), (0, 1), (1, 1)}
+
+
+def test_cells_never_pass_64_bits():
+    cells, out = whitening.Cells(), []
+    for _ in range(9):
+        out += cells.add(3, np.array([2**61, 0, -(2**60)]))
+    out += cells.out()
+    total = defaultdict(int)
+    for b in out:
+        for t, c, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            total[t, c] += v
+    assert total == {(3, 0): 9 * 2**61, (3, 2): -9 * 2**60}

@@ -77,10 +77,16 @@ def op11_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import report
+
+    return report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_decontaminate, op5_substring_dedup, op6_warc_round_trip, op7_quality_scores, op8_token_counts, op9_jaccard_join, op10_token_tables, op11_exponion_clusters, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_exact_top_k, op4_decontaminate, op5_substring_dedup, op6_warc_round_trip, op7_quality_scores, op8_token_counts, op9_jaccard_join, op10_token_tables, op11_exponion_clusters, op12_whitening, op13_byte_bpe)}

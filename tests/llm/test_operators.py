@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -303,8 +304,10 @@ def test_plan_is_optimal_on_small_cases():
 
 
 def test_dominance():
-    assert packing._holds((10, 5), (6, 5, 4)) and packing._holds((7,), ()) and packing._holds((9,), (9,))
-    assert not packing._holds((7, 7), (6, 4, 4)) and not packing._holds((3,), (4,))
+    holds = lambda g, f, steps=10**6: packing._holds(Counter(g), Counter(f), packing.Budget(0, steps))
+    assert holds((10, 5), (6, 5, 4)) and holds((7,), ()) and holds((9,), (9,)) and holds((5, 5, 4), (5, 4, 3, 2))
+    assert not holds((7, 7), (6, 4, 4)) and not holds((3,), (4,)) and not holds((10, 5), (6, 5, 4), 1)
+    assert holds((1000,), (1,) * 1000) and holds((500, 500), (2,) * 500) and not holds((501, 499), (2,) * 500)
     spend = packing.Budget(10**6, 10**6)
     got = list(packing.fillings({7: 1, 5: 2, 3: 2, 2: 5}, 10, 1, spend))
     assert (7, 3) in got and (5, 5) in got and (5, 3, 2) not in got  # the last is held by (5, 5)
@@ -312,6 +315,57 @@ def test_dominance():
     assert all(sum(f) >= 9 for f in got)
 
 
+def test_dominance_is_the_plain_one():
+    rng = random.Random(4)
+
+    def plain(wide, fine):
+        return not fine or any(w >= fine[0] and plain((*wide[:i], w - fine[0], *wide[i + 1 :]), fine[1:]) for i, w in enumerate(wide))
+
+    for _ in range(3000):
+        g, f = (tuple(sorted((rng.randint(1, 9) for _ in range(rng.randint(0, 5))), reverse=True)) for _ in range(2))
+        assert packing._holds(Counter(g), Counter(f), packing.Budget(0, 10**6)) == plain(g, f), (g, f)
+
+
+def planned(counts, cap=1024):
+    began = time.time()
+    p = packing.plan(counts, cap)
+    took = time.time() - began
+    assert sum((Counter({s: c * n for s, c in Counter(f).items()}) for f, n in p), Counter()) == Counter({s: c for s, c in counts.items() if c})
+    assert all(sum(f) <= cap for f, _ in p)
+    assert packing.lower_bound(counts, cap) <= sum(n for _, n in p) <= sum(packing.best_fit(counts, cap).values())
+    return took
+
+
+@pytest.mark.parametrize("counts", [{3: 1057100, 1: 1021}, {5: 1020000, 1: 1100, 2: 50}, {1: 10**7, 4: 10**6}, {3: 999, 2: 10**9, 1: 7}])
+def test_plan_of_very_many_small_pieces(counts):
+    assert planned(counts) < 5 * slowness()
+
+
+def test_plan_of_large_histograms_ends():
+    """Log-normal lengths of about 12 million pieces; and of 200 million."""
+    worst = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        sizes = np.clip(rng.lognormal(5 if seed % 2 else 3, 1.2, 20_000).astype(int), 1, 1024)
+        worst = max(worst, planned({int(s): int(c) * (10_000 if seed == 39 else 600) for s, c in zip(*np.unique(sizes, return_counts=True), strict=True)}))
+    assert worst < 5 * slowness()
+
+
+def slowness():
+    def once():
+        t = time.thread_time()
+        sum(range(50_000))
+        return (time.thread_time() - t) * 1000
+
+    return max(1.0, sorted(once() for _ in range(25))[12])
+
+
+def test_packing_of_empty_and_tiny_documents(spark):
+    rows = spark.range(30_000).selectExpr("id doc_id", "case when id % 3 = 0 then null when id % 3 = 1 then '' else 'a b' end text")
+    got = packing.pack(rows).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("sequences").alias("sequences"), F.max("fewest").alias("fewest")).collect()
+    assert len(got) == got[0].sequences == got[0].fewest == -(-sum(r.n for r in got) // 1024) and max(r.n for r in got) <= 1024
+
+
 def test_plan_on_random_histograms():
     rng = random.Random(9)
     for cap in (30, 100, 1024):

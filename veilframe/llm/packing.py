@@ -6,8 +6,9 @@ driver, whatever the number of documents.  It is a branch and bound: around
 the largest length left it enumerates the undominated fillings, least waste
 first, and cuts a branch once its waste rules out fewer sequences than the
 incumbent has.  The first incumbent is best-fit decreasing; a lower bound that
-the incumbent meets ends the search, as does `nodes` fillings tried (the
-incumbent is then kept).  A plan has at most a few patterns per length, each
+the incumbent meets ends the search, as do `nodes` fillings tried or `steps` taken,
+those of the dominance test included (the incumbent is then kept).  The result
+tells the number of sequences and the bound.  A plan has at most a few patterns per length, each
 with the number of its sequences.
 
 Pieces then find their places by rank: pieces of one length are numbered by
@@ -88,18 +89,6 @@ def lower_bound(counts: dict[int, int], cap: int) -> int:
     return best
 
 
-def _holds(wide: tuple[int, ...], fine: tuple[int, ...]) -> bool:
-    """Whether the items `fine` can be packed into bins of the sizes `wide`."""
-    if not fine:
-        return True
-    if sum(fine) > sum(wide) or fine[0] > max(wide, default=0):
-        return False
-    for i, w in enumerate(wide):
-        if w >= fine[0] and w not in wide[:i] and _holds((*wide[:i], w - fine[0], *wide[i + 1 :]), fine[1:]):
-            return True
-    return False
-
-
 class Budget:
     """What a search may still spend."""
 
@@ -107,6 +96,40 @@ class Budget:
         self.nodes, self.steps = nodes, steps
 
 
+def _holds(wide: dict[int, int], fine: dict[int, int], spend: Budget) -> bool:
+    """Whether the items `fine` can be packed into bins of the sizes `wide`, both as size -> number; False once the steps are used up.
+
+    What both have goes first: an item may as well lie in the bin of its own
+    size, since whatever lies there fits where the item lay.
+    """
+    spend.steps -= 1 + len(fine) // 8
+    items = sorted((s for s, n in fine.items() for _ in range(n - wide.get(s, 0))), reverse=True)
+    bins = tuple(sorted(s for s, n in wide.items() for _ in range(n - fine.get(s, 0))))
+    if not items:
+        return True
+    rest = [sum(items)]
+    for s in items:
+        rest.append(rest[-1] - s)
+    levels = [(bins, 0)]  # bins in ascending order before an item is placed, and where to look for its bin
+    while levels:
+        bins, at = levels[-1]
+        nth = len(levels) - 1
+        spend.steps -= 1 + len(bins) // 16
+        if spend.steps < 0:
+            return False
+        at = max(at, bisect.bisect_left(bins, items[nth]))
+        while 0 < at < len(bins) and bins[at] == bins[at - 1] and at > bisect.bisect_left(bins, items[nth]):
+            at += 1
+        if at == len(bins) or sum(bins[bisect.bisect_left(bins, items[-1]) :]) < rest[nth]:
+            levels.pop()
+            continue
+        levels[-1] = (bins, at + 1)
+        if nth + 1 == len(items):
+            return True
+        levels.append((tuple(sorted((*bins[:at], bins[at] - items[nth], *bins[at + 1 :]))), 0))
+    return False
+
+
 class Sizes:
     """Lengths in descending order, and which sums the lengths from each on can make."""
 
@@ -131,27 +154,49 @@ def fillings(counts: dict[int, int], space: int, waste: int, spend: Budget, know
     known = known or Sizes({s: c for s, c in counts.items() if c}, max(space, 1))
     sizes, sums = known.sizes, known.sums
     start = bisect.bisect_left(sizes, -space, key=lambda s: -s)
-    least = min((s for s, c in counts.items() if c), default=space + 1)
-
-    def exact(i, target, chosen):
-        if not target:
-            yield chosen
-            return
-        for j in range(max(i, bisect.bisect_left(sizes, -target, key=lambda s: -s)), len(sizes)):
-            s = sizes[j]
-            spend.steps -= 1
-            if spend.steps < 0 or not sums[j] >> target & 1:
-                return
-            if sums[j] >> (target - s) & 1 and chosen.count(s) < counts.get(s, 0):
-                yield from exact(j, target - s, (*chosen, s))
-
-    before: list[tuple[int, ...]] = []
+
+    def from_(i, target):
+        return max(i, bisect.bisect_left(sizes, -target, key=lambda s: -s))
+
+    def exact(i, target):
+        """Non-increasing choices of sizes from the i-th on that add up to `target`."""
+        level, left, picks, runs = [from_(i, target)], [target], [], [0]
+        while level:
+            j, t = level[-1], left[-1]
+            if not t:
+                yield tuple(sizes[p] for p in picks)
+            elif j < len(sizes) and sums[j] >> t & 1:
+                spend.steps -= 1
+                if spend.steps < 0:
+                    return
+                level[-1] = j + 1
+                s, run = sizes[j], runs[-1] + 1 if picks and picks[-1] == j else 1
+                if sums[j] >> (t - s) & 1 and run <= counts.get(s, 0):
+                    picks.append(j)
+                    runs.append(run)
+                    level.append(from_(j, t - s))
+                    left.append(t - s)
+                continue
+            level.pop()
+            left.pop()
+            runs.pop()
+            if picks:
+                picks.pop()
+
+    before: list[Counter] = []
     for lost in range(min(waste, space) + 1):
-        for f in exact(start, space - lost, ()):
-            if lost >= least and any(c > f.count(s) for s, c in counts.items() if s <= lost):
-                continue  # another item still fits
-            if not any(_holds(g, f) for g in before):
-                before.append(f)
+        small = [s for s in sizes[from_(0, lost) :] if counts.get(s, 0)]
+        for f in exact(start, space - lost):
+            own = Counter(f)
+            if small:
+                spend.steps -= len(small) // 8
+                if any(counts[s] > own[s] for s in small):
+                    continue  # another item still fits
+            spend.steps -= len(f) // 8
+            if not any(_holds(g, own, spend) for g in before):
+                if spend.steps < 0:
+                    return
+                before.append(own)
                 yield f
 
 
@@ -237,7 +282,7 @@ def pieces(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, c
 
 
 def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept)."""
+    """doc_id, piece, start, length, ids_crc32, (ids, if kept,) sequence_id, offset; and how many sequences there are and at least must be."""
     cut = pieces(docs, capacity=capacity, **options)
     by_part = shared.staged(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {int(r.length): int(r.n) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
@@ -251,6 +296,7 @@ def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
             seen[s] += m * times
             at += m * s
         sequence += times
+    bound = lower_bound(counts, capacity)
     tables = {s: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for s, rows in slots.items()}
 
     # ranks of a length run over parts, then over rows of a part; both windows are as small as a part or a length's parts
@@ -276,4 +322,5 @@ def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(sid), pa.array(off)], [*keep, "sequence_id", "offset"])
 
     kept = ", ids binary" * ("ids" in cut.columns)
-    return ranked.mapInArrow(shared.task(place), PIECES.removeprefix("part long, ") + kept + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(shared.task(place), PIECES.removeprefix("part long, ") + kept + ", sequence_id long, offset long")
+    return placed.withColumns({"sequences": F.lit(sequence).cast("long"), "fewest": F.lit(bound).cast("long")})

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources import png
+
 #: Side limits in pixels, the largest enlargement, and the weights of luma.
 MAX_SIDE, SEARCH_SIDE, OCR_SIDE, OCR_SCALE, LUMA = 4096, 1200, 2400, 2.0, (0.299, 0.587, 0.114)
 RASTER = "image_id long, width int, height int, rgba binary"
@@ -19,11 +22,44 @@ def pixels(row) -> np.ndarray:
     return np.frombuffer(row.rgba, np.uint8).reshape(row.height, row.width, 4)
 
 
+def bands(size: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """The banded matrix that resamples `size` pixels to `to`: for each new pixel the old ones and their weights.
+
+    A smaller side averages what each new pixel covers; a larger one is linear
+    between the centres of the two nearest, and constant beyond the outer ones.
+    """
+    if to >= size:
+        centre = (np.arange(to) + 0.5) * size / to - 0.5
+        first = np.floor(centre)
+        share = centre - first
+        return np.clip(first[:, None].astype(int) + np.arange(2), 0, size - 1), np.stack([1 - share, share], axis=1)
+    begin, end = np.arange(to) * size / to, (np.arange(to) + 1) * size / to
+    index = np.floor(begin)[:, None].astype(int) + np.arange(-(-size // to) + 1)
+    weight = np.maximum(np.minimum(end[:, None], index + 1) - np.maximum(begin[:, None], index), 0)
+    return np.minimum(index, size - 1), weight / weight.sum(axis=1, keepdims=True)
+
+
 def resized(a: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Nearest pixel of the centre."""
-    y = np.minimum(((np.arange(height) + 0.5) * a.shape[0] / height).astype(int), a.shape[0] - 1)
-    x = np.minimum(((np.arange(width) + 0.5) * a.shape[1] / width).astype(int), a.shape[1] - 1)
-    return a[y][:, x]
+    """Pixels resampled by one banded product over rows and one over columns, rounded half up.
+
+    Colours count by their alpha, so what a clear pixel holds doesn't show.  A
+    band of new rows is made at a time.
+    """
+    if a.shape[:2] == (height, width):
+        return a
+    (rows, row_weights), (cols, col_weights) = bands(a.shape[0], height), bands(a.shape[1], width)
+    out = np.empty((height, width, 4), np.uint8)
+    for at in range(0, height, 64):
+        index, weight = rows[at : at + 64], row_weights[at : at + 64]
+        low = index.min()
+        x = a[low : index.max() + 1].astype(np.float64)
+        x[..., :3] *= x[..., 3:] / 255
+        y = sum(weight[:, t, None, None] * x[index[:, t] - low] for t in range(index.shape[1]))
+        z = sum(col_weights[None, :, t, None] * y[:, cols[:, t]] for t in range(cols.shape[1]))
+        alpha = z[..., 3:]
+        z[..., :3] = np.divide(z[..., :3] * 255, alpha, out=np.zeros_like(z[..., :3]), where=alpha > 0)
+        out[at : at + 64] = np.floor(np.clip(z, 0, 255) + 0.5)
+    return out
 
 
 def capped_size(width: int, height: int, cap: int) -> tuple[int, int]:
@@ -99,13 +135,53 @@ def paint(images: DataFrame, rects_col: str = "rects") -> DataFrame:
     return own.mapInPandas(lambda it: _rows(it, lambda r: painted(pixels(r), r.rects if r.rects is not None else ())), RASTER)
 
 
+def decoded(files: DataFrame, cap: int = MAX_SIDE, most_pixels: int = 1 << 27, id_col: str | None = None, content_col: str = "content") -> DataFrame:
+    """PNG files (rows of `path` and content) as rasters, no side over `cap`: path, the raster's columns, and error.
+
+    A file that isn't a whole PNG, or has more than `most_pixels`, is a row with
+    its error and no pixels.  `image_id` is the named column, else a hash of the
+    path.
+    """
+
+    def read(content) -> tuple:
+        try:
+            a = oriented(png.decode(bytes(content or b""), most_pixels), 0, cap)
+        except png.PngError as e:
+            return None, None, None, str(e)
+        return a.shape[1], a.shape[0], np.ascontiguousarray(a).tobytes(), None
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = (b.column(0)[i].as_py(), b.column(1)[i].as_py(), *read(b.column(2)[i].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["path", "image_id", "width", "height", "rgba", "error"])
+
+    image_id = F.col(id_col).cast("long") if id_col else F.xxhash64("path")
+    return files.select("path", image_id.alias("image_id"), F.col(content_col).alias("content")).mapInArrow(each, f"path string, {RASTER}, error string")
+
+
+def as_png(images: DataFrame, level: int = 6) -> DataFrame:
+    """image_id and the image as a PNG; rasters without pixels (or with null ones) are left out."""
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                image_id, width, height, rgba = (c[i].as_py() for c in b.columns)
+                made = png.encode(np.frombuffer(rgba, np.uint8).reshape(height, width, 4), level)
+                yield pa.RecordBatch.from_arrays([pa.array([image_id], pa.int64()), pa.array([made], pa.binary())], ["image_id", "png"])
+
+    whole = images.select("image_id", "width", "height", "rgba").where("rgba is not null and width > 0 and height > 0")
+    return whole.mapInArrow(each, "image_id long, png binary")
+
+
 def gray_histogram(images: DataFrame) -> DataFrame:
-    """image_id, bin, pixels for all 256 bins."""
+    """image_id, bin, pixels for all 256 bins; a frame for each batch of images."""
 
     def each(frames):
         for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame({"image_id": row.image_id, "bin": range(256), "pixels": histogram(luma(pixels(row)))})
+            counts = [histogram(luma(pixels(row))) for row in pdf.itertuples(index=False)]
+            if counts:
+                yield pd.DataFrame({"image_id": np.repeat(pdf["image_id"].to_numpy(), 256), "bin": np.tile(np.arange(256), len(counts)), "pixels": np.concatenate(counts)})
 
     return images.select("image_id", "width", "height", "rgba").mapInPandas(each, "image_id long, bin int, pixels long")
 

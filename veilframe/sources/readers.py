@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import CustomRule
+from . import files
 
 IMAGE_FILES = r"(?i)\.(png|jpe?g|gif|webp|bmp|tiff?)$"
 WORDS = "image_id long, quarter_turns int, block int, para int, line int, word int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, scale double"
@@ -15,7 +16,7 @@ OCR_TREE = "image_id long, quarter_turns int, scale double, blocks array<struct<
 def texts(spark: SparkSession, path: str, format: str = "parquet", text_col: str = "text", **options) -> DataFrame:
     """Documents whose text isn't blank."""
     df = spark.read.format(format).options(**options).load(path)
-    return df.where(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0)
+    return df.where(F.col(text_col).rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"))
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +47,13 @@ def write_findings(spans: DataFrame, path: str, mode: str = "errorifexists") ->
     findings(spans).write.mode(mode).partitionBy("category").parquet(path)
 
 
+def write_png(images: DataFrame, path: str) -> DataFrame:
+    """Redacted rasters as PNG files named by image_id; returns their names and sizes."""
+    from ..operators.images import as_png
+
+    return files.write_each(as_png(images).select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "png"), path, "name", "png")
+
+
 def write_images(images: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Redacted rasters (id, size, pixels) as Parquet."""
     images.write.mode(mode).parquet(path)

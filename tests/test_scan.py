@@ -1,5 +1,6 @@
 """Detectors, edge cases, overlap, offsets, time limits, streaming."""
 
+import bisect
 import random
 import time
 
@@ -93,6 +94,35 @@ def test_resolve_equals_a_plain_greedy(spark):
         assert [tuple(k) for k in r.kept] == sorted(kept, key=lambda h: h[1])
 
 
+def plain_greedy(hs):
+    """Kept spans in start order, each candidate compared with its neighbours there."""
+    kept, starts = [], []
+    for h in sorted(hs, key=lambda h: (-(rules.SEVERITIES[h[4]] * 1000000.0 + h[6] * 10000.0 + (h[2] - h[1])), h[0], h[1])):
+        i = bisect.bisect_left(starts, h[1])
+        if (i == 0 or kept[i - 1][2] <= h[1]) and (i == len(kept) or kept[i][1] >= h[2]):
+            kept.insert(i, h)
+            starts.insert(i, h[1])
+    return kept
+
+
+HITS = "array<struct<ordinal:int,start:int,end:int,label:string,severity:string,category:string,confidence:double>>"
+
+
+@pytest.mark.parametrize("shape", ["chain", "apart", "same", "nested", "random"])
+def test_very_many_hits_in_one_text(spark, shape):
+    rng, n = random.Random(1), 50_000
+    span = {"chain": lambda i: (7 * i, 7 * i + 9), "apart": lambda i: (9 * i, 9 * i + 9), "same": lambda i: (5, 5 + i % 9 + 1), "nested": lambda i: (i, 2 * n - i), "random": lambda i: (s := rng.randrange(10 * n), s + rng.randrange(1, 400))}[shape]
+    hs = [(i, *span(i), f"l{i % 7}", rng.choice(list(rules.SEVERITIES)), "custom", rng.choice([0.6, 0.8, 0.9, 0.97])) for i in range(n)]
+    df = spark.createDataFrame([(hs,)], f"hs {HITS}").repartition(1).persist()
+    df.count()
+    began = time.time()
+    got = [tuple(h) for h in df.select(resolve(F.col("hs")).alias("kept")).first().kept]
+    took = time.time() - began
+    df.unpersist()
+    assert got == plain_greedy(hs)
+    assert took < 5 * slowness()
+
+
 def test_touching_spans_are_both_kept(find):
     own = (CustomRule("a", "A", "aaa"), CustomRule("b", "B", "bbb"))
     assert [(r.start, r.end) for r in find(["aaabbb"], custom_rules=own)[0]] == [(0, 3), (3, 6)]

@@ -6,8 +6,8 @@ come from its own row, on batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
-import re
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,13 +111,45 @@ def strength(h: Column) -> Column:
     return rank * 1000000.0 + h["confidence"] * 10000.0 + (h["end"] - h["start"]).cast("double")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def resolve(found: Column) -> Column:
-    """Greedy selection: strongest first, each kept unless it meets a kept one; then by start."""
-    keyed = F.transform(found, lambda h: F.struct((-strength(h)).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), h.alias("h")))
-    order = F.transform(F.array_sort(keyed), lambda k: k["h"])
-    kept = F.aggregate(order, F.array().cast(f"array<{HIT}>"), lambda acc, h: F.when(F.exists(acc, lambda k: (k["start"] < h["end"]) & (h["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(h))))
-    by_start = F.array_sort(F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h.alias("h"))))
-    return F.transform(by_start, lambda k: k["h"])
+    """Greedy selection: strongest first, each kept unless it meets a kept one; then by start.
+
+    Hits are numbered by start.  A hit covers the numbers from its own to that of
+    the last hit which begins before its end; two hits meet just if one covers
+    the other's number.  A mask of a byte for each number says what is taken: 2
+    where a kept hit stands, 1 where it covers others.  So testing a hit compares
+    a slice of bytes, keeping one copies the mask, and the rest is sorting.
+    """
+    by_start = lambda hs: F.sort_array(F.transform(hs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["ordinal"].alias("ordinal"), h.alias("h"))))
+    return bound(found, lambda hs: F.when(F.size(hs) < 2, hs).otherwise(bound(by_start(hs), _chosen)))
+
+
+def _chosen(hs: Column) -> Column:
+    """The greedy choice among two or more hits that stand in order of their starts."""
+    # starts and ends in one order, ends first: before the j-th end at place i stand i - j starts
+    ends = F.transform(hs, lambda h, k: F.struct(h["end"].alias("at"), F.lit(0).alias("kind"), k.alias("k")))
+    starts = F.transform(hs, lambda h, k: F.struct(h["start"].alias("at"), F.lit(1).alias("kind"), k.alias("k")))
+    placed = F.filter(F.transform(F.sort_array(F.concat(ends, starts)), lambda e, i: F.struct(e["k"].alias("k"), e["kind"].alias("kind"), i.alias("i"))), lambda e: e["kind"] == 0)
+    covers = F.sort_array(F.transform(placed, lambda e, j: F.struct(e["k"].alias("lo"), (e["i"] - j).alias("hi"))))  # aligned with the hits
+    ranked = lambda cs: F.sort_array(F.transform(hs, lambda h, k: F.struct((-strength(h["h"])).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), k.alias("lo"), cs[k]["hi"].alias("hi"))))
+    fill = lambda n, byte: F.repeat(F.lit(byte), n).cast("binary")
+    state = F.struct(fill(F.size(hs), "\0").alias("none"), fill(F.size(hs), "\1").alias("over"), bound(covers, ranked).alias("order"))
+
+    def mark(s):
+        def step(mask, h):
+            size = h["hi"] - h["lo"]
+            free = F.substr(mask, h["lo"] + 1, size) == F.substr(s["none"], F.lit(1), size)
+            return F.when(free, F.overlay(mask, F.concat(F.lit(b"\2"), F.substr(s["over"], F.lit(1), size - 1)), h["lo"] + 1, size)).otherwise(mask)
+
+        return F.aggregate(s["order"], s["none"], step)
+
+    kept = lambda mask: F.filter(hs, lambda h, k: F.substr(mask, k + 1, F.lit(1)) == F.lit(b"\2"))
+    return F.transform(bound(bound(state, mark), kept), lambda h: h["h"])
 
 
 def candidates(text: Column, config: ScanConfig | None = None) -> Column:

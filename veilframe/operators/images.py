@@ -122,6 +122,12 @@ def orient(images: DataFrame, turns_col: str = "quarter_turns", cap: int = MAX_S
     return own.mapInPandas(lambda it: _rows(it, lambda r: oriented(pixels(r), int(r.turns), cap)), RASTER)
 
 
+def all_turns(images: DataFrame, cap: int = SEARCH_SIDE) -> DataFrame:
+    """Each image in all four quarter turns, small: the columns of a raster and quarter_turns."""
+    own = images.select("image_id", "width", "height", "rgba", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("turns"))
+    return own.mapInPandas(lambda it: _rows(it, lambda r: (oriented(pixels(r), int(r.turns), cap), (int(r.turns),)), ("quarter_turns",)), RASTER + ", quarter_turns int")
+
+
 def preprocess(images: DataFrame) -> DataFrame:
     def change(r):
         a, scale = preprocessed(pixels(r))
@@ -186,21 +192,34 @@ def gray_histogram(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "rgba").mapInPandas(each, "image_id long, bin int, pixels long")
 
 
-def with_model(images: DataFrame, model: Callable[[], Callable], schema: str, error_col: str | None = None) -> DataFrame:
+#: Loaded models of this worker process, by the version that the caller names.
+_HELD: dict[str, Callable] = {}
+
+
+def held(version: str, load: Callable[[], Callable]) -> Callable:
+    """The model of a version, loaded once for each process; a load that fails leaves nothing, so the next call tries again."""
+    if version not in _HELD:
+        _HELD[version] = load()
+    return _HELD[version]
+
+
+def with_model(images: DataFrame, model: Callable[[], Callable], schema: str, error_col: str | None = None, version: str | None = None) -> DataFrame:
     """Rows from an external model (OCR words, faces).
 
-    `model` loads it once for each task.  An image that it fails on gives no
+    `model` loads it: once for each worker process where `version` names it, and
+    then a failed load is a failure of the image that asked for it; else once for
+    each task.  An image that it fails on gives no
     rows, so text findings stay; with `error_col`, a string column of the
     schema, it gives one row that holds the image's id and the reason.
     """
     names = [f.name for f in StructType.fromDDL(schema).fields]
 
     def each(frames):
-        run = model()
+        run = None if version else model()
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 try:
-                    out = run(row)
+                    out = (run or held(version, model))(row)
                 except Exception as e:  # noqa: BLE001  best effort for each image
                     if error_col:
                         known = {"image_id": row.image_id, error_col: f"{type(e).__name__}: {e}"}

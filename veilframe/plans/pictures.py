@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import images, reads, regions
 from ..sources import files, readers
 from .catalog import registered, table
 
@@ -79,3 +80,29 @@ _FAR_BOTH = "(8 * least(7, greatest(0, {r} // 2 + 2 * ({r} % 2) - 1)) + least(7,
 def image_doubles(spark, sf_dir):
     """Images made larger: linear between the centres of the old pixels."""
     return _resized(spark, sf_dir, 16)
+
+
+def _page_reader():
+    """Reads pages that are wide and bright at the top left: as many words as the sides' ratio; of others one that isn't sure."""
+
+    def read(row):
+        a = images.pixels(row)[..., 0].astype(float)
+        h, w = a.shape
+        corners = [a[: h // 2, : w // 2], a[: h // 2, w // 2 :], a[h // 2 :, w // 2 :], a[h // 2 :, : w // 2]]
+        upright = w > h and int(np.argmax([c.mean() if c.size else 0 for c in corners])) == 0
+        n = round(w / h) if upright else 1
+        return pd.DataFrame({"block": 0, "para": 0, "line": 0, "word": range(n), "text": "word" if upright else "x", "confidence": 90.0 if upright else 10.0, "x0": 0.0, "y0": 0.0, "x1": float(w), "y1": float(h)})
+
+    return read
+
+
+@registered("SELECT p_partkey AS image_id, CAST((4 - p_partkey % 4) % 4 AS INT) AS quarter_turns, CAST(3 + p_size % 10 AS INT) AS words, array_to_string(list_transform(range(0, 3 + p_size % 10), lambda i: 'word'), ' ') || chr(10) AS text FROM part")
+def turned_pages(spark, sf_dir):
+    """Pages laid in all four turns, read in the one that fits; parts with the same page share a read."""
+    n = (F.col("p_size") % 10 + 3).cast("int")
+    top = F.concat(F.repeat(F.lit("FFFFFFFF"), 2 * n), F.repeat(F.lit("0A0A0AFF"), 2 * n))
+    rgba = F.unhex(F.concat(top, top, F.repeat(F.lit("0A0A0AFF"), 8 * n)))
+    upright = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (4 * n).alias("width"), F.lit(4).alias("height"), rgba.alias("rgba"), (F.col("p_partkey") % 4).cast("int").alias("quarter_turns"))
+    found = reads.read_upright(images.orient(upright), _page_reader, "page-reader-1", files.work_folder(spark, "reads"))
+    text = regions.rebuild_text(reads.word_rows(found))
+    return found.select("image_id", "quarter_turns").join(text, "image_id").select("image_id", "quarter_turns", F.size("words").alias("words"), "text")

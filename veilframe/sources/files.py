@@ -28,9 +28,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/veilframe-files/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, folder: str) -> bool:
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, in order; nothing where there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in fs.listStatus(path)) if fs.exists(path) else []
 
 
 def write_each(rows: DataFrame, folder: str, name_col: str, content_col: str) -> DataFrame:

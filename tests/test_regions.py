@@ -1,6 +1,8 @@
 """Words, boxes, images, settings, state, reports, sources."""
 
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -146,3 +148,89 @@ def test_orientation_flow(spark):
     first = spark.createDataFrame([(1, 0, f"word{'abcdefgh'[i]}", 90.0) for i in range(8)] + [(2, 0, "xq", 90.0), (3, 0, "x", 1.0)], kind)
     searched = spark.createDataFrame([(2, t, "word", 90.0) for t in (1, 2, 2, 3, 3)] + [(3, t, "x", 1.0) for t in range(4)] + [(1, 3, "word", 90.0)], kind)
     assert {r.image_id: r.quarter_turns for r in regions.orientation_flow(first, searched).collect()} == {1: 0, 2: 2, 3: 0}
+
+
+def plain_text(words):
+    text, spots, last = "", [], None
+    for w in sorted(words):
+        before = "" if last is None else " " if last == w[:3] else "\n"
+        text += before + w[4]
+        spots.append((w[4], len(text) - len(w[4]), len(text)))
+        last = w[:3]
+    return text + "\n", spots
+
+
+def test_text_of_a_very_long_page(spark):
+    rng = random.Random(3)
+    page = [(0, 0, i // 9, i % 9, rng.choice(["ă", "word", "", "x" * 30])) for i in range(100_000)]
+    rng.shuffle(page)
+    rows = [(1, *w, 0.0, 0.0, 1.0, 1.0, 1.0) for w in page] + [(2, 0, 0, 0, 0, "", 0.0, 0.0, 1.0, 1.0, 1.0), (2, 0, 0, 0, 1, "b", 0.0, 0.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "image_id long, block int, para int, line int, word int, text string, x0 double, y0 double, x1 double, y1 double, scale double").repartition(3)
+    for r in regions.rebuild_text(df).collect():
+        assert (r.text, [(w.text, w.start, w.end) for w in r.words]) == plain_text([w[1:6] for w in rows if w[0] == r.image_id])
+
+
+def test_locate_many_spans_and_words(spark):
+    rng = random.Random(5)
+    det = "struct<start:int,end:int,redact_by_default:boolean>"
+    texts = []
+    for _ in range(60):
+        at, words, spans = 0, [], []
+        for _ in range(rng.randrange(12)):
+            at += rng.randrange(3)
+            words.append((at, at + rng.randrange(4), (float(len(words)), 0.0, 1.0, 1.0)))
+            at = words[-1][1]
+        for _ in range(rng.randrange(8)):
+            s = rng.randrange(25)
+            spans.append((s, s + rng.randrange(1, 9), bool(s % 2)))
+        texts.append((spans, words))
+    wide = ([(5 * i, 5 * i + 7, True) for i in range(20_000)], [(3 * i, 3 * i + 2, (float(i), 0.0, 1.0, 1.0)) for i in range(40_000)])
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate([*texts, wide])], f"i int, s array<{det}>, w array<struct<start:int,end:int,box:{BOX}>>")
+    for r in df.select("i", "w", regions.locate(F.col("s"), F.col("w")).alias("r")).collect():
+        if r.i < len(texts):
+            spans, words = texts[r.i]
+            assert [([b.x for b in x.boxes], x.hidden) for x in r.r] == [([w[2][0] for w in words if w[0] < e and s < w[1]], hide) for s, e, hide in spans]
+        else:
+            assert [[b.x for b in x.boxes] for x in r.r[:3]] == [[0, 1, 2], [2, 3], [3, 4, 5]] and len(r.r) == 20_000
+
+
+@pytest.mark.parametrize("width", [1, 7, 256])
+def test_locate_rows_is_the_plain_join(spark, width):
+    rng = random.Random(width)
+    spans = [(rng.randrange(4), s := rng.randrange(-5, 60), s + rng.randrange(0, 30), f"d{i % 9}" if i % 4 else None) for i in range(80)]
+    spans += [spans[0], spans[0], (None, 3, 9, "n"), (9, 0, 5, "no words")]
+    words = [(rng.randrange(4), s := rng.randrange(-5, 60), s + rng.randrange(0, 12), i) for i in range(60)] + [(None, 3, 9, 99)]
+    got = regions.locate_rows(spark.createDataFrame(spans, "image_id int, start int, end int, name string"), spark.createDataFrame(words, "image_id int, start int, end int, box int"), width=width)
+    assert got.columns == ["image_id", "start", "end", "name", "word_start", "box"]
+    want = []
+    for k, s, e, name in spans:
+        own = [(k, s, e, name, a, i) for q, a, z, i in words if k is not None and q == k and a < e and s < z]
+        want += own or [(k, s, e, name, None, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_locate_rows_joins_on_bins(spark):
+    spans, words = spark.createDataFrame([(1, 0, 5, "a")], "image_id int, start int, end int, name string"), spark.createDataFrame([(1, 0, 5, 1)], "image_id int, start int, end int, box int")
+    plan = regions.locate_rows(spans.hint("merge"), words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(bin#" in plan and plan.count("bin#") > 4
+
+
+def test_a_long_session_is_replayed_in_time(spark):
+    rng, log, plain, past, future = random.Random(8), [], [], [], []
+    for i in range(10_000):
+        action = rng.choice(["add", "add", "delete", "undo", "redo"])
+        at = rng.randrange(-1, 30)
+        log.append(("s", i, action, (float(i), 0.0, 1.0, 1.0) if action == "add" else None, at if action == "delete" else None))
+        if action == "add" or action == "delete" and 0 <= at < len(plain):
+            past.append(plain)
+            plain, future = [*plain, float(i)] if action == "add" else [*plain[:at], *plain[at + 1 :]], []
+        elif action == "undo" and past:
+            future.append(plain)
+            plain = past.pop()
+        elif action == "redo" and future:
+            past.append(plain)
+            plain = future.pop()
+    df = spark.createDataFrame(log, f"session_id string, seq int, action string, box {BOX}, index int").repartition(3)
+    began = time.time()
+    assert [b.x for b in history.manual_boxes(df).first().boxes] == plain
+    assert time.time() - began < 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,31 +28,53 @@ def toggle_all(regions: Column) -> Column:
     return F.transform(regions, lambda r: _with_hidden(r, any_visible))
 
 
+BOX = "struct<x:double,y:double,w:double,h:double>"
+
+
+def replayed(log) -> list:
+    """Boxes after a log of (action, box, index): a list of edits with a cursor, moved by undo and redo; a new edit cuts off what was undone."""
+    boxes, edits, cursor = [], [], 0
+
+    def apply(kind, at, box):
+        boxes.insert(at, box) if kind == "add" else boxes.pop(at)
+
+    for action, box, index in log:
+        edit = None
+        if action == "add":
+            edit = "add", len(boxes), box
+        elif action == "delete" and index is not None and 0 <= index < len(boxes):
+            edit = "delete", index, boxes[index]
+        elif action == "undo" and cursor:
+            cursor -= 1
+            kind, at, was = edits[cursor]
+            apply("delete" if kind == "add" else "add", at, was)
+        elif action == "redo" and cursor < len(edits):
+            apply(*edits[cursor])
+            cursor += 1
+        if edit:
+            del edits[cursor:]
+            edits.append(edit)
+            apply(*edit)
+            cursor += 1
+    return boxes
+
+
 def manual_boxes(events: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
     """Hand-drawn boxes after a log of add, delete (by 0-based index), undo and redo.
 
-    The fold keeps the snapshots before and after; a new edit clears the ones
-    after.  Events of one session are few by nature (a person's actions).
+    The log of one session is gathered and replayed in one go: a person's actions,
+    each an edit and not a copy of all boxes, so a session costs time in proportion
+    to its events.
     """
-    box = "struct<x:double,y:double,w:double,h:double>"
-    stacks = f"array<array<{box}>>"
-    log = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("action").alias("action"), F.col("box").cast(box).alias("box"), F.col("index").alias("index")))).alias("log"))
-    none = F.array().cast(stacks)
-    zero = F.struct(F.array().cast(f"array<{box}>").alias("now"), none.alias("past"), none.alias("future"))
-    state = lambda now, past, future: F.struct(now.alias("now"), past.alias("past"), future.alias("future"))
-
-    def step(a, e):
-        pushed = F.concat(a["past"], F.array(a["now"]))
-        added = state(F.concat(a["now"], F.array(e["box"])), pushed, none)
-        removed = state(F.filter(a["now"], lambda b, i: i != e["index"]), pushed, none)
-        undone = state(F.element_at(a["past"], -1), F.slice(a["past"], F.lit(1), F.size(a["past"]) - 1), F.concat(a["future"], F.array(a["now"])))
-        redone = state(F.element_at(a["future"], -1), F.concat(a["past"], F.array(a["now"])), F.slice(a["future"], F.lit(1), F.size(a["future"]) - 1))
-        return (
-            F.when(e["action"] == "add", added)
-            .when((e["action"] == "delete") & (e["index"] >= 0) & (e["index"] < F.size(a["now"])), removed)
-            .when((e["action"] == "undo") & (F.size(a["past"]) > 0), undone)
-            .when((e["action"] == "redo") & (F.size(a["future"]) > 0), redone)
-            .otherwise(a)
-        )
-
-    return log.select(key, F.aggregate("log", zero, step, lambda a: a["now"]).alias("boxes"))
+    kind = dict(events.select(key).dtypes)[key]
+    log = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("action").alias("action"), F.col("box").cast(BOX).alias("box"), F.col("index").cast("int").alias("index")))).alias("log"))
+
+    def each(batches):
+        for b in batches:
+            made = [replayed((e["action"], e["box"], e["index"]) for e in entries) for entries in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, _BOXES)], [key, "boxes"])
+
+    return log.mapInArrow(each, f"`{key}` {kind}, boxes array<{BOX}>")
+
+
+_BOXES = pa.list_(pa.struct([(c, pa.float64()) for c in "xywh"]))

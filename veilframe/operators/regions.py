@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, counts_before
+
 #: What counts as a real word, and when a page is clearly upright.
 REAL_WORD_CONFIDENCE, REAL_WORD_LETTERS, UPRIGHT_WORDS = 60.0, 4, 8
 #: Padding of a cover rectangle, in pixels and as a share of its height.
@@ -25,41 +27,60 @@ def rebuild_text(words: DataFrame, keys: tuple[str, ...] = ("image_id",), lines:
     Returns the keys, text, and words (text, start, end, box) in order.
     """
     box = F.struct((F.col("x0") / F.col("scale")).alias("x"), (F.col("y0") / F.col("scale")).alias("y"), ((F.col("x1") - F.col("x0")) / F.col("scale")).alias("w"), ((F.col("y1") - F.col("y0")) / F.col("scale")).alias("h"))
-    line = F.struct(*[F.col(c) for c in lines])
-    rows = words.select(*keys, F.struct(line.alias("line"), F.col(word).alias("nth"), F.col("text").alias("text"), box.alias("box")).alias("w"))
-    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    kind = "struct<text:string,start:int,end:int,box:struct<x:double,y:double,w:double,h:double>>"
-    last = F.lit(None).cast(dict(rows.select("w.line").dtypes)["line"])
-    zero = F.struct(F.lit("").alias("text"), last.alias("line"), F.array().cast(f"array<{kind}>").alias("words"))
+    rows = words.select(*keys, F.struct(*[F.col(c) for c in lines]).alias("line"), F.col(word).alias("nth"), F.col("text").alias("own"), box.alias("box"))
+    # where a word begins is a running sum, so neither the text nor the list of words grows word by word
+    order = Window.partitionBy(*keys).orderBy("line", "nth", "own", "box")
+    last = F.lag("line").over(order)
+    rows = rows.withColumn("before", F.when(F.row_number().over(order) == 1, "").when(last != F.col("line"), "\n").otherwise(" "))
+    end = F.sum(F.length("before") + F.length("own")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("end", end)
+    spot = F.struct("line", "nth", "own", "box", "end", "before")
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(spot)).alias("ws"))
+    text = F.concat(F.array_join(F.transform("ws", lambda w: F.concat(w["before"], w["own"])), ""), F.lit("\n"))
+    found = F.transform("ws", lambda w: F.struct(w["own"].alias("text"), (w["end"] - F.length(w["own"])).alias("start"), w["end"].alias("end"), w["box"].alias("box")))
+    return whole.select(*keys, text.alias("text"), found.alias("words"))
 
-    def step(acc, w):
-        new_line = acc["line"].isNotNull() & (acc["line"] != w["line"])
-        before = F.when(acc["line"].isNull(), "").when(new_line, "\n").otherwise(" ")
-        start = F.length(acc["text"]) + F.length(before)
-        own = F.struct(w["text"].alias("text"), start.alias("start"), (start + F.length(w["text"])).alias("end"), w["box"].alias("box"))
-        return F.struct(F.concat(acc["text"], before, w["text"]).alias("text"), w["line"].alias("line"), F.concat(acc["words"], F.array(own)).alias("words"))
 
-    out = whole.select(*keys, F.aggregate("ws", zero, step).alias("t"))
-    return out.select(*keys, F.concat("t.text", F.lit("\n")).alias("text"), F.col("t.words").alias("words"))
+def locate(spans: Column, words: Column) -> Column:
+    """Regions: each span with the boxes of all words it touches (perhaps none), hidden where it is redacted by default.
 
+    Words stand in the order of the text and don't overlap, as `rebuild_text` has
+    them: so those that a span touches are a slice, found by counting.
+    """
 
-def locate(spans: Column, words: Column) -> Column:
-    """Regions: each span with the boxes of all words it touches (perhaps none), hidden where it is redacted by default."""
-    return F.transform(
-        spans,
-        lambda d: F.struct(
-            d.alias("detection"),
-            F.transform(F.filter(words, lambda w: (w["start"] < d["end"]) & (d["start"] < w["end"])), lambda w: w["box"]).alias("boxes"),
-            d["redact_by_default"].alias("hidden"),
-        ),
-    )
-
-
-def locate_rows(spans: DataFrame, words: DataFrame, key: str = "image_id") -> DataFrame:
-    """The same as a left join of tables: equal keys and overlapping offsets; every span stays."""
-    d, w = spans.alias("d"), words.alias("w")
-    on = (F.col(f"d.{key}") == F.col(f"w.{key}")) & (F.col("w.start") < F.col("d.end")) & (F.col("d.start") < F.col("w.end"))
-    return d.join(w, on, "left").select("d.*", F.col("w.start").alias("word_start"), F.col("w.box").alias("box"))
+    def cut(both):
+        first = counts_before(F.transform(both["words"], lambda w: w["end"]), F.transform(both["spans"], lambda d: d["start"]), touching=True)
+        stop = counts_before(F.transform(both["words"], lambda w: w["start"]), F.transform(both["spans"], lambda d: d["end"]))
+        return bound(F.struct(first.alias("first"), stop.alias("stop")), lambda at: F.transform(both["spans"], lambda d, k: region(both["words"], d, at["first"][k], at["stop"][k])))
+
+    def region(words, d, first, stop):
+        touched = F.slice(words, first + 1, F.greatest(stop - first, F.lit(0)))
+        return F.struct(d.alias("detection"), F.transform(touched, lambda w: w["box"]).alias("boxes"), d["redact_by_default"].alias("hidden"))
+
+    return bound(F.struct(spans.alias("spans"), words.alias("words")), cut)
+
+
+def locate_rows(spans: DataFrame, words: DataFrame, key: str = "image_id", width: int = 256) -> DataFrame:
+    """The same as a left join of tables: equal keys and overlapping offsets; every span stays.
+
+    Offsets fall into bins of `width`, and the bin is a second join key: a span
+    meets words of its own stretch of the text only, and a page of any length is
+    split over tasks.  A pair that shares several bins counts in the first of them.
+    """
+    bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width)))
+    # equal spans are told apart by number, so that each keeps its own words
+    named = spans.withColumn("__nth", F.row_number().over(Window.partitionBy(*spans.columns).orderBy(F.lit(0))))
+    ids = [*spans.columns, "__nth"]
+    d = named.select(F.struct(*ids).alias("d"), F.col(key).alias("k"), "start", "end").withColumn("bin", bins()).alias("d")
+    w = words.select(F.col(key).alias("k"), "start", "end", "box").withColumn("bin", bins()).alias("w")
+    first = F.floor(F.greatest("d.start", "w.start") / width)
+    on = (F.col("d.k") == F.col("w.k")) & (F.col("d.bin") == F.col("w.bin")) & (F.col("w.start") < F.col("d.end")) & (F.col("d.start") < F.col("w.end")) & (F.col("d.bin") == first)
+    pairs = d.join(w, on).select("d.d.*", F.col("w.start").alias("word_start"), "box").alias("p")
+    same = None
+    for c in ids:
+        equal = F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}"))
+        same = equal if same is None else same & equal
+    return named.alias("n").join(pairs, same, "left").select(*[f"n.{c}" for c in spans.columns], "word_start", "box")
 
 
 def face_regions(faces: DataFrame, key: str = "image_id") -> DataFrame:

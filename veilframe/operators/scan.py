@@ -7,12 +7,12 @@ come from its own row, on batch and streaming DataFrames alike.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, counts_before
 from ..functions.rules import CATEGORIES, RULES, SEVERITIES, Rule
 
 SPAN = "struct<category:string,label:string,severity:string,start:int,end:int,text:string,confidence:double,redact_by_default:boolean>"
@@ -111,11 +111,6 @@ def strength(h: Column) -> Column:
     return rank * 1000000.0 + h["confidence"] * 10000.0 + (h["end"] - h["start"]).cast("double")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is evaluated once, however often `use` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def resolve(found: Column) -> Column:
     """Greedy selection: strongest first, each kept unless it meets a kept one; then by start.
 
@@ -131,12 +126,8 @@ def resolve(found: Column) -> Column:
 
 def _chosen(hs: Column) -> Column:
     """The greedy choice among two or more hits that stand in order of their starts."""
-    # starts and ends in one order, ends first: before the j-th end at place i stand i - j starts
-    ends = F.transform(hs, lambda h, k: F.struct(h["end"].alias("at"), F.lit(0).alias("kind"), k.alias("k")))
-    starts = F.transform(hs, lambda h, k: F.struct(h["start"].alias("at"), F.lit(1).alias("kind"), k.alias("k")))
-    placed = F.filter(F.transform(F.sort_array(F.concat(ends, starts)), lambda e, i: F.struct(e["k"].alias("k"), e["kind"].alias("kind"), i.alias("i"))), lambda e: e["kind"] == 0)
-    covers = F.sort_array(F.transform(placed, lambda e, j: F.struct(e["k"].alias("lo"), (e["i"] - j).alias("hi"))))  # aligned with the hits
-    ranked = lambda cs: F.sort_array(F.transform(hs, lambda h, k: F.struct((-strength(h["h"])).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), k.alias("lo"), cs[k]["hi"].alias("hi"))))
+    covers = counts_before(F.transform(hs, lambda h: h["start"]), F.transform(hs, lambda h: h["end"]))
+    ranked = lambda cs: F.sort_array(F.transform(hs, lambda h, k: F.struct((-strength(h["h"])).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), k.alias("lo"), cs[k].alias("hi"))))
     fill = lambda n, byte: F.repeat(F.lit(byte), n).cast("binary")
     state = F.struct(fill(F.size(hs), "\0").alias("none"), fill(F.size(hs), "\1").alias("over"), bound(covers, ranked).alias("order"))
 

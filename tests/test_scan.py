@@ -137,7 +137,7 @@ def test_offsets_on_all_documents(spark):
 
 def test_plan_is_narrow_and_evaluates_each_pattern_once(spark):
     plan = scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), id_cols=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(translate(coalesce(") == len(rules.RULES)
+    assert plan.count("\u0001$0\u0002") == len(rules.RULES) and plan.count("regexp_replace(") <= 60
     physical = scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), id_cols=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in physical and "Python" not in physical
 
@@ -146,10 +146,6 @@ N = 20_000
 WALLS = ["a" * N + "@" + "a." * N, "a@" + "b." * N, "<" * N, "A" * N + "<<" + "A" * N, "1" * N, "1 " * N, "12 " * N, "O l " * N, "-" * N + "sk-" * N, "eyJ" + "a" * N + ".", "CNP " * N, "AB12 " * N, "seria" + " " * N, "Nume: " + "AB " * N, "+1 " * N]
 
 
-#: Runs of short digit groups keep the number rules busy for longer; their cost waits with the rest of the rules (README).
-SLOW = ("12 " * N, "AB12 " * N)
-
-
 def slowness():
     """Times the usual time that this machine takes."""
 
@@ -173,7 +169,7 @@ def seconds(find):
     return lambda text: min(run(text) for _ in range(2)) - plain
 
 
-@pytest.mark.parametrize("wall", [pytest.param(w, id=f"{i}-{w[:6].strip()}", marks=[pytest.mark.xfail(reason="over 2 s", strict=False)] if w in SLOW else []) for i, w in enumerate(WALLS)])
+@pytest.mark.parametrize("wall", [pytest.param(w, id=f"{i}-{w[:6].strip()}") for i, w in enumerate(WALLS)])
 def test_time_limit(seconds, wall):
     assert seconds(wall) < 2 * slowness()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
+
 #: Weights of the published Romanian control digits.
 CNP_WEIGHTS = (2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9)
 CUI_WEIGHTS = (7, 5, 3, 2, 1, 7, 5, 3, 2)
@@ -48,16 +50,18 @@ def iban(s: Column) -> Column:
 
 def cui(s: Column) -> Column:
     """Romanian tax number: an optional RO, then 2 to 10 digits of which the last is the control."""
-    s = F.regexp_replace(s, "^(?i:RO)", "")
-    body = F.lpad(F.substr(s, F.lit(1), F.length(s) - 1), 9, "0")
-    control = _weighted(body, CUI_WEIGHTS) * 10 % 11
-    return s.rlike("^[0-9]{2,10}$") & (F.when(control == 10, 0).otherwise(control) == F.ascii(F.right(s, F.lit(1))) - 48)
+
+    def check(s):
+        control = bound(F.lpad(F.substr(s, F.lit(1), F.length(s) - 1), 9, "0"), lambda body: _weighted(body, CUI_WEIGHTS) * 10 % 11)
+        return s.rlike("^[0-9]{2,10}$") & (bound(control, lambda c: F.when(c == 10, 0).otherwise(c)) == F.ascii(F.right(s, F.lit(1))) - 48)
+
+    return bound(F.regexp_replace(s, "^(?i:RO)", ""), check)
 
 
 def cnp(s: Column) -> Column:
     """Romanian personal number: the control digit of 13."""
-    control = _weighted(s, CNP_WEIGHTS) % 11
-    return s.rlike("^[0-9]{13}$") & (F.when(control == 10, 1).otherwise(control) == _digit(s, 13))
+    control = bound(_weighted(s, CNP_WEIGHTS) % 11, lambda c: F.when(c == 10, 1).otherwise(c))
+    return s.rlike("^[0-9]{13}$") & (control == _digit(s, 13))
 
 
 def cnp_structure(s: Column) -> Column:

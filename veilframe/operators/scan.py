@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, counts_before
-from ..functions.rules import CATEGORIES, RULES, SEVERITIES, Rule
+from ..functions.rules import CATEGORIES, RULES, SEVERITIES, Rule, facts
 
 SPAN = "struct<category:string,label:string,severity:string,start:int,end:int,text:string,confidence:double,redact_by_default:boolean>"
 HIT = "struct<ordinal:int,start:int,end:int,label:string,severity:string,category:string,confidence:double>"
@@ -67,42 +67,69 @@ def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
     return rules
 
 
+MATCH = "array<struct<start:int,end:int,hit:string>>"
+#: Parts whose lengths are added up in one array.
+RUN = 128
+
+
+def unmarked(text: Column) -> Column:
+    """The text with the two marks, should they stand in it, as another control character, one for one."""
+    return F.when(F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002")), F.translate(text, "\u0001\u0002", "\u0003\u0003")).otherwise(text)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches in order as array<struct<start, end, hit>>.
+    """All matches in order as array<struct<start, end, hit>>."""
+    return offsets(tagged(unmarked(text), pattern))
 
-    Matches are marked with two control characters (any in the text become a
-    third, one for one), the text is split at the marks, and a fold turns the
-    alternating gaps and matches into offsets.
-    """
-    plain = F.translate(text, "\u0001\u0002", "\u0003\u0003")
-    parts = F.split(F.regexp_replace(plain, F.lit(pattern), F.lit("\u0001$0\u0002")), "[\u0001\u0002]", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        found = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("hit")))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"] & (part != ""), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+def tagged(plain: Column, pattern: str) -> Column:
+    """The text with a mark before and another after each match."""
+    return F.regexp_replace(plain, F.lit(pattern), F.lit("\u0001$0\u0002"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
+def offsets(marked: Column) -> Column:
+    """The matches that a text's marks enclose, but for empty ones.
 
-def hits(text: Column, ordinal: int, rule: Rule, floor: float) -> Column:
-    """A rule's confirmed hits of at least the floor; a rejected hit still uses up its characters."""
+    Split at the marks, gaps and matches alternate, and sums of their lengths are
+    the offsets.  Sums run within RUN parts and over the runs, so no array grows
+    part by part to more than that.
+    """
+    none = F.array().cast("array<int>")
 
-    def keep(m):
-        if rule.confirm is None:
-            return F.when(F.lit(rule.confidence >= floor), _hit(m, ordinal, rule, F.lit(rule.label), F.lit(rule.confidence)))
-        said = rule.confirm(m["hit"])
-        return F.when(said["confidence"] >= floor, _hit(m, ordinal, rule, said["label"], said["confidence"]))
+    def running(sizes, begin):
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
+        return F.aggregate(sizes, F.struct(begin.alias("at"), none.alias("ends")), step, lambda acc: acc["ends"])
 
-    found = F.filter(F.transform(matches(text, rule.pattern), keep), lambda x: x.isNotNull())
-    if rule.trigger is not None:
-        found = F.when(rule.trigger(text), found).otherwise(F.array().cast(f"array<{HIT}>"))
-    return found
+    def found(ps):
+        sizes = F.transform(ps, F.length)
+        cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda j: F.slice(own, j * RUN + 1, F.lit(RUN)))
+        total = lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n)
+        ends = bound(bound(sizes, cut), lambda runs: bound(running(F.transform(runs, total), F.lit(0)), lambda stops: F.flatten(F.transform(runs, lambda run, j: running(run, stops[j] - total(run))))))
+        odd = F.sequence(F.lit(1), F.size(ps) - 2, F.lit(2))
+        spots = bound(ends, lambda es: F.transform(odd, lambda i: F.struct(es[i - 1].alias("start"), es[i].alias("end"), ps[i].alias("hit"))))
+        return F.when(F.size(ps) > 2, F.filter(spots, lambda m: m["hit"] != "")).otherwise(F.array().cast(MATCH))
 
+    return bound(F.split(marked, "[\u0001\u0002]", -1), found)
 
-def _hit(m, ordinal, rule, label, confidence):
-    return F.struct(F.lit(ordinal).alias("ordinal"), m["start"].alias("start"), m["end"].alias("end"), label.cast("string").alias("label"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), confidence.cast("double").alias("confidence"))
+
+def confirmed(m: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
+    """A match of the n-th active rule as a hit, or null if the rule's check rejects it or it is below the floor."""
+    each = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[m["n"]]
+    plain = F.struct(each([r.label for _, r in rules], "string").alias("label"), each([r.confidence for _, r in rules], "double").alias("confidence"))
+    checks = [(n, r.confirm) for n, (_, r) in enumerate(rules) if r.confirm]
+    said = plain
+    for k, (n, check) in enumerate(checks):
+        said = F.when(m["n"] == n, check(m["hit"])) if not k else said.when(m["n"] == n, check(m["hit"]))
+    said = said.otherwise(plain) if checks else said
+
+    def hit(s):
+        made = F.struct(
+            each([i for i, _ in rules], "int").alias("ordinal"), m["start"].alias("start"), m["end"].alias("end"), s["label"].alias("label"),
+            each([r.severity for _, r in rules], "string").alias("severity"), each([r.category for _, r in rules], "string").alias("category"), s["confidence"].alias("confidence"),
+        )
+        return F.when(s["confidence"] >= floor, made)
+
+    return bound(said, hit)
 
 
 def strength(h: Column) -> Column:
@@ -144,10 +171,24 @@ def _chosen(hs: Column) -> Column:
 
 
 def candidates(text: Column, config: ScanConfig | None = None) -> Column:
-    """All hits of all active rules before overlap resolution."""
+    """All hits of all active rules before overlap resolution; a rejected hit still uses up its characters.
+
+    Each rule that its trigger lets through marks its matches in a copy of the
+    text; what follows, from marks to confirmed hits, is one expression for all.
+    """
     config = config or ScanConfig()
-    own = [hits(text, i, r, config.min_confidence) for i, r in active_rules(config)]
-    return F.concat(*own) if own else F.array().cast(f"array<{HIT}>")
+    rules = active_rules(config)
+    if not rules:
+        return F.array().cast(f"array<{HIT}>")
+
+    def found(t):
+        marks = [tagged(t["plain"], f"(?={r.begins}){r.pattern}" if r.begins else r.pattern) for _, r in rules]
+        copies = F.array(*[F.struct(F.lit(n).alias("n"), (F.when(r.trigger(t), m) if r.trigger else m).alias("marked")) for n, ((_, r), m) in enumerate(zip(rules, marks, strict=True))])
+        some = F.filter(copies, lambda c: c["marked"].isNotNull())
+        raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(c["marked"]), lambda m: m.withField("n", c["n"]))))
+        return F.filter(F.transform(raw, lambda m: confirmed(m, rules, config.min_confidence)), lambda h: h.isNotNull())
+
+    return bound(facts(text).withField("plain", unmarked(text)), found)
 
 
 def scan_array(text: Column, config: ScanConfig | None = None) -> Column:

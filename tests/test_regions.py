@@ -49,6 +49,8 @@ def test_locate(spark):
     assert tuple(board) == (3, 1, 4, "3 of 4 hidden")
     faces = spark.createDataFrame([(7, (1.0, 2.0, 3.0, 4.0), 0.9), (7, (1.0, 2.0, 3.0, 4.0), 0.4)], f"image_id long, box {BOX}, score double")
     got = regions.join_faces(df.select(F.lit(7).cast("long").alias("image_id"), regions.locate(F.col("s"), F.col("w")).alias("regions")), faces).first().regions
+    off = regions.join_faces(df.select(F.lit(7).cast("long").alias("image_id"), regions.locate(F.col("s"), F.col("w")).alias("regions")), faces, settings=settings.DEFAULTS | {"faces": False})
+    assert [x.detection.category for x in off.first().regions] == ["email"] * 3
     assert [x.detection.category for x in got] == ["email"] * 3 + ["face"] and got[3].hidden and got[3].detection.text == ""
 
 
@@ -107,7 +109,7 @@ def test_history(spark):
     assert {(r.k, r.v) for r in history.latest(v, ["k"]).collect()} == {(1, None), (2, "x")}
 
 
-SAVED = [None, "", "{broken", "[1]", '{"enabled":{"email":false,"phone":"x"},"minConfidence":0.35}', '{"minConfidence":"0.5","faces":false}', '{"faces":"no","minConfidence":null}']
+SAVED = [None, "", "{broken", "[1]", '{"enabled":{"email":false,"phone":"x"},"minConfidence":0.35}', '{"minConfidence":"0.5","faces":false}', '{"faces":"no","minConfidence":null}', '{"faces":"true","enabled":{"email":"false"},"minConfidence":1}', '{"enabled":[1],"minConfidence":0.15,"faces":false,"x":"\\"minConfidence\\":\\"9\\""}', '7', 'null', '{"minConfidence":true}']
 
 
 def test_settings(spark):
@@ -118,8 +120,10 @@ def test_settings(spark):
         assert r.m.enabled["email"] == want["enabled"]["email"]
     assert settings.load(settings.save(settings.DEFAULTS)) == settings.DEFAULTS
     assert settings.to_config(settings.load(SAVED[4])) == ScanConfig(enabled=settings.load(SAVED[4])["enabled"], min_confidence=0.35)
-    with pytest.raises(ValueError):
-        settings.check({"enabled": {"nope": True}, "min_confidence": 0.0})
+    for enabled, floor in (({"nope": True}, 0.0), ({}, 0.96), ({}, 0.33), ({}, -0.05)):
+        with pytest.raises(ValueError):
+            settings.check({"enabled": enabled, "min_confidence": floor})
+    settings.check(settings.DEFAULTS | {"min_confidence": 0.35})
 
 
 def test_mask_and_findings(spark, tmp_path):
@@ -132,7 +136,7 @@ def test_mask_and_findings(spark, tmp_path):
 
 
 def test_sources(spark, tmp_path):
-    spark.createDataFrame([(1, " "), (2, "x"), (3, None)], "i int, text string").write.json(f"{tmp_path}/j")
+    spark.createDataFrame([(1, " "), (2, "x"), (3, None), (4, "\n\t\r\n"), (5, "\u00a0\u2003"), (6, "")], "i int, text string").write.json(f"{tmp_path}/j")
     assert [r.i for r in readers.texts(spark, f"{tmp_path}/j", "json").collect()] == [2]
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "a.PNG").write_bytes(b"1")

@@ -94,6 +94,12 @@ def test_resolve_equals_a_plain_greedy(spark):
         assert [tuple(k) for k in r.kept] == sorted(kept, key=lambda h: h[1])
 
 
+def test_flags_of_custom_rules(find):
+    own = (CustomRule("a", "Any case", "știre", "iu"), CustomRule("b", "Lines", "^x.y$", "ms"), CustomRule("c", "Whole", "a.b", "u"))
+    got = find(["ȘTIRE și Știre", "1\nx\ny\n2", "a😀b A😀B"], custom_rules=own)
+    assert [[r.text for r in rs] for rs in got] == [["ȘTIRE", "Știre"], ["x\ny"], ["a😀b"]]
+
+
 def plain_greedy(hs):
     """Kept spans in start order, each candidate compared with its neighbours there."""
     kept, starts = [], []

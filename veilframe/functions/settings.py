@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.scan import ScanConfig
+from .arrays import bound
 from .rules import CATEGORIES
 
 #: The categories that have a switch; faces have their own, custom rules none.
@@ -19,13 +20,19 @@ FLOOR_MAX, FLOOR_STEP = 0.95, 0.05
 
 def merge(saved: Column) -> Column:
     """Settings from a JSON column: saved values over defaults; absent or corrupt JSON, and values of another type, give the defaults."""
-    got = F.from_json(saved, "enabled string, faces string, minConfidence string")
-    enabled = F.transform_values(F.from_json(got["enabled"], "map<string,string>"), lambda k, v: F.when(v.isin("true", "false"), v == "true"))
     defaults = F.create_map(*[F.lit(x) for kv in DEFAULTS["enabled"].items() for x in kv])
-    both = F.map_zip_with(defaults, F.coalesce(enabled, F.create_map().cast("map<string,boolean>")), lambda k, d, s: F.coalesce(s, d))
-    number = F.when(F.get_json_object(saved, "$.minConfidence").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & ~saved.rlike(r'"minConfidence"\s*:\s*"'), F.get_json_object(saved, "$.minConfidence").cast("double"))
-    faces = F.when(got["faces"].isin("true", "false"), got["faces"] == "true")
-    return F.struct(both.alias("enabled"), F.coalesce(faces, F.lit(DEFAULTS["faces"])).alias("faces"), F.coalesce(number, F.lit(DEFAULTS["min_confidence"])).alias("min_confidence"))
+
+    def merged(v):
+        part = lambda path: F.try_variant_get(v, path, "variant")
+        flag = lambda x: F.when(F.schema_of_variant(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+        own = F.try_variant_get(v, "$.enabled", "map<string,variant>")
+        enabled = F.transform_values(F.coalesce(own, F.create_map().cast("map<string,variant>")), lambda k, x: flag(x))
+        both = F.map_zip_with(defaults, enabled, lambda k, d, s: F.coalesce(s, d))
+        number = bound(part("$.minConfidence"), lambda x: F.when(F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(x, "$", "double")))
+        faces = bound(part("$.faces"), flag)
+        return F.struct(both.alias("enabled"), F.coalesce(faces, F.lit(DEFAULTS["faces"])).alias("faces"), F.coalesce(number, F.lit(DEFAULTS["min_confidence"])).alias("min_confidence"))
+
+    return bound(F.try_parse_json(saved), merged)
 
 
 def load(saved: str | None) -> dict:
@@ -59,3 +66,5 @@ def check(settings: dict) -> None:
         raise ValueError(f"no such categories: {sorted(unknown)}")
     if not 0 <= settings["min_confidence"] <= FLOOR_MAX:
         raise ValueError(f"the floor must lie between 0 and {FLOOR_MAX}")
+    if abs(settings["min_confidence"] / FLOOR_STEP - round(settings["min_confidence"] / FLOOR_STEP)) > 1e-6:
+        raise ValueError(f"the floor moves in steps of {FLOOR_STEP}")

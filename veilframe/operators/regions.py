@@ -93,9 +93,9 @@ def face_regions(faces: DataFrame, key: str = "image_id") -> DataFrame:
     return faces.where(F.col("score") >= 0.5).groupBy(key).agg(F.array_sort(F.collect_list(region), lambda a, b: F.when(a["detection"]["confidence"] > b["detection"]["confidence"], -1).when(a["detection"]["confidence"] < b["detection"]["confidence"], 1).otherwise(0)).alias("faces"))
 
 
-def join_faces(regions: DataFrame, faces: DataFrame | None, key: str = "image_id", column: str = "regions") -> DataFrame:
-    """Text regions first, then faces; nothing is merged."""
-    if faces is None:
+def join_faces(regions: DataFrame, faces: DataFrame | None, key: str = "image_id", column: str = "regions", settings: dict | None = None) -> DataFrame:
+    """Text regions first, then faces; nothing is merged.  Where the settings have faces off, or there are none, only text regions."""
+    if faces is None or settings is not None and not settings["faces"]:
         return regions
     both = regions.join(face_regions(faces, key), key, "left")
     return both.withColumn(column, F.concat(F.col(column), F.coalesce(F.col("faces"), F.filter(F.col(column), lambda r: F.lit(False))))).drop("faces")

@@ -19,6 +19,10 @@ SPAN = "struct<category:string,label:string,severity:string,start:int,end:int,te
 HIT = "struct<ordinal:int,start:int,end:int,label:string,severity:string,category:string,confidence:double>"
 
 
+#: A user's flags in Java's dialect: ignoring case goes beyond ASCII there and here, and characters are whole code points without a flag.
+JAVA_FLAGS = {"i": "iu", "m": "m", "s": "s", "u": ""}
+
+
 @dataclass(frozen=True)
 class CustomRule:
     id: str
@@ -45,11 +49,12 @@ def compile_custom(rule: CustomRule, spark: SparkSession | None = None) -> Rule
     flags = rule.flags.replace("g", "")
     severity = rule.severity or "high"
     try:
-        if set(flags) - set("imsu"):
+        if set(flags) - set(JAVA_FLAGS):
             raise ValueError(f"flags {flags!r}")
         if severity not in SEVERITIES:
             raise ValueError(f"severity {severity!r}")
-        prefix = f"(?{''.join(sorted(set(flags)))})" if flags else ""
+        own = "".join(JAVA_FLAGS[f] for f in sorted(set(flags)))
+        prefix = f"(?{own})" if own else ""
         spark = spark or SparkSession.active()
         spark._jvm.java.util.regex.Pattern.compile(prefix + rule.pattern)
     except Exception as e:  # noqa: BLE001  a bad pattern of any kind

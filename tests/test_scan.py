@@ -80,7 +80,7 @@ def test_resolve_equals_a_plain_greedy(spark):
     rows = []
     for i in range(150):
         hs = []
-        for o in range(rng.randrange(0, 12)):
+        for o in range(rng.randrange(0, 12) if i % 3 else rng.randrange(14, 60)):  # few and many
             s = rng.randrange(0, 60)
             hs.append((o, s, s + rng.randrange(1, 30), f"l{o}", rng.choice(severities), "custom", rng.choice([0.6, 0.8, 0.9, 0.97])))
         rows.append((i, hs))

@@ -110,6 +110,7 @@ def offsets(marked: Column) -> Column:
         cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda j: F.slice(own, j * RUN + 1, F.lit(RUN)))
         total = lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n)
         ends = bound(bound(sizes, cut), lambda runs: bound(running(F.transform(runs, total), F.lit(0)), lambda stops: F.flatten(F.transform(runs, lambda run, j: running(run, stops[j] - total(run))))))
+        ends = F.when(F.size(ps) <= RUN, running(sizes, F.lit(0))).otherwise(ends)
         odd = F.sequence(F.lit(1), F.size(ps) - 2, F.lit(2))
         spots = bound(ends, lambda es: F.transform(odd, lambda i: F.struct(es[i - 1].alias("start"), es[i].alias("end"), ps[i].alias("hit"))))
         return F.when(F.size(ps) > 2, F.filter(spots, lambda m: m["hit"] != "")).otherwise(F.array().cast(MATCH))
@@ -143,6 +144,10 @@ def strength(h: Column) -> Column:
     return rank * 1000000.0 + h["confidence"] * 10000.0 + (h["end"] - h["start"]).cast("double")
 
 
+#: Hits of a text that are compared with each other.
+FEW = 16
+
+
 def resolve(found: Column) -> Column:
     """Greedy selection: strongest first, each kept unless it meets a kept one; then by start.
 
@@ -152,8 +157,19 @@ def resolve(found: Column) -> Column:
     where a kept hit stands, 1 where it covers others.  So testing a hit compares
     a slice of bytes, keeping one copies the mask, and the rest is sorting.
     """
-    by_start = lambda hs: F.sort_array(F.transform(hs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["ordinal"].alias("ordinal"), h.alias("h"))))
-    return bound(found, lambda hs: F.when(F.size(hs) < 2, hs).otherwise(bound(by_start(hs), _chosen)))
+    return bound(found, lambda hs: F.when(F.size(hs) < 2, hs).when(F.size(hs) <= FEW, _few(hs)).otherwise(bound(_by_start(hs), _chosen)))
+
+
+def _by_start(hs: Column) -> Column:
+    return F.sort_array(F.transform(hs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["ordinal"].alias("ordinal"), h.alias("h"))))
+
+
+def _few(hs: Column) -> Column:
+    """The same choice where comparing each hit with the kept ones costs less than a mask."""
+    order = F.sort_array(F.transform(hs, lambda h: F.struct((-strength(h)).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), h.alias("h"))))
+    met = lambda kept, h: F.exists(kept, lambda k: (k["start"] < h["end"]) & (h["start"] < k["end"]))
+    kept = F.aggregate(order, F.array().cast(f"array<{HIT}>"), lambda acc, o: F.when(met(acc, o["h"]), acc).otherwise(F.concat(acc, F.array(o["h"]))))
+    return F.transform(_by_start(kept), lambda h: h["h"])
 
 
 def _chosen(hs: Column) -> Column:

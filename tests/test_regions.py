@@ -174,7 +174,9 @@ def test_text_of_a_very_long_page(spark):
         assert (r.text, [(w.text, w.start, w.end) for w in r.words]) == plain_text([w[1:6] for w in rows if w[0] == r.image_id])
 
 
-def test_locate_many_spans_and_words(spark):
+@pytest.mark.parametrize("small", [-1, 4096])
+def test_locate_many_spans_and_words(spark, small, monkeypatch):
+    monkeypatch.setattr(regions, "SMALL", small)
     rng = random.Random(5)
     det = "struct<start:int,end:int,redact_by_default:boolean>"
     texts = []

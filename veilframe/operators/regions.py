@@ -11,6 +11,8 @@ from ..functions.arrays import bound, counts_before
 REAL_WORD_CONFIDENCE, REAL_WORD_LETTERS, UPRIGHT_WORDS = 60.0, 4, 8
 #: Padding of a cover rectangle, in pixels and as a share of its height.
 PAD_PIXELS, PAD_SHARE = 2.0, 0.15
+#: Pairs of spans and words of a text that are compared one by one.
+SMALL = 4096
 #: Fixed value: the smallest side of a hand-drawn box.
 DRAWN_SIDE = 6.0
 
@@ -45,7 +47,8 @@ def locate(spans: Column, words: Column) -> Column:
     """Regions: each span with the boxes of all words it touches (perhaps none), hidden where it is redacted by default.
 
     Words stand in the order of the text and don't overlap, as `rebuild_text` has
-    them: so those that a span touches are a slice, found by counting.
+    them: so those that a span touches are a slice, found by counting.  Up to SMALL
+    pairs of a span and a word are compared instead.
     """
 
     def cut(both):
@@ -54,10 +57,16 @@ def locate(spans: Column, words: Column) -> Column:
         return bound(F.struct(first.alias("first"), stop.alias("stop")), lambda at: F.transform(both["spans"], lambda d, k: region(both["words"], d, at["first"][k], at["stop"][k])))
 
     def region(words, d, first, stop):
-        touched = F.slice(words, first + 1, F.greatest(stop - first, F.lit(0)))
+        return shown(d, F.slice(words, first + 1, F.greatest(stop - first, F.lit(0))))
+
+    def compared(both):
+        return F.transform(both["spans"], lambda d: shown(d, F.filter(both["words"], lambda w: (w["start"] < d["end"]) & (d["start"] < w["end"]))))
+
+    def shown(d, touched):
         return F.struct(d.alias("detection"), F.transform(touched, lambda w: w["box"]).alias("boxes"), d["redact_by_default"].alias("hidden"))
 
-    return bound(F.struct(spans.alias("spans"), words.alias("words")), cut)
+    few = lambda both: F.size(both["spans"]).cast("long") * F.size(both["words"]) <= SMALL
+    return bound(F.struct(spans.alias("spans"), words.alias("words")), lambda both: F.when(few(both), compared(both)).otherwise(cut(both)))
 
 
 def locate_rows(spans: DataFrame, words: DataFrame, key: str = "image_id", width: int = 256) -> DataFrame:

@@ -198,7 +198,10 @@ def candidates(text: Column, config: ScanConfig | None = None) -> Column:
     text; what follows, from marks to confirmed hits, is one expression for all.
     """
     config = config or ScanConfig()
-    rules = active_rules(config)
+    return _hits(text, active_rules(config), config.min_confidence)
+
+
+def _hits(text: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
     if not rules:
         return F.array().cast(f"array<{HIT}>")
 
@@ -207,7 +210,7 @@ def candidates(text: Column, config: ScanConfig | None = None) -> Column:
         copies = F.array(*[F.struct(F.lit(n).alias("n"), (F.when(r.trigger(t), m) if r.trigger else m).alias("marked")) for n, ((_, r), m) in enumerate(zip(rules, marks, strict=True))])
         some = F.filter(copies, lambda c: c["marked"].isNotNull())
         raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(c["marked"]), lambda m: m.withField("n", c["n"]))))
-        return F.filter(F.transform(raw, lambda m: confirmed(m, rules, config.min_confidence)), lambda h: h.isNotNull())
+        return F.filter(F.transform(raw, lambda m: confirmed(m, rules, floor)), lambda h: h.isNotNull())
 
     return bound(facts(text).withField("plain", unmarked(text)), found)
 
@@ -216,7 +219,9 @@ def scan_array(text: Column, config: ScanConfig | None = None) -> Column:
     """The non-overlapping spans of a text, ascending by start; null and empty texts have none."""
     config = config or ScanConfig()
     text = F.coalesce(text, F.lit(""))
-    chosen = resolve(candidates(text, config))
+    rules = active_rules(config)
+    found = _hits(text, rules, config.min_confidence)
+    chosen = resolve(found) if len(rules) > 1 else found  # a rule's own hits stand apart, in order
     return F.transform(
         chosen,
         lambda h: F.struct(h["category"].alias("category"), h["label"].alias("label"), h["severity"].alias("severity"), h["start"].alias("start"), h["end"].alias("end"), F.substr(text, h["start"] + 1, h["end"] - h["start"]).alias("text"), h["confidence"].alias("confidence"), (h["severity"] != "low").alias("redact_by_default")),

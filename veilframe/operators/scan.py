@@ -212,7 +212,7 @@ def _hits(text: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
         raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(c["marked"]), lambda m: m.withField("n", c["n"]))))
         return F.filter(F.transform(raw, lambda m: confirmed(m, rules, floor)), lambda h: h.isNotNull())
 
-    return bound(facts(text).withField("plain", unmarked(text)), found)
+    return bound(facts(text, [r for _, r in rules]).withField("plain", unmarked(text)), found)
 
 
 def scan_array(text: Column, config: ScanConfig | None = None) -> Column:

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -633,3 +634,37 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(df, bd).collect()) == sorted(d for d in want if not want[d][0])
     assert decontaminate.report(df.limit(0), bd).count() == 0
     assert decontaminate.report(df, bd.limit(0)).filter("contaminated").count() == 0
+
+
+def test_decontaminate_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    want = {r.doc_id: len(brute_items(r.text, items)) for r in docs.collect()}
+    got = {r.doc_id: r.n_items for r in decontaminate.report(docs, bench).collect()}
+    assert all(got[d] <= n for d, n in want.items())  # what is reported is decided exactly
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 0
+
+
+def test_decontaminate_stretches(monkeypatch):
+    """Fingerprints of stretches are those of whole windows, and take memory by the stretch, not by the text."""
+    rng = np.random.default_rng(3)
+    w = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    monkeypatch.setattr(decontaminate, "RUN", 64)
+    for size, shingle in ((3, 3), (14, 5), (700, 5), (5000, 5)):
+        at = np.unique(rng.integers(0, 5000 - shingle + 1, 90))
+        begin = decontaminate.windows(at, shingle, size, len(w))
+        assert begin.tolist() == [b for b in range(5000 - size + 1) if ((at >= b) & (at + shingle <= b + size)).any()]
+        parts = list(decontaminate.fingers(w, begin, size))
+        assert np.concatenate([p[0] for p in parts]).tolist() == begin.tolist()
+        assert np.concatenate([p[1] for p in parts]).tolist() == [int(decontaminate.fingerprint(decontaminate.signs(w[b : b + size]).sum(axis=0))) for b in begin]
+    monkeypatch.undo()
+    item = [f"q{i}" for i in range(40)]
+    text = np.char.add("w", rng.integers(0, 10**5, 2_000_000).astype(str)).tolist()
+    for at in range(0, 2_000_000, 2000):
+        text[at : at + 40] = item
+    s, column = decontaminate.Slice([7], [" ".join(item)]), pa.array([" ".join(text)])
+    tracemalloc.start()
+    assert s.matches(column, 0.75) == {0: {0: 1.0}}
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()

@@ -12,7 +12,9 @@ similarity (sum of the smaller over sum of the larger counts) of five-word
 shingles, at least 0.75.
 
 The benchmark is cut into slices of bounded size that tasks load from the
-shared folder one at a time; documents are read once and never shuffled.
+shared folder one at a time; documents are read once and never shuffled.  A
+text of any length is fingerprinted a stretch of words at a time, and only where
+shingles were found.
 
 Defined cases: null and empty texts and items match nothing; items of fewer
 than five words match by their whole sequence; a document shorter than an item
@@ -38,6 +40,8 @@ RADIUS, BLOCKS, BITS = 15, 4, 16
 NEAR = RADIUS // BLOCKS
 #: Text bytes that are searched at once.
 TEXT_BYTES = 4 << 20
+#: Words whose running fingerprints are held at once.
+RUN = 1 << 14
 _MASKS = np.array([sum(1 << b for b in c) for r in range(NEAR + 1) for c in itertools.combinations(range(BITS), r)], np.uint16)
 _LOADED: dict[str, "Slice"] = shared.kept("slices")
 
@@ -57,6 +61,40 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1, bitorder="little").view("<u8").reshape(sums.shape[:-1])
 
 
+def summed(h: np.ndarray) -> np.ndarray:
+    """The signs of all words, added up."""
+    return sum((signs(h[at : at + RUN]).sum(axis=0, dtype=np.int64) for at in range(0, len(h), RUN)), np.zeros(64, np.int64))
+
+
+def filled(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from lo to before hi, range by range."""
+    size = hi - lo
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+
+
+def windows(at: np.ndarray, shingle: int, size: int, words: int) -> np.ndarray:
+    """Where windows of `size` words begin that hold one of the shingles at `at` (ascending, distinct)."""
+    last = words - size
+    lo, hi = np.clip(at - (size - shingle), 0, last), np.clip(at, 0, last) + 1
+    lo[1:] = np.maximum(lo[1:], hi[:-1])
+    return filled(lo, hi)
+
+
+def fingers(w: np.ndarray, begin: np.ndarray, size: int):
+    """Windows of `size` words that begin at `begin` (ascending) with their fingerprints, a stretch at a time.
+
+    A stretch's first window is summed whole; the others differ from it by the
+    words passed at either end.
+    """
+    new = np.flatnonzero((np.diff(begin, prepend=-size - 1) > size) | (np.diff(begin // RUN, prepend=-1) > 0))
+    for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(begin)], strict=True):
+        own, base = begin[lo:hi], int(begin[lo])
+        span = int(own[-1]) - base
+        change = np.zeros((span + 1, 64), np.int32)
+        np.cumsum(signs(w[base + size : base + size + span]) - signs(w[base : base + span]), axis=0, out=change[1:])
+        yield own, fingerprint(change[own - base] + summed(w[base : base + size]))
+
+
 class Slice:
     """Some items, with the shingles and the Hamming blocks to find them by."""
 
@@ -66,14 +104,14 @@ class Slice:
         self.words = [h[first[i] : first[i + 1]] for i in range(len(ids))]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.counts = [Counter(shingles_of(w)) for w in self.words]
-        self.finger = np.array([fingerprint(signs(w).sum(axis=0)) if len(w) else 0 for w in self.words], np.uint64)
+        self.finger = np.array([fingerprint(summed(w)) if len(w) else 0 for w in self.words], np.uint64)
         some = self.n > 0
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in sorted({min(int(n), tv.SHINGLE) for n in self.n[some]}):
-            pairs = [(s, i) for i in np.flatnonzero(some) if min(self.n[i], tv.SHINGLE) == k for s in self.counts[i]]
-            key = np.array([s for s, _ in pairs], np.uint64)
-            order = np.argsort(key, kind="stable")
-            self.by_size[k] = key[order], np.array([i for _, i in pairs])[order]
+            own = [i for i in np.flatnonzero(some).tolist() if min(self.n[i], tv.SHINGLE) == k]
+            key = np.array([s for i in own for s in self.counts[i]], np.uint64)
+            pairs = np.unique(np.stack([key, np.repeat(self.n[own], [len(self.counts[i]) for i in own]).astype(np.uint64)], axis=1), axis=0)
+            self.by_size[k] = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
         self.filters = {}
         for k, (key, _) in self.by_size.items():
             self.filters[k] = np.zeros(1 << 20, bool)
@@ -86,63 +124,57 @@ class Slice:
             order = np.argsort(near, kind="stable")
             self.index.append((np.searchsorted(near[order], np.arange(65537)), np.repeat(who, len(_MASKS))[order]))
 
-    def within(self, fingers: np.ndarray, size: int) -> list[tuple[int, int]]:
-        """(window, item of this size) pairs within the radius."""
-        found = set()
+    def within(self, fingers: np.ndarray, size: int) -> np.ndarray:
+        """(window, item of this size) pairs within the radius, in order."""
+        found = [np.zeros((0, 2), np.int64)]
         for b in range(BLOCKS):
             at, items = self.index[b]
             v = ((fingers >> tv.U(BITS * b)) & tv.U(0xFFFF)).astype(np.int64)
             lo, hi = at[v], at[v + 1]
-            w = np.repeat(np.arange(len(v)), hi - lo)
-            if not len(w):
-                continue
-            i = items[np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-            ok = (self.n[i] == size) & (np.bitwise_count(fingers[w] ^ self.finger[i]) <= RADIUS)
-            found.update(zip(w[ok].tolist(), i[ok].tolist(), strict=True))
-        return sorted(found)
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, word, item) wherever a text holds a shingle of an item."""
-        out = []
-        for k, (key, item) in self.by_size.items():
-            if len(h) < k:
-                continue
-            acc = np.full(len(h) - k + 1, k * 0x632BE59BD9B4E019 & ((1 << 64) - 1), dtype=np.uint64)
-            for j in range(k):
-                acc += h[j : len(h) - k + 1 + j] * tv._COEF[j]
-            acc = tv.mix(acc)
-            at = np.flatnonzero(self.filters[k][(acc >> tv.U(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(key, acc[at], "left"), np.searchsorted(key, acc[at], "right")
-            text = np.searchsorted(first, at, side="right") - 1
-            ok = (hi > lo) & (at + k <= first[text + 1])
-            for t, p, a, b in zip(text[ok].tolist(), at[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True):
-                out += [(t, p - int(first[t]), i) for i in item[a:b].tolist()]
-        return out
+            w, i = np.repeat(np.arange(len(v)), hi - lo), items[filled(lo, hi)]
+            ok = self.n[i] == size
+            w, i = w[ok], i[ok]
+            ok = np.bitwise_count(fingers[w] ^ self.finger[i]) <= RADIUS
+            found.append(np.stack([w[ok], i[ok]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def hits(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, size, word) wherever a text holds a shingle of an item of that size, in order and once each."""
+        found = [np.zeros((0, 3), np.int64)]
+        for k, (key, sizes) in self.by_size.items():
+            for begin in range(0, len(h) - k + 1, TEXT_BYTES >> 3):
+                near = h[begin : begin + (TEXT_BYTES >> 3) + k - 1]
+                acc = tv.sequence_hash(near, np.arange(len(near) - k + 1), k)
+                some = np.flatnonzero(self.filters[k][(acc >> tv.U(44)).astype(np.int64)])
+                at = begin + some
+                lo, hi = np.searchsorted(key, acc[some], "left"), np.searchsorted(key, acc[some], "right")
+                text = np.searchsorted(first, at, side="right") - 1
+                ok = (hi > lo) & (at + k <= first[text + 1])
+                text, at, lo, hi = text[ok], at[ok], lo[ok], hi[ok]
+                found.append(np.stack([np.repeat(text, hi - lo), sizes[filled(lo, hi)], np.repeat(at - first[text], hi - lo)], axis=1))
+        out = np.concatenate(found)
+        return out[np.lexsort(out.T[::-1])]
 
     def matches(self, column, threshold: float) -> dict[int, dict[int, float]]:
         """For each text its items of at least the threshold, with the best similarity."""
         h, first = words_of(column)
-        by_text: dict[int, dict[int, set[int]]] = {}
-        for t, p, i in self.hits(h, first):
-            by_text.setdefault(t, {}).setdefault(int(self.n[i]), set()).add(p)
-        found: dict[int, dict[int, float]] = {}
-        for t, sizes in by_text.items():
+        hits, found = self.hits(h, first), {}
+        cut = np.flatnonzero(np.diff(hits[:, :2], axis=0, prepend=-1, append=-1).any(axis=1)).tolist() if len(hits) else []
+        for lo, hi in itertools.pairwise(cut):
+            t, n = hits[lo, :2].tolist()
             w = h[first[t] : first[t + 1]]
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(w), axis=0, dtype=np.int32)])
-            for n, at in sizes.items():
-                size, k = min(n, len(w)), min(n, tv.SHINGLE)
-                p = np.array(sorted(at))
-                near = np.zeros(len(w) - size + 2, np.int64)
-                np.add.at(near, np.clip(p - (n - k), 0, len(w) - size), 1)
-                np.add.at(near, np.clip(p, 0, len(w) - size) + 1, -1)
-                starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                for x, i in self.within(fingerprint(sums[starts + size] - sums[starts]), n):
-                    a, b = Counter(shingles_of(w[starts[x] : starts[x] + size])), self.counts[i]
-                    both = sum(min(c, b[s]) for s, c in a.items() if s in b)
-                    sim = both / (sum(a.values()) + sum(b.values()) - both)
+            size = min(n, len(w))
+            for begin, prints in fingers(w, windows(hits[lo:hi, 2], min(n, tv.SHINGLE), size, len(w)), size):
+                seen = None
+                for x, i in self.within(prints, n).tolist():
+                    if x != seen:
+                        seen, own = x, Counter(shingles_of(w[begin[x] : begin[x] + size]))
+                    b = self.counts[i]
+                    both = sum(min(c, b[s]) for s, c in own.items() if s in b)
+                    sim = both / (own.total() + b.total() - both)
                     if sim >= threshold:
-                        own = found.setdefault(t, {})
-                        own[i] = max(own.get(i, 0.0), sim)
+                        best = found.setdefault(t, {})
+                        best[i] = max(best.get(i, 0.0), sim)
         return found
 
 

@@ -144,7 +144,10 @@ class Slice:
         for k, (key, sizes) in self.by_size.items():
             for begin in range(0, len(h) - k + 1, TEXT_BYTES >> 3):
                 near = h[begin : begin + (TEXT_BYTES >> 3) + k - 1]
-                acc = tv.sequence_hash(near, np.arange(len(near) - k + 1), k)
+                acc = np.full(len(near) - k + 1, k * 0x632BE59BD9B4E019 & ((1 << 64) - 1), dtype=np.uint64)
+                for j in range(k):
+                    acc += near[j : len(near) - k + 1 + j] * tv._COEF[j]
+                acc = tv.mix(acc)
                 some = np.flatnonzero(self.filters[k][(acc >> tv.U(44)).astype(np.int64)])
                 at = begin + some
                 lo, hi = np.searchsorted(key, acc[some], "left"), np.searchsorted(key, acc[some], "right")

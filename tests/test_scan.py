@@ -45,7 +45,7 @@ CASES = [
     ("a.b+c@mail.example.co.uk!", [("email", "a.b+c@mail.example.co.uk")]), ("a@b", []),
     ("-----BEGIN OPENSSH PRIVATE KEY-----\nabc", [("api_key", "-----BEGIN OPENSSH PRIVATE KEY-----")]),
     ("a@b.co,c@d.co", [("email", "a@b.co"), ("email", "c@d.co")]),
-    ("😀 a@b.co", [("email", "a@b.co")]), ("\u0001a@b.co\u0002", [("email", "a@b.co")]),
+    ("😀 a@b.co", [("email", "a@b.co")]), ("\u0001a@b.co\u0002", [("email", "a@b.co")]), ("\ufdd0a@b.co\ufdd1", [("email", "a@b.co")]),
 ]
 
 

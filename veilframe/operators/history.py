@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """The row of the highest version of each key; stale results go.  A partial aggregate, so a hot key is no burden."""
+    """The row of the highest version of each key; stale results go.  A partial aggregate, so a hot key is no burden.
+
+    Of rows of equal version the one with the largest other columns stays, from
+    the first column on; those that have no order (maps, variants) count as their JSON.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("__v"), *[F.col(c).alias(f"v_{c}") for c in rest])).alias("m")).select(*keys, *[F.col(f"m.v_{c}").alias(c) for c in rest])
+    unordered = {c for c, kind in df.dtypes if "map<" in kind or "variant" in kind}
+    order = [F.col(version).alias("__v"), *[F.col(c).alias(f"v_{c}") for c in rest if c not in unordered]]
+    if not unordered & set(rest):
+        top = F.max(F.struct(*order))
+    else:
+        as_json = [F.to_json(F.struct(c)).alias(f"j_{c}") for c in rest if c in unordered]
+        top = F.max_by(F.struct(*[F.col(c).alias(f"v_{c}") for c in rest]), F.struct(*order, *as_json))
+    return df.groupBy(*keys).agg(top.alias("m")).select(*keys, *[F.col(f"m.v_{c}").alias(c) for c in rest])
 
 
 def _with_hidden(r: Column, hidden) -> Column:

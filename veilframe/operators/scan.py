@@ -73,29 +73,37 @@ def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
 
 
 MATCH = "array<struct<start:int,end:int,hit:string>>"
+#: Marks before and after a match, and what stands for either in a text.  Built-in rules never ask for control
+#: characters, which keep a text in one byte a character; a user's rules may, so theirs are noncharacters.
+BUILT_IN, USERS = ("\u0001", "\u0002", "\u0003"), ("\ufdd0", "\ufdd1", "\ufdd2")
 #: Parts whose lengths are added up in one array.
 RUN = 128
 
 
-def unmarked(text: Column) -> Column:
-    """The text with the two marks, should they stand in it, as another control character, one for one."""
-    return F.when(F.contains(text, F.lit("\u0001")) | F.contains(text, F.lit("\u0002")), F.translate(text, "\u0001\u0002", "\u0003\u0003")).otherwise(text)
+def unmarked(text: Column, marks: tuple[str, str, str] = BUILT_IN) -> Column:
+    """The text with the two marks, should they stand in it, as another such character, one for one."""
+    begin, end, other = marks
+    return F.when(F.contains(text, F.lit(begin)) | F.contains(text, F.lit(end)), F.translate(text, begin + end, other * 2)).otherwise(text)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches in order as array<struct<start, end, hit>>."""
-    return offsets(tagged(unmarked(text), pattern))
+    return offsets(F.split(tagged(unmarked(text), pattern), at(BUILT_IN), -1))
 
 
-def tagged(plain: Column, pattern: str) -> Column:
+def tagged(plain: Column, pattern: str, marks: tuple[str, str, str] = BUILT_IN) -> Column:
     """The text with a mark before and another after each match."""
-    return F.regexp_replace(plain, F.lit(pattern), F.lit("\u0001$0\u0002"))
+    return F.regexp_replace(plain, F.lit(pattern), F.lit(f"{marks[0]}$0{marks[1]}"))
 
 
-def offsets(marked: Column) -> Column:
-    """The matches that a text's marks enclose, but for empty ones.
+def at(marks: tuple[str, str, str]) -> str:
+    return f"[{marks[0]}{marks[1]}]"
 
-    Split at the marks, gaps and matches alternate, and sums of their lengths are
+
+def offsets(parts: Column) -> Column:
+    """The matches of a text that was split at its marks, but for empty ones.
+
+    Gaps and matches alternate, and sums of their lengths are
     the offsets.  Sums run within RUN parts and over the runs, so no array grows
     part by part to more than that.
     """
@@ -115,7 +123,7 @@ def offsets(marked: Column) -> Column:
         spots = bound(ends, lambda es: F.transform(odd, lambda i: F.struct(es[i - 1].alias("start"), es[i].alias("end"), ps[i].alias("hit"))))
         return F.when(F.size(ps) > 2, F.filter(spots, lambda m: m["hit"] != "")).otherwise(F.array().cast(MATCH))
 
-    return bound(F.split(marked, "[\u0001\u0002]", -1), found)
+    return bound(parts, found)
 
 
 def confirmed(m: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
@@ -205,14 +213,22 @@ def _hits(text: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
     if not rules:
         return F.array().cast(f"array<{HIT}>")
 
+    user = [r.category == "custom" for _, r in rules]
+
     def found(t):
-        marks = [tagged(t["plain"], f"(?={r.begins}){r.pattern}" if r.begins else r.pattern) for _, r in rules]
+        marks = [tagged(t["own"] if u else t["plain"], f"(?={r.begins}){r.pattern}" if r.begins else r.pattern, USERS if u else BUILT_IN) for u, (_, r) in zip(user, rules, strict=True)]
         copies = F.array(*[F.struct(F.lit(n).alias("n"), (F.when(r.trigger(t), m) if r.trigger else m).alias("marked")) for n, ((_, r), m) in enumerate(zip(rules, marks, strict=True))])
         some = F.filter(copies, lambda c: c["marked"].isNotNull())
-        raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(c["marked"]), lambda m: m.withField("n", c["n"]))))
+        raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(split(c)), lambda m: m.withField("n", c["n"]))))
         return F.filter(F.transform(raw, lambda m: confirmed(m, rules, floor)), lambda h: h.isNotNull())
 
-    return bound(facts(text, [r for _, r in rules]).withField("plain", unmarked(text)), found)
+    def split(c):
+        parts = F.split(c["marked"], at(BUILT_IN), -1)
+        # a user's rules come after the built-in ones
+        return F.when(c["n"] < user.index(True), parts).otherwise(F.split(c["marked"], at(USERS), -1)) if any(user) else parts
+
+    known = facts(text, [r for _, r in rules]).withField("plain", unmarked(text))
+    return bound(known.withField("own", unmarked(text, USERS)) if any(user) else known, found)
 
 
 def scan_array(text: Column, config: ScanConfig | None = None) -> Column:

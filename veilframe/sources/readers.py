@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import CustomRule
@@ -16,7 +16,12 @@ OCR_TREE = "image_id long, quarter_turns int, scale double, blocks array<struct<
 def texts(spark: SparkSession, path: str, format: str = "parquet", text_col: str = "text", **options) -> DataFrame:
     """Documents whose text isn't blank."""
     df = spark.read.format(format).options(**options).load(path)
-    return df.where(F.col(text_col).rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"))
+    return df.where(not_blank(F.col(text_col)))
+
+
+def not_blank(text: Column) -> Column:
+    """Whether a text has anything but white space of any kind; null for null."""
+    return text.rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:

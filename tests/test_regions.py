@@ -221,6 +221,15 @@ def test_locate_rows_joins_on_bins(spark):
     assert "(bin#" in plan and plan.count("bin#") > 4
 
 
+def test_locate_rows_deals_its_pairs(spark):
+    spans = spark.range(600).selectExpr("id % 3 image_id", "cast(id % 97 as int) start", "cast(id % 97 + 5 as int) end", "id name").coalesce(1)
+    words = spark.range(900).selectExpr("id % 2 image_id", "cast(id % 97 as int) start", "cast(id % 97 + 3 as int) end", "id box").coalesce(1)
+    own = regions.locate_rows(spans, words).groupBy(F.spark_partition_id()).count().collect()
+    assert len(own) == 4 and max(r["count"] for r in own) < sum(r["count"] for r in own) / 2
+    joins = regions.locate_rows(spans.hint("merge"), words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in joins  # spans aren't numbered, and pairs don't go back to them
+
+
 def test_a_long_session_is_replayed_in_time(spark):
     rng, log, plain, past, future = random.Random(8), [], [], [], []
     for i in range(10_000):

@@ -72,24 +72,26 @@ def locate(spans: Column, words: Column) -> Column:
 def locate_rows(spans: DataFrame, words: DataFrame, key: str = "image_id", width: int = 256) -> DataFrame:
     """The same as a left join of tables: equal keys and overlapping offsets; every span stays.
 
-    Offsets fall into bins of `width`, and the bin is a second join key: a span
-    meets words of its own stretch of the text only, and a page of any length is
-    split over tasks.  A pair that shares several bins counts in the first of them.
+    Only different intervals of an image are compared: they fall into bins of
+    `width`, and the bin is a second join key, so an interval meets those of its
+    own stretch of the text only.  A pair that shares several bins counts in the
+    first of them.  Spans then find the intervals that theirs meets, and each of
+    these its words, by equality: every row that these joins make is a row of the
+    result, and a page of any length is split over tasks.
     """
     bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width)))
-    # equal spans are told apart by number, so that each keeps its own words
-    named = spans.withColumn("__nth", F.row_number().over(Window.partitionBy(*spans.columns).orderBy(F.lit(0))))
-    ids = [*spans.columns, "__nth"]
-    d = named.select(F.struct(*ids).alias("d"), F.col(key).alias("k"), "start", "end").withColumn("bin", bins()).alias("d")
-    w = words.select(F.col(key).alias("k"), "start", "end", "box").withColumn("bin", bins()).alias("w")
+    intervals = lambda df: df.select(F.col(key).alias("k"), "start", "end").distinct().withColumn("bin", bins())
+    d, w = intervals(spans).alias("d"), intervals(words).alias("w")
     first = F.floor(F.greatest("d.start", "w.start") / width)
     on = (F.col("d.k") == F.col("w.k")) & (F.col("d.bin") == F.col("w.bin")) & (F.col("w.start") < F.col("d.end")) & (F.col("d.start") < F.col("w.end")) & (F.col("d.bin") == first)
-    pairs = d.join(w, on).select("d.d.*", F.col("w.start").alias("word_start"), "box").alias("p")
-    same = None
-    for c in ids:
-        equal = F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}"))
-        same = equal if same is None else same & equal
-    return named.alias("n").join(pairs, same, "left").select(*[f"n.{c}" for c in spans.columns], "word_start", "box")
+    pairs = d.join(w, on).select("d.k", "d.start", "d.end", F.col("w.start").alias("from"), F.col("w.end").alias("to")).alias("p")
+    n, own = spans.alias("n"), words.select(F.col(key).alias("k"), "start", "end", "box").alias("o")
+    met = n.join(pairs, (F.col(f"n.{key}") == F.col("p.k")) & (F.col("n.start") == F.col("p.start")) & (F.col("n.end") == F.col("p.end")), "left")
+    # dealt by number, as few rows may meet many; spans that meet nothing have no k, and are dealt by their own offsets
+    met = met.select(F.struct("n.*").alias("n"), F.col("p.k").alias("k"), F.coalesce("from", "n.start").alias("from"), F.coalesce("to", "n.end").alias("to"))
+    met = met.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "from", "to").alias("m")
+    found = met.join(own, (F.col("m.k") == F.col("o.k")) & (F.col("m.from") == F.col("o.start")) & (F.col("m.to") == F.col("o.end")), "left")
+    return found.select("m.n.*", F.col("o.start").alias("word_start"), "box")
 
 
 def face_regions(faces: DataFrame, key: str = "image_id") -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilframe.operators import images
 from veilframe.sources import files, png, readers
@@ -91,6 +92,21 @@ def test_every_filter(filters, monkeypatch):
             assert np.array_equal(png.decode(data), want)
 
 
+def test_small_images_share_their_bands(monkeypatch):
+    rng, sizes, unfiltered = random.Random(4), [], png.unfiltered
+    monkeypatch.setattr(png, "unfiltered", lambda data, height, stride, size: sizes.append(height) or unfiltered(data, height, stride, size))
+    kinds = [(w, h, c, d, i) for w, h in ((6, 3), (6, 1), (5, 9)) for c, d in ((6, 8), (2, 8), (3, 2), (0, 16)) for i in (False, True)] * 3
+    files, want = zip(*(made(rng, *k) for k in kinds), strict=True)
+    bad = list(damaged().values())
+    got = list(png.decode_each([x for i, f in enumerate(files) for x in (f, bad[i % len(bad)])]))
+    assert all(np.array_equal(a, b) for a, b in zip(got[::2], want, strict=True))
+    assert all(isinstance(e, png.PngError) for e in got[1::2])
+    assert len(sizes) < len(files)
+    small = [png.encode(np.random.default_rng(i).integers(0, 256, (2, 64, 4), dtype=np.uint8).cumsum(axis=0, dtype=np.uint8)) for i in range(1500)]
+    sizes.clear()
+    assert len(list(png.decode_each(small))) == 1500 and max(sizes) <= 2 * (2 * png.BAND) and len(sizes) < 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(seed=st.integers(0, 10**6), width=st.integers(1, 40), height=st.integers(1, 40), kind=st.sampled_from(["noise", "flat", "slope", "opaque"]))
 def test_what_is_written_reads_back(seed, width, height, kind):
@@ -168,6 +184,15 @@ def test_files_in_a_folder(spark, tmp_path):
     assert files.work_folder(spark, "x") != files.work_folder(spark, "x")
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    df = spark.range(1500).selectExpr("id image_id", "2 width", "1 height", "unhex(lpad(hex(id), 16, '0')) rgba")
+    readers.write_png(df, f"{tmp_path}/out")
+    found = readers.image_files(spark, f"{tmp_path}/out")
+    assert found.rdd.getNumPartitions() <= 16
+    got = images.decoded(found.withColumn("id", F.regexp_extract("path", "([0-9]+).png", 1)), id_col="id").select("image_id", F.conv(F.hex("rgba"), 16, 10).cast("long").alias("n"), "error").collect()
+    assert sorted((r.image_id, r.n, r.error) for r in got) == [(i, i, None) for i in range(1500)]
+
+
 def plain_resized(a, width, height):
     """Exact averages and linear values, pixel by pixel."""
 

@@ -141,6 +141,19 @@ def paint(images: DataFrame, rects_col: str = "rects") -> DataFrame:
     return own.mapInPandas(lambda it: _rows(it, lambda r: painted(pixels(r), r.rects if r.rects is not None else ())), RASTER)
 
 
+def _batched(rows, kinds: dict, most: int = 1 << 22):
+    """Rows as record batches of about `most` bytes in their binary columns."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= most or len(held) == 1000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
 def decoded(files: DataFrame, cap: int = MAX_SIDE, most_pixels: int = 1 << 27, id_col: str | None = None, content_col: str = "content") -> DataFrame:
     """PNG files (rows of `path` and content) as rasters, no side over `cap`: path, the raster's columns, and error.
 
@@ -149,18 +162,18 @@ def decoded(files: DataFrame, cap: int = MAX_SIDE, most_pixels: int = 1 << 27, i
     path.
     """
 
-    def read(content) -> tuple:
-        try:
-            a = oriented(png.decode(bytes(content or b""), most_pixels), 0, cap)
-        except png.PngError as e:
-            return None, None, None, str(e)
+    def read(made) -> tuple:
+        if isinstance(made, png.PngError):
+            return None, None, None, str(made)
+        a = oriented(made, 0, cap)
         return a.shape[1], a.shape[0], np.ascontiguousarray(a).tobytes(), None
 
+    kinds = {"path": pa.string(), "image_id": pa.int64(), "width": pa.int32(), "height": pa.int32(), "rgba": pa.binary(), "error": pa.string()}
+
     def each(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                row = (b.column(0)[i].as_py(), b.column(1)[i].as_py(), *read(b.column(2)[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["path", "image_id", "width", "height", "rgba", "error"])
+            contents = ((v.as_py() or b"") for v in b.column(2))
+            yield from _batched(((b.column(0)[i].as_py(), b.column(1)[i].as_py(), *read(made)) for i, made in enumerate(png.decode_each(contents, most_pixels))), kinds)
 
     image_id = F.col(id_col).cast("long") if id_col else F.xxhash64("path")
     return files.select("path", image_id.alias("image_id"), F.col(content_col).alias("content")).mapInArrow(each, f"path string, {RASTER}, error string")
@@ -171,10 +184,9 @@ def as_png(images: DataFrame, level: int = 6) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                image_id, width, height, rgba = (c[i].as_py() for c in b.columns)
-                made = png.encode(np.frombuffer(rgba, np.uint8).reshape(height, width, 4), level)
-                yield pa.RecordBatch.from_arrays([pa.array([image_id], pa.int64()), pa.array([made], pa.binary())], ["image_id", "png"])
+            rows = ((c[i].as_py() for c in b.columns) for i in range(b.num_rows))
+            made = ((image_id, png.encode(np.frombuffer(rgba, np.uint8).reshape(height, width, 4), level)) for image_id, width, height, rgba in rows)
+            yield from _batched(made, {"image_id": pa.int64(), "png": pa.binary()})
 
     whole = images.select("image_id", "width", "height", "rgba").where("rgba is not null and width > 0 and height > 0")
     return whole.mapInArrow(each, "image_id long, png binary")

@@ -25,8 +25,14 @@ def not_blank(text: Column) -> Column:
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose name says image; reading one again is a new row of the same path."""
+    """Files whose name says image; reading one again is a new row of the same path.
+
+    Spark deals some thirty small files to a task; up to sixteen such tasks become one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    dealt, least = files.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    if dealt > least:
+        files = files.coalesce(max(least, dealt // 16))
     return files.where(F.col("path").rlike(IMAGE_FILES))
 
 

@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bound, counts_before
+from ..functions.arrays import bound, counts_before, sums_before
 from ..functions.rules import CATEGORIES, RULES, SEVERITIES, Rule, facts
+from . import marked
 
 SPAN = "struct<category:string,label:string,severity:string,start:int,end:int,text:string,confidence:double,redact_by_default:boolean>"
-HIT = "struct<ordinal:int,start:int,end:int,label:string,severity:string,category:string,confidence:double>"
+HIT = "struct<ordinal:int,start:int,end:int,label:string,severity:string,category:string,confidence:double,text:string>"
 
 
 #: A user's flags in Java's dialect: ignoring case goes beyond ASCII there and here, and characters are whole code points without a flag.
@@ -74,16 +75,23 @@ def active_rules(config: ScanConfig) -> list[tuple[int, Rule]]:
 
 MATCH = "array<struct<start:int,end:int,hit:string>>"
 #: Marks before and after a match, and what stands for either in a text.  Built-in rules never ask for control
-#: characters, which keep a text in one byte a character; a user's rules may, so theirs are noncharacters.
-BUILT_IN, USERS = ("\u0001", "\u0002", "\u0003"), ("\ufdd0", "\ufdd1", "\ufdd2")
-#: Parts whose lengths are added up in one array.
-RUN = 128
+#: characters, which keep a text in one byte a character; a user's rules may, so theirs are noncharacters, the same
+#: before and after: gaps and matches alternate, and a text is split at one character in half the time.
+BUILT_IN, USERS = ("\u0001", "\u0002", "\u0003"), (marked.MARK, marked.MARK, "\ufdd2")
+#: Lengths that are added up in one array.
+RUN = 32
+
+
+def altered(text: Column, marks: tuple[str, str, str]) -> Column:
+    """Whether a mark stands in the text."""
+    begin, end, _ = marks
+    return F.contains(text, F.lit(begin)) if begin == end else F.contains(text, F.lit(begin)) | F.contains(text, F.lit(end))
 
 
 def unmarked(text: Column, marks: tuple[str, str, str] = BUILT_IN) -> Column:
-    """The text with the two marks, should they stand in it, as another such character, one for one."""
+    """The text with the marks, should they stand in it, as another such character, one for one."""
     begin, end, other = marks
-    return F.when(F.contains(text, F.lit(begin)) | F.contains(text, F.lit(end)), F.translate(text, begin + end, other * 2)).otherwise(text)
+    return F.when(altered(text, marks), F.translate(text, begin + end, other * 2)).otherwise(text)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -97,53 +105,43 @@ def tagged(plain: Column, pattern: str, marks: tuple[str, str, str] = BUILT_IN)
 
 
 def at(marks: tuple[str, str, str]) -> str:
-    return f"[{marks[0]}{marks[1]}]"
+    return marks[0] if marks[0] == marks[1] else f"[{marks[0]}{marks[1]}]"
 
 
 def offsets(parts: Column) -> Column:
     """The matches of a text that was split at its marks, but for empty ones.
 
-    Gaps and matches alternate, and sums of their lengths are
-    the offsets.  Sums run within RUN parts and over the runs, so no array grows
-    part by part to more than that.
+    Gaps and matches alternate: a match begins behind all earlier gaps and matches and its own gap.
     """
-    none = F.array().cast("array<int>")
-
-    def running(sizes, begin):
-        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
-        return F.aggregate(sizes, F.struct(begin.alias("at"), none.alias("ends")), step, lambda acc: acc["ends"])
 
     def found(ps):
-        sizes = F.transform(ps, F.length)
-        cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda j: F.slice(own, j * RUN + 1, F.lit(RUN)))
-        total = lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n)
-        ends = bound(bound(sizes, cut), lambda runs: bound(running(F.transform(runs, total), F.lit(0)), lambda stops: F.flatten(F.transform(runs, lambda run, j: running(run, stops[j] - total(run))))))
-        ends = F.when(F.size(ps) <= RUN, running(sizes, F.lit(0))).otherwise(ends)
-        odd = F.sequence(F.lit(1), F.size(ps) - 2, F.lit(2))
-        spots = bound(ends, lambda es: F.transform(odd, lambda i: F.struct(es[i - 1].alias("start"), es[i].alias("end"), ps[i].alias("hit"))))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(ps) - 2, F.lit(2)), lambda i: F.length(ps[i - 1]) + F.length(ps[i]))
+        spot = lambda n, k, befores: F.struct((befores[k] + F.length(ps[k * 2])).alias("start"), (befores[k] + n).alias("end"), ps[k * 2 + 1].alias("hit"))
+        spots = bound(pairs, lambda ns: bound(sums_before(ns, RUN), lambda befores: F.transform(ns, lambda n, k: spot(n, k, befores))))
         return F.when(F.size(ps) > 2, F.filter(spots, lambda m: m["hit"] != "")).otherwise(F.array().cast(MATCH))
 
     return bound(parts, found)
 
 
-def confirmed(m: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
+def confirmed(m: Column, n: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
     """A match of the n-th active rule as a hit, or null if the rule's check rejects it or it is below the floor."""
-    each = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[m["n"]]
-    plain = F.struct(each([r.label for _, r in rules], "string").alias("label"), each([r.confidence for _, r in rules], "double").alias("confidence"))
-    checks = [(n, r.confirm) for n, (_, r) in enumerate(rules) if r.confirm]
-    said = plain
-    for k, (n, check) in enumerate(checks):
-        said = F.when(m["n"] == n, check(m["hit"])) if not k else said.when(m["n"] == n, check(m["hit"]))
-    said = said.otherwise(plain) if checks else said
-
-    def hit(s):
+    each = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[n]
+    label, confidence = each([r.label for _, r in rules], "string"), each([r.confidence for _, r in rules], "double")
+
+    def hit(label, confidence):
         made = F.struct(
-            each([i for i, _ in rules], "int").alias("ordinal"), m["start"].alias("start"), m["end"].alias("end"), s["label"].alias("label"),
-            each([r.severity for _, r in rules], "string").alias("severity"), each([r.category for _, r in rules], "string").alias("category"), s["confidence"].alias("confidence"),
+            each([i for i, _ in rules], "int").alias("ordinal"), m["start"].alias("start"), m["end"].alias("end"), label.alias("label"),
+            each([r.severity for _, r in rules], "string").alias("severity"), each([r.category for _, r in rules], "string").alias("category"), confidence.alias("confidence"), m["hit"].alias("text"),
         )
-        return F.when(s["confidence"] >= floor, made)
+        return F.when(confidence >= floor, made)
 
-    return bound(said, hit)
+    checks = [(k, r.confirm) for k, (_, r) in enumerate(rules) if r.confirm]
+    if not checks:
+        return hit(label, confidence)
+    said = F
+    for k, check in checks:
+        said = said.when(n == k, check(m["hit"]))
+    return bound(said.otherwise(F.struct(label.alias("label"), confidence.alias("confidence"))), lambda s: hit(s["label"], s["confidence"]))
 
 
 def strength(h: Column) -> Column:
@@ -152,40 +150,79 @@ def strength(h: Column) -> Column:
     return rank * 1000000.0 + h["confidence"] * 10000.0 + (h["end"] - h["start"]).cast("double")
 
 
-#: Hits of a text that are compared with each other.
+#: Hits of a group that are compared with each other.
 FEW = 16
+#: A start and a place in one number: starts count by this.
+PLACES = 1 << 31
 
 
 def resolve(found: Column) -> Column:
-    """Greedy selection: strongest first, each kept unless it meets a kept one; then by start.
+    """Greedy selection: strongest first, each kept unless it meets a kept one; then by start."""
+    return bound(found, lambda hs: F.when(F.size(hs) < 2, hs).otherwise(F.transform(kept(hs), lambda at: hs[at])))
 
-    Hits are numbered by start.  A hit covers the numbers from its own to that of
-    the last hit which begins before its end; two hits meet just if one covers
-    the other's number.  A mask of a byte for each number says what is taken: 2
-    where a kept hit stands, 1 where it covers others.  So testing a hit compares
-    a slice of bytes, keeping one copies the mask, and the rest is sorting.
+
+def kept(hs: Column) -> Column:
+    """Places of the hits that the greedy selection keeps, in order of their starts.
+
+    Hits in order of start fall into groups that don't meet: a group begins where
+    as many hits have ended as begun.  Each group is chosen from by itself, so the
+    work follows the groups' sizes, not the text's.  Up to the choice there are
+    only numbers, which cost less to sort and to hand on than hits.
     """
-    return bound(found, lambda hs: F.when(F.size(hs) < 2, hs).when(F.size(hs) <= FEW, _few(hs)).otherwise(bound(_by_start(hs), _chosen)))
+    keys = F.sort_array(F.transform(hs, lambda h, at: _key(h["start"], at)))
+    ends = F.sort_array(F.transform(hs, lambda h: h["end"]))
+    return bound(F.struct(keys.alias("keys"), ends.alias("ends")), lambda s: F.when(F.size(hs) > 1, _by_group(hs, s)).otherwise(F.transform(s["keys"], _place)))
+
+
+def _key(start: Column, at: Column) -> Column:
+    return start.cast("bigint") * F.lit(PLACES) + at
+
 
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(PLACES - 1)).cast("int")
 
-def _by_start(hs: Column) -> Column:
-    return F.sort_array(F.transform(hs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["ordinal"].alias("ordinal"), h.alias("h"))))
 
+def _by_group(hs: Column, s: Column) -> Column:
+    """The choice from two or more hits, given the keys in order and the ends in order."""
+    keys, ends, n = s["keys"], s["ends"], F.size(hs)
+    firsts = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n - 1), lambda k: ends[k - 1] <= F.shiftright(keys[k], 31)))
+    one = lambda first, behind: F.when(behind == first + 1, F.array(_place(keys[first]))).otherwise(_of_group(hs, F.slice(keys, first + 1, behind - first)))
+    each = lambda fs: F.flatten(F.transform(fs, lambda first, j: one(first, F.coalesce(F.get(fs, j + 1), n))))
+    return bound(firsts, lambda fs: F.when(F.size(fs) == n, F.transform(keys, _place)).otherwise(each(fs)))
 
-def _few(hs: Column) -> Column:
-    """The same choice where comparing each hit with the kept ones costs less than a mask."""
-    order = F.sort_array(F.transform(hs, lambda h: F.struct((-strength(h)).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), h.alias("h"))))
-    met = lambda kept, h: F.exists(kept, lambda k: (k["start"] < h["end"]) & (h["start"] < k["end"]))
-    kept = F.aggregate(order, F.array().cast(f"array<{HIT}>"), lambda acc, o: F.when(met(acc, o["h"]), acc).otherwise(F.concat(acc, F.array(o["h"]))))
-    return F.transform(_by_start(kept), lambda h: h["h"])
 
+def _of_group(hs: Column, keys: Column) -> Column:
+    """The strongest alone where it meets all others; few are compared, many go through a mask."""
+    ranked = lambda at: F.struct((-strength(hs[at])).alias("weak"), hs[at]["ordinal"].alias("ordinal"), hs[at]["start"].alias("start"), hs[at]["end"].alias("end"), at.alias("at"))
+    rest = lambda rs: F.when(F.size(rs) <= FEW, _few(rs)).otherwise(_chosen(rs))
+    choice = lambda rs: bound(F.array_min(rs), lambda best: F.when(F.forall(rs, lambda r: _meet(r, best)), F.array(best["at"])).otherwise(rest(rs)))
+    return bound(F.transform(keys, lambda key: ranked(_place(key))), choice)
 
-def _chosen(hs: Column) -> Column:
-    """The greedy choice among two or more hits that stand in order of their starts."""
-    covers = counts_before(F.transform(hs, lambda h: h["start"]), F.transform(hs, lambda h: h["end"]))
-    ranked = lambda cs: F.sort_array(F.transform(hs, lambda h, k: F.struct((-strength(h["h"])).alias("weak"), h["ordinal"].alias("ordinal"), h["start"].alias("start"), k.alias("lo"), cs[k].alias("hi"))))
+
+def _meet(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _few(rs: Column) -> Column:
+    """The choice where comparing each hit with the kept ones costs less than a mask."""
+    step = lambda own, r: F.when(F.exists(own, lambda k: _meet(k, r)), own).otherwise(F.concat(own, F.array(r)))
+    own = F.aggregate(F.sort_array(rs), F.slice(rs, 1, 0), step)
+    return F.transform(F.sort_array(F.transform(own, lambda r: _key(r["start"], r["at"]))), _place)
+
+
+def _chosen(rs: Column) -> Column:
+    """The choice from many hits in order of start.
+
+    Hits are numbered by start.  A hit covers the numbers from its own to that of
+    the last hit which begins before its end; two hits meet just if one covers
+    the other's number.  A mask of a byte for each number says what is taken: 2
+    where a kept hit stands, 1 where it covers others.  So testing a hit compares
+    a slice of bytes, keeping one copies the mask, and the rest is sorting.
+    """
+    covers = counts_before(F.transform(rs, lambda r: r["start"]), F.transform(rs, lambda r: r["end"]))
+    ranked = lambda cs: F.sort_array(F.transform(rs, lambda r, k: F.struct(r["weak"].alias("weak"), r["ordinal"].alias("ordinal"), r["start"].alias("start"), k.alias("lo"), cs[k].alias("hi"))))
     fill = lambda n, byte: F.repeat(F.lit(byte), n).cast("binary")
-    state = F.struct(fill(F.size(hs), "\0").alias("none"), fill(F.size(hs), "\1").alias("over"), bound(covers, ranked).alias("order"))
+    state = F.struct(fill(F.size(rs), "\0").alias("none"), fill(F.size(rs), "\1").alias("over"), bound(covers, ranked).alias("order"))
 
     def mark(s):
         def step(mask, h):
@@ -195,8 +232,8 @@ def _chosen(hs: Column) -> Column:
 
         return F.aggregate(s["order"], s["none"], step)
 
-    kept = lambda mask: F.filter(hs, lambda h, k: F.substr(mask, k + 1, F.lit(1)) == F.lit(b"\2"))
-    return F.transform(bound(bound(state, mark), kept), lambda h: h["h"])
+    taken = lambda mask: F.filter(rs, lambda r, k: F.substr(mask, k + 1, F.lit(1)) == F.lit(b"\2"))
+    return F.transform(bound(bound(state, mark), taken), lambda r: r["at"])
 
 
 def candidates(text: Column, config: ScanConfig | None = None) -> Column:
@@ -219,8 +256,8 @@ def _hits(text: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
         marks = [tagged(t["own"] if u else t["plain"], f"(?={r.begins}){r.pattern}" if r.begins else r.pattern, USERS if u else BUILT_IN) for u, (_, r) in zip(user, rules, strict=True)]
         copies = F.array(*[F.struct(F.lit(n).alias("n"), (F.when(r.trigger(t), m) if r.trigger else m).alias("marked")) for n, ((_, r), m) in enumerate(zip(rules, marks, strict=True))])
         some = F.filter(copies, lambda c: c["marked"].isNotNull())
-        raw = F.flatten(F.transform(some, lambda c: F.transform(offsets(split(c)), lambda m: m.withField("n", c["n"]))))
-        return F.filter(F.transform(raw, lambda m: confirmed(m, rules, floor)), lambda h: h.isNotNull())
+        made = F.flatten(F.transform(some, lambda c: F.transform(offsets(split(c)), lambda m: confirmed(m, c["n"], rules, floor))))
+        return F.filter(made, lambda h: h.isNotNull())
 
     def split(c):
         parts = F.split(c["marked"], at(BUILT_IN), -1)
@@ -232,16 +269,27 @@ def _hits(text: Column, rules: list[tuple[int, Rule]], floor: float) -> Column:
 
 
 def scan_array(text: Column, config: ScanConfig | None = None) -> Column:
-    """The non-overlapping spans of a text, ascending by start; null and empty texts have none."""
+    """The non-overlapping spans of a text, ascending by start; null and empty texts have none.
+
+    Users' rules alone may match any number of times: their spans are made from marked texts
+    by array operations over a batch of texts.  With built-in rules all is one JVM expression.
+    """
     config = config or ScanConfig()
     text = F.coalesce(text, F.lit(""))
     rules = active_rules(config)
-    found = _hits(text, rules, config.min_confidence)
-    chosen = resolve(found) if len(rules) > 1 else found  # a rule's own hits stand apart, in order
-    return F.transform(
-        chosen,
-        lambda h: F.struct(h["category"].alias("category"), h["label"].alias("label"), h["severity"].alias("severity"), h["start"].alias("start"), h["end"].alias("end"), F.substr(text, h["start"] + 1, h["end"] - h["start"]).alias("text"), h["confidence"].alias("confidence"), (h["severity"] != "low").alias("redact_by_default")),
-    )
+    if rules and all(r.category == "custom" for _, r in rules):
+        known = [(i, r.label, r.severity, r.confidence) for i, r in rules if r.confidence >= config.min_confidence]
+        plain = unmarked(text, USERS)
+        return F.arrow_udf(marked.spans(known, SEVERITIES), f"array<{SPAN}>")(F.when(altered(text, USERS), text), *[tagged(plain, r.pattern, USERS) for _, r in rules if r.confidence >= config.min_confidence])
+    differs = F.lit(False)
+    for marks in {USERS if r.category == "custom" else BUILT_IN for _, r in rules}:
+        differs = differs | altered(text, marks)
+    # cutting a span out walks the text up to it, so only texts that held marks, whose copies differ, are cut
+    cut = lambda s: s.withField("text", F.substr(text, s["start"] + 1, s["end"] - s["start"]))
+    span = lambda h: F.struct(*[h[c].alias(c) for c in ("category", "label", "severity", "start", "end", "text", "confidence")], (h["severity"] != "low").alias("redact_by_default"))
+    # a rule's own hits stand apart, in order
+    chosen = lambda hs: F.transform(hs, span) if len(rules) < 2 else F.transform(kept(hs), lambda at: span(hs[at]))
+    return bound(bound(_hits(text, rules, config.min_confidence), chosen), lambda spans: F.when(differs, F.transform(spans, cut)).otherwise(spans))
 
 
 def scan(df: DataFrame, text_col: str = "text", id_cols: list[str] | None = None, config: ScanConfig | None = None) -> DataFrame:
